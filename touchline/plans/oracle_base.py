@@ -11,36 +11,34 @@ def cte(name: str, text: str) -> None:
     CTES[name] = text.strip()
 
 
-def _needs(text: str, known: list[str]) -> list[str]:
-    return [n for n in known if re.search(rf"\b{n}\b", text)]
+def _needs(text: str) -> list[str]:
+    """Tables a statement reads: names after FROM, JOIN or FROM a, ..."""
+    found = re.findall(r"(?:\bfrom|\bjoin)\s+(\w+)", text, re.I)
+    found += re.findall(r"\bfrom\s+\w+\s*,\s*(\w+)", text, re.I)
+    return [n for n in dict.fromkeys(found) if n in CTES]
 
 
 def sql(body: str) -> str:
-    """Prefix a statement with every table expression it uses, in definition order."""
-    known = list(CTES)
-    wanted: set[str] = set()
-    todo = _needs(body, known)
-    while todo:
-        name = todo.pop()
-        if name in wanted:
-            continue
-        wanted.add(name)
-        todo += [n for n in _needs(CTES[name], known[: known.index(name)])]
+    """Prefix a statement with every table expression it uses, dependencies first."""
     body = body.strip()
-    if not wanted:
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name in order:
+            return
+        for other in _needs(CTES[name]):
+            if other != name:
+                visit(other)
+        order.append(name)
+
+    for name in _needs(body):
+        visit(name)
+    if not order:
         return body
-    recursive = "xtit" in wanted
-    parts = []
-    for n in known:
-        if n in wanted:
-            t = CTES[n]
-            head = f"{n}(" if t.startswith("(") else n
-            parts.append(f"{n} AS MATERIALIZED ({t})" if n in MATERIALISED else f"{n} AS ({t})")
-    lead = "WITH RECURSIVE " if recursive or "/*recursive*/" in body else "WITH "
-    if body[:5].upper() == "WITH ":
-        body = ", " + body[5:]
-        return lead + ",\n".join(parts) + body
-    return lead + ",\n".join(parts) + "\n" + body
+    lead = "WITH RECURSIVE " if "xtit" in order else "WITH "
+    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALISED else ''}({CTES[n]})" for n in order]
+    tail = ", " + body[5:] if body[:5].upper() == "WITH " else "\n" + body
+    return lead + ",\n".join(parts) + tail
 
 
 MATERIALISED = {"log", "fc", "prep", "xtm", "pv"}

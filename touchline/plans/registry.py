@@ -16,6 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def checks() -> dict[str, str]:
+    """The complete check statements, built once every module has defined its tables."""
+    return {name: oracle_base.sql(text) for name, text in ORACLES.items()}
+
+
 class Tables:
     """The frames one query is built from; each is planned only when it is used."""
 
@@ -82,7 +87,7 @@ def query(name: str, check: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if check is not None:
-            ORACLES[name] = oracle_base.sql(check)
+            ORACLES[name] = check
         return fn
 
     return register
