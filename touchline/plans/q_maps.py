@@ -106,8 +106,8 @@ def a18b(t: Tables):
     return defence.lane_protection(t.prep, family=True)
 
 
-@query("a19_threat_boxes", f"""with s as (select p.match_id,p.team,coalesce(o.oex,o.ox,p.x) as px,coalesce(o.oey,o.oy,p.y) as py,0 as xt,p.xg from pv p left join orig o using(match_id,event_index) where p.is_shot),
- u as (select match_id,team,end_x as px,end_y as py,positive_xt as xt,0 as xg from pv where {_PROG} union all select * from s),
+@query("a19_threat_boxes", f"""with s as (select p.match_id,p.team,coalesce(o.oex,o.ox,p.x) as px,coalesce(o.oey,o.oy,p.y) as py,0::double as xt,p.xg from pv p left join orig o using(match_id,event_index) where p.is_shot),
+ u as (select match_id,team,end_x as px,end_y as py,positive_xt as xt,0::double as xg from pv where {_PROG} union all select * from s),
  c as (select match_id,team,(least(floor(py*3/100),2)*7+least(floor(px*7/100),6))::int as cell,count(*) as actions,sum(xt) as xt_created,sum(xg) as attributed_xg from u where px is not null and py is not null group by all),
  g as (select m.match_id,m.team,k.cell,coalesce(actions,0) as actions,coalesce(xt_created,0) as xt_created,coalesce(attributed_xg,0) as attributed_xg from (select distinct match_id,team from c) m cross join (select unnest(range(21))::int as cell) k left join c using(match_id,team,cell)),
  h as (select *, xt_created+attributed_xg as threat from g), r as (select *, {_SH('threat')} as share, row_number() over (partition by match_id,team order by round(threat,9) desc,cell)::int as rank from h)
