@@ -89,3 +89,98 @@ def one_direction(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {f"one_{c}": F.expr(f"if(flipped, 100 - {c}, {c})") for c in ("x", "y", "end_x", "end_y")}
     )
+
+
+# Action, result and body-part ids of the action-row format.
+ACTIONS = [
+    "pass", "cross", "throw_in", "freekick_crossed", "freekick_short", "corner_crossed", "corner_short", "take_on", "foul", "tackle",
+    "interception", "shot", "shot_penalty", "shot_freekick", "keeper_save", "keeper_claim", "keeper_punch", "clearance", "bad_touch", "dribble",
+]
+RESULTS = ["fail", "success", "offside"]
+BODY_PARTS = ["foot", "head", "other"]
+
+
+def action_rows(log: DataFrame) -> DataFrame:
+    """Flat action table on a 105 x 68 pitch."""
+    df = log.withColumn("_t", F.expr("transform(qual_tags, t -> lower(t))"))
+    has = lambda t: f"array_contains(_t,'{t}')"
+    df = df.withColumns(
+        {
+            "type_name": F.expr(
+                f"""case when {has('corner')} and {has('cross')} then 'corner_crossed' when {has('corner')} then 'corner_short'
+                when {has('freekick')} and {has('cross')} then 'freekick_crossed' when {has('freekick')} then 'freekick_short'
+                when {has('throwin')} then 'throw_in' when {has('cross')} or type_c = 'cross' then 'cross' when type_c = 'takeon' then 'take_on'
+                when type_c in ('dribble','carry','run') then 'dribble'
+                when type_c like '%shot%' or is_shot then if({has('penalty')}, 'shot_penalty', 'shot')
+                when type_c like '%save%' then 'keeper_save' when type_c like '%claim%' then 'keeper_claim' when type_c like '%punch%' then 'keeper_punch'
+                when type_c like '%interception%' then 'interception' when type_c like '%clearance%' then 'clearance'
+                when type_c rlike 'tackle|challenge' then 'tackle' when type_c like '%foul%' then 'foul' when type_c like '%touch%' then 'bad_touch' else 'pass' end"""
+            ),
+            "result_name": F.expr(
+                "case when is_goal or outcome_c in ('successful','success','won','complete','completed','accurate') then 'success'"
+                " when outcome_c like '%offside%' then 'offside' else 'fail' end"
+            ),
+            "bodypart_name": F.expr("if(arrays_overlap(_t, array('header','head','headed')), 'head', 'foot')"),
+        }
+    )
+    number = lambda names, c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)).cast("int") - 1
+    return df.select(
+        "event_id", F.col("match_id").alias("game_id"), F.expr("coalesce(period, 1)").alias("period_id"), F.expr("minute * 60D + second").alias("time_seconds"),
+        F.expr("coalesce(team_id, -1)").alias("team_id"), F.expr("coalesce(player_id, -1)").alias("player_id"),
+        F.expr("x * 1.05D").alias("start_x"), F.expr("y * 0.68D").alias("start_y"), F.expr("end_x * 1.05D").alias("end_x"), F.expr("end_y * 0.68D").alias("end_y"),
+        "type_name", number(ACTIONS, "type_name").alias("type_id"), "result_name", number(RESULTS, "result_name").alias("result_id"),
+        "bodypart_name", number(BODY_PARTS, "bodypart_name").alias("bodypart_id"),
+    )
+
+
+def positions(df: DataFrame, column: str) -> DataFrame:
+    """Primary position token and its group from provider text such as "(DMC, MC)"."""
+    df = df.withColumn("token", F.regexp_extract(F.split(F.col(column), ",")[0], "([A-Z]{2,3})", 1))
+    return df.withColumn(
+        "position_group",
+        F.expr(
+            """case when token = 'GK' then 'GK' when token in ('DC','CB') then 'CB' when token in ('DR','DL','RB','LB') then 'FB'
+            when token in ('DMR','DML','WB','RWB','LWB') then 'WB' when token in ('DMC','DM') then 'DM' when token in ('MC','CM') then 'CM'
+            when token in ('MR','ML','RM','LM') then 'WM' when token in ('AMC','AM') then 'AM' when token in ('AML','AMR','FWR','FWL','LW','RW') then 'WF'
+            when token in ('FW','ST','CF') then 'CF' else '' end"""
+        ),
+    )
+
+
+def canonical_team(df: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Team id -> schedule name, else normalised name -> schedule name; unmatched rows drop."""
+    from touchline.functions.text import team_key
+
+    by_id = schedule.select(F.col("home_id").alias("team_id"), F.col("home_team").alias("_a")).distinct()
+    by_key = schedule.select(F.col("home_key").alias("_key"), F.col("home_team").alias("_b")).distinct()
+    out = df.withColumn("_key", team_key(F.col("team"))).join(by_id, "team_id", "left").join(by_key, "_key", "left")
+    return out.withColumn("canonical", F.coalesce("_a", "_b")).where("canonical is not null").drop("_a", "_b", "_key")
+
+
+def finished_and_kickoff(schedule: DataFrame) -> DataFrame:
+    """Finished by status or elapsed text; kickoff is the first column that parses."""
+    stamps = [f"try_to_timestamp({c})" for c in ("started_at_utc", "start_time", "date")]
+    return schedule.withColumns(
+        {
+            "finished": F.expr(
+                "coalesce(status in ('6','FT','AET','PEN'), false) or coalesce(upper(elapsed) in ('FT','AET','PEN','FULL TIME'), false)"
+            ),
+            "kickoff": F.expr(f"coalesce({', '.join(stamps)})"),
+        }
+    )
+
+
+def match_index(schedule: DataFrame) -> DataFrame:
+    return schedule.where("match_id is not null").select(
+        "match_id", "home_team", "away_team", "home_key", "away_key", F.date_format("kickoff", "yyyy-MM-dd'T'HH:mm:ss").alias("kickoff_text"),
+        F.date_format("kickoff", "yyyy-MM-dd").alias("match_date"), F.coalesce("status", F.lit("")).alias("status"),
+        F.col("home_score").cast("double").alias("home_score"), F.col("away_score").cast("double").alias("away_score"),
+    )
+
+
+def stage_phase(df: DataFrame, primary: int) -> DataFrame:
+    words = "play-?off|final|knockout|semi|quarter|promotion|relegation"
+    df = df.withColumn("is_playoff", F.coalesce(F.lower("stage_name").rlike(words), F.lit(False)))
+    return df.withColumn(
+        "phase", F.expr(f"case when is_playoff then 'Playoffs' when stage_id = {primary} then 'League phase' else 'Additional stage' end")
+    )
