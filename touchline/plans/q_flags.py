@@ -211,10 +211,10 @@ def p12(t: Tables):
     return t.log.select("event_id", F.row_number().over(match_window()).cast("bigint").alias("pos"))
 
 
-@query("p18_compact_text", "select doc_id, length(c) as n, substr(c,1,40) as head from (select doc_id, regexp_replace(lower(text),'[^a-z0-9]+','','g') as c from documents)")
+@query("p18_compact_text", "select doc_id, length(c) as n, md5(c) as digest from (select doc_id, regexp_replace(lower(text),'[^a-z0-9]+','','g') as c from documents)")
 def p18(t: Tables):
     df = t.table("documents").select("doc_id", text.compact(F.col("text")).alias("c"))
-    return df.selectExpr("doc_id", "cast(length(c) as bigint) as n", "substr(c,1,40) as head")
+    return df.selectExpr("doc_id", "cast(length(c) as bigint) as n", "md5(c) as digest")
 
 
 @query("p19_null_words", "select event_id, case when event_id%5=4 then team end as team from log")
@@ -224,12 +224,11 @@ def p19(t: Tables):
 
 @query(
     "p20_team_key",
-    f"""select doc_id, regexp_replace(replace(lower(translate(substr(text,1,60),'{text.ACCENTED}','{text.PLAIN}')),'&','and'),'[^a-z0-9]+','','g') as team_key
-        from (select doc_id, substr(text,1,60)||' & Co' as text from documents)""",
+    f"""select doc_id, length(k) as n, md5(k) as digest from (select doc_id, regexp_replace(replace(lower(translate(text||' & Co','{text.ACCENTED}','{text.PLAIN}')),'&','and'),'[^a-z0-9]+','','g') as k from documents)""",
 )
 def p20(t: Tables):
-    df = t.table("documents").selectExpr("doc_id", "substr(concat(substr(text,1,60),' & Co'),1,60) as s")
-    return df.select("doc_id", text.team_key(F.col("s")).alias("team_key"))
+    df = t.table("documents").select("doc_id", text.team_key(F.concat("text", F.lit(" & Co"))).alias("k"))
+    return df.selectExpr("doc_id", "cast(length(k) as bigint) as n", "md5(k) as digest")
 
 
 @query(
