@@ -62,14 +62,17 @@ def season_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def match_log(events: DataFrame) -> DataFrame:
-    """Raw events -> canonical event rows (a projection only)."""
+def match_log(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Raw events -> canonical event rows (a projection only); ``keep`` names raw columns to
+    carry along."""
+    keep = keep or []
     base = events.selectExpr(
         "event_id as e",
         "user_id as u",
         "event_type as kind",
         "value as v",
         "try_cast(get_json_object(props, '$.k') as bigint) as k",
+        *keep,
     ).selectExpr(
         "*",
         "e div 200 as m",
@@ -171,6 +174,7 @@ def match_log(events: DataFrame) -> DataFrame:
         "is_shot",
         "type = 'Goal' as is_goal",
         "home_team", "away_team", "home_id", "away_id", "kickoff",
+        *keep,
     )
 
 
