@@ -17,6 +17,8 @@ Every function is a projection; missing values make a flag false.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,17 @@ DEFENSIVE = "tackle|interception|clearance|block|recovery|challenge|aerial|duel"
 VOID_CARDS = "voidyellowcard|voidredcard|voidsecondyellow"
 
 
+_WORDS = re.compile(r"(\w+) rlike '([a-z]+(?:\|[a-z]+)*)'")
+
+
+def substring_tests(rule: str) -> str:
+    """A list of plain words needs no regular expression: substring tests are cheaper per row."""
+    return _WORDS.sub(lambda m: "(" + " or ".join(f"contains({m[1]},'{w}')" for w in m[2].split("|")) + ")", rule)
+
+
 def with_flags(df: DataFrame, **rules: str) -> DataFrame:
     """Add boolean columns; a rule that evaluates to null is false."""
-    return df.withColumns({n: F.coalesce(F.expr(r), F.lit(False)) for n, r in rules.items()})
+    return df.withColumns({n: F.coalesce(F.expr(substring_tests(r)), F.lit(False)) for n, r in rules.items()})
 
 
 def _pitch(df: DataFrame) -> DataFrame:
@@ -244,25 +254,25 @@ def flags_e(log: DataFrame) -> DataFrame:
 def flags_f(df: DataFrame) -> DataFrame:
     """Flags of the value models; names carry an ``f_`` prefix so they can sit on any set."""
     df = with_flags(
-        df.withColumn("tags_c", F.expr("transform(qual_tags, t -> lower(t))")),
+        df.withColumn("tags_c", F.expr("concat(',', lower(concat_ws(',', qual_tags)), ',')")),
         f_goal="is_goal or type_c = 'goal'",
         f_pass="contains(type_c,'pass') or type_c = 'cross'",
         f_carry="type_c in ('carry','dribble','takeon','run','inferredcarry')",
-        f_cross="array_contains(tags_c,'cross') or type_c = 'cross'",
-        f_big_chance="array_contains(tags_c,'bigchance')",
-        f_header="arrays_overlap(tags_c, array('header','headed','head'))",
-        f_first_time="arrays_overlap(tags_c, array('firsttime','firsttimefinish'))",
-        f_rebound="array_contains(tags_c,'rebound')",
-        f_fast_break="arrays_overlap(tags_c, array('fastbreak','counterattack'))",
-        f_through="arrays_overlap(tags_c, array('throughball','through'))",
-        f_cutback="arrays_overlap(tags_c, array('cutback','lowcentre','boxcentre'))",
-        f_penalty="arrays_overlap(tags_c, array('penalty','pen'))",
-        f_direct_fk="array_contains(tags_c,'freekick') and not"
-        " arrays_overlap(tags_c, array('cross','cornercrossed','freekickcrossed','indirect'))",
+        f_cross="contains(tags_c,',cross,') or type_c = 'cross'",
+        f_big_chance="contains(tags_c,',bigchance,')",
+        f_header="(contains(tags_c,',header,') or contains(tags_c,',headed,') or contains(tags_c,',head,'))",
+        f_first_time="(contains(tags_c,',firsttime,') or contains(tags_c,',firsttimefinish,'))",
+        f_rebound="contains(tags_c,',rebound,')",
+        f_fast_break="(contains(tags_c,',fastbreak,') or contains(tags_c,',counterattack,'))",
+        f_through="(contains(tags_c,',throughball,') or contains(tags_c,',through,'))",
+        f_cutback="(contains(tags_c,',cutback,') or contains(tags_c,',lowcentre,') or contains(tags_c,',boxcentre,'))",
+        f_penalty="(contains(tags_c,',penalty,') or contains(tags_c,',pen,'))",
+        f_direct_fk="contains(tags_c,',freekick,') and not"
+        " (contains(tags_c,',cross,') or contains(tags_c,',cornercrossed,') or contains(tags_c,',freekickcrossed,') or contains(tags_c,',indirect,'))",
         f_success=f"outcome_c in {SUCCESS}",
     )
     return with_flags(
         df,
         f_shot="is_shot or contains(type_c,'shot') or type_c = 'goal'",
-        f_set_piece="f_penalty or f_direct_fk or arrays_overlap(tags_c, array('corner','freekick','throwin','throw'))",
+        f_set_piece="f_penalty or f_direct_fk or (contains(tags_c,',corner,') or contains(tags_c,',freekick,') or contains(tags_c,',throwin,') or contains(tags_c,',throw,'))",
     )

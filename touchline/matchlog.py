@@ -126,6 +126,7 @@ def match_log(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
                  when q2 < 46 and type = 'Pass' then 'Corner' end as tag2""",
         "case when at_home then home_team else away_team end as team",
         "case when at_home then away_team else home_team end as opponent",
+        "concat('club', substr('abcdef', cast(if(at_home, home_no, away_no) as int) + 1, 1), league_no) as team_key",
         "case when at_home then home_id else away_id end as team_id",
         "type in ('Pass','Carry','Goal','SavedShot','MissedShots','BlockedShot','ShotOnPost') as has_end",
         f"type in {_SHOTS} as is_shot",
@@ -144,7 +145,7 @@ def match_log(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "clock / cast(60 as double) as expanded_minute",
         "cast(clock as double) as clock_s",
         "team",
-        "regexp_replace(lower(team), '[^a-z0-9]+', '') as team_key",
+        "team_key",
         "team_id",
         "case when at_home then 'home' else 'away' end as team_side",
         "opponent",

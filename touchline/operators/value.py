@@ -26,20 +26,19 @@ def with_zones(f: DataFrame) -> DataFrame:
 def zone_cells(f: DataFrame, scope: list[str] | None = None, include_set_pieces: bool = False) -> DataFrame:
     """Counts per (start zone, end zone): one partial aggregation over the events, at most
     192 x 193 rows per scope."""
-    df = with_zones(f).where("zone_start >= 0")
-    if not include_set_pieces:
-        df = df.where("not f_set_piece")
-    df = df.withColumn("_move", F.expr(_MOVE))
-    return (
-        df.withColumn("zone_end", F.expr("if(_move, zone_end, -1)"))
-        .groupBy(*(scope or []), "zone_start", "zone_end")
-        .agg(
-            F.count(F.lit(1)).alias("actions"),
-            F.count_if("_move").alias("moves"),
-            F.count_if("f_shot").alias("shots"),
-            F.count_if("f_goal").alias("goals"),
-        )
+    # No filter here: Spark would push it through every projection of the log and repeat their
+    # expressions inside it.  Rows outside the model fall into zone -1, dropped after counting.
+    out = "zone_start < 0" if include_set_pieces else "zone_start < 0 or f_set_piece"
+    df = with_zones(f).withColumn("_move", F.expr(f"coalesce({_MOVE}, false)"))
+    df = df.withColumns({"zone_start": F.expr(f"if({out}, -1, zone_start)"), "zone_end": F.expr("if(_move, zone_end, -1)")})
+    cells = df.groupBy(*(scope or []), "zone_start", "zone_end").agg(
+        F.count(F.lit(1)).alias("actions"),
+        F.count_if("_move").alias("moves"),
+        F.count_if("f_shot").alias("shots"),
+        F.count_if("f_goal").alias("goals"),
+        F.max("zone_start").alias("_zone"),
     )
+    return cells.where("_zone >= 0").drop("_zone")
 
 
 def zone_model(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -63,22 +62,15 @@ def solve_zones(cells: DataFrame, scope: list[str] | None = None, rounds: int =
     is one row of arrays and the rounds run inside one expression - no lineage grows.
     """
     scope = scope or []
-    model = zone_model(cells, scope)
-    moves = (
-        cells.where("zone_end >= 0")
-        .groupBy(*scope, "zone_start")
-        .agg(F.collect_list(F.struct("zone_end", "moves")).alias("targets"))
+    zone = cells.groupBy(*scope, "zone_start").agg(
+        *[F.sum(c).alias(c) for c in ("actions", "shots", "goals")],
+        F.collect_list(F.when(F.col("zone_end") >= 0, F.struct("zone_end", "moves"))).alias("targets"),
     )
-    zone = (
-        model.join(moves, [*scope, "zone_start"], "left")
-        .withColumn("payoff", F.expr("shot_p * goal_p"))
-        .withColumn(
-            "targets",
-            F.expr(
-                "transform(coalesce(targets, cast(array() as array<struct<zone_end:int,moves:bigint>>)),"
-                " t -> named_struct('to', t.zone_end, 'p', t.moves / cast(actions as double)))"
-            ),
-        )
+    zone = zone.withColumns(
+        {
+            "payoff": F.expr("if(shots > 0, shots / cast(actions as double) * (goals / cast(shots as double)), 0D)"),
+            "targets": F.expr("transform(targets, t -> named_struct('to', t.zone_end, 'p', t.moves / cast(actions as double)))"),
+        }
     )
     packed = zone.groupBy(*scope).agg(
         F.map_from_entries(F.collect_list(F.struct("zone_start", F.struct("payoff", "targets")))).alias("zones")
@@ -110,11 +102,13 @@ def value_actions(f: DataFrame, grid: DataFrame, scope: list[str] | None = None)
     return df.withColumn("xt_added", F.expr("xt_end - xt_start"))
 
 
-def attach_values(prepared: DataFrame) -> DataFrame:
+def attach_values(prepared: DataFrame, grid: DataFrame) -> DataFrame:
     """Every prepared row with xt_added, positive_xt (0 where not a successful move) and, on
-    shots, xg.  The value is looked up on the row itself, so no self join is needed."""
+    shots, xg.  The value is looked up on the row itself, so no self join is needed.
+
+    ``grid`` comes from ``solve_zones`` over the log: training reads plain event rows, so it is
+    a projection and one partial aggregation, without the windows behind ``prepared``."""
     f = with_zones(flags.flags_f(prepared))
-    grid = solve_zones(zone_cells(flags.flags_f(prepared)))
     # row lookup: two joins with the 192-row grid
     g = F.broadcast(grid)
     df = (

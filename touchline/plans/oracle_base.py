@@ -316,9 +316,10 @@ _ZE = "case when end_x is null or end_y is null then -1 else (least(greatest(flo
 cte("pf", f"""select *, case when f_carry then 'carry' when f_cross then 'cross' when f_pass then 'pass' else 'other' end as action_type,
   coalesce((f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start>=0 and zone_end>=0,false) as f_move
   from (select *, {_FEXPR}, {_ZS} as zone_start, {_ZE} as zone_end from (select *, list_transform(qual_tags, lambda t: lower(t)) as tc from prep))""")
+cte("zf", f"""select *, coalesce((f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start>=0 and zone_end>=0,false) as f_move from (select *, {_ZS} as zone_start, {_ZE} as zone_end from ff)""")
 cte("zcell", """select zone_start, case when f_move then zone_end else -1 end as zone_end, count(*) as actions,
   count(*) filter (f_move) as moves, count(*) filter (f_shot) as shots, count(*) filter (f_goal) as goals
-  from pf where zone_start>=0 and not f_set_piece group by all""")
+  from zf where zone_start>=0 and not f_set_piece group by all""")
 cte("zrow", """select zone_start, sum(actions)::double as actions, sum(moves)::double as moves, sum(shots)::double as shots, sum(goals)::double as goals from zcell group by 1""")
 cte("zall", """select list({p:coalesce(p,0), e:coalesce(e,[]), w:coalesce(w,[])} order by i) as zs from (
   select i, (select case when r.shots>0 then r.shots/r.actions*(r.goals/r.shots) else 0 end from zrow r where r.zone_start=i) as p,

@@ -169,10 +169,9 @@ def j23b(t: Tables):
  c as (select match_id,team,player,count(*) as touches from fc where expanded_minute<=60 and is_touch group by all)
  select z.*, m.xt, coalesce(c.touches,0) as touches from z left join xtm m using(zone) left join c using(match_id,team,player)""")
 def j30(t: Tables):
-    from touchline.functions import flags, geometry
-    from touchline.operators import value
+    from touchline.functions import geometry
 
-    grid = F.broadcast(value.solve_zones(value.zone_cells(flags.flags_f(t.prep))))  # 192 rows
+    grid = F.broadcast(t.grid)  # 192 rows
     spots = links.latest_locations(t.c, 60).withColumn("zone", geometry.value_zone("x", "y"))
     touches = t.c.where("expanded_minute <= 60 and is_touch").groupBy("match_id", "team", "player").agg(F.count(F.lit(1)).alias("touches"))
     df = spots.join(grid, "zone", "left").join(touches, ["match_id", "team", "player"], "left")

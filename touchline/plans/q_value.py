@@ -12,25 +12,23 @@ from touchline.functions import flags
 @query("a49_zone_counts", """select zone_start,actions::bigint as actions,moves::bigint as moves,shots::bigint as shots,goals::bigint as goals,
  moves/actions as move_p, shots/actions as shot_p, case when shots>0 then goals/shots else 0 end as goal_p from zrow""")
 def a49(t: Tables):
-    return value.zone_model(value.zone_cells(flags.flags_f(t.prep)))
+    return value.zone_model(value.zone_cells(t.f))
 
 
 @query("a49_zone_transitions", "select zone_start,zone_end,moves from zcell where zone_end>=0")
 def a49b(t: Tables):
-    return value.zone_cells(flags.flags_f(t.prep)).where("zone_end >= 0").select("zone_start", "zone_end", "moves")
+    return value.zone_cells(t.f).where("zone_end >= 0").select("zone_start", "zone_end", "moves")
 
 
 @query("m03_zone_values", "select * from xtm")
 def m03(t: Tables):
-    return value.solve_zones(value.zone_cells(flags.flags_f(t.prep)))
+    return t.grid
 
 
 @query("m04_action_values", """select p.match_id,p.event_index,p.action_type,s.xt as xt_start,e.xt as xt_end,e.xt-s.xt as xt_added
  from pf p join xtm s on s.zone=p.zone_start join xtm e on e.zone=p.zone_end where f_move""")
 def m04(t: Tables):
-    f = flags.flags_f(t.prep)
-    grid = value.solve_zones(value.zone_cells(f))
-    return value.value_actions(f, grid).select("match_id", "event_index", "action_type", "xt_start", "xt_end", "xt_added")
+    return value.value_actions(flags.flags_f(t.prep), t.grid).select("match_id", "event_index", "action_type", "xt_start", "xt_end", "xt_added")
 
 
 @query("j03_attach_values", "select match_id,event_index,xt_added,positive_xt,xg from pv")
@@ -45,8 +43,7 @@ def j03(t: Tables):
 def a09(t: Tables):
     from touchline.operators.players import player_xt
 
-    f = flags.flags_f(t.prep)
-    return player_xt(value.value_actions(f, value.solve_zones(value.zone_cells(f))))
+    return player_xt(value.value_actions(flags.flags_f(t.prep), t.grid))
 
 
 @query("k04_top_actions", """with a as (select match_id,event_index,team,player,action_type,xt_added,row_number() over (partition by match_id order by round(xt_added,9) desc,event_index)::int as pos from pv where f_move)

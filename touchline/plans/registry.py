@@ -78,7 +78,14 @@ class Tables:
         """Prepared events with shot and ball-movement values."""
         from touchline.operators import value
 
-        return value.attach_values(self.prep)
+        return value.attach_values(self.prep, self.grid)
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        """Value of the 192 zones, trained on the whole log."""
+        from touchline.operators import value
+
+        return value.solve_zones(value.zone_cells(self.f))
 
 
 def query(name: str, check: str | None = None):
