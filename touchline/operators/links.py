@@ -31,7 +31,27 @@ CLOCK_KEY = f"cast(clock_s * {SECOND} as bigint)"
 ORDER_KEY = f"cast(clock_s * {SECOND} as bigint) + cast(round(event_index * 1000) as bigint)"
 
 
-def following(df: DataFrame, rules: dict[str, tuple[str, str, float]], payload: list[str], strict: bool = False) -> DataFrame:
+def with_halo(df: DataFrame, seconds: float, block: float) -> DataFrame:
+    """Cut every period into blocks of the clock and lend each block the rows of the next one
+    that a look-ahead of ``seconds`` can reach (marked ``_halo``)."""
+    inside = f"clock_s - floor(clock_s / {block}) * {block} <= {seconds + 1}"
+    df = df.withColumn("_halo", F.explode(F.expr(f"if({inside}, array(false, true), array(false))")))
+    return df.withColumn("_block", F.expr(f"cast(floor(clock_s / {block}) as bigint) - cast(_halo as int)"))
+
+
+def following_in_blocks(
+    df: DataFrame, rules: dict[str, tuple[str, str, float]], payload: list[str], strict: bool = False, block: float = 60.0
+) -> DataFrame:
+    """``following`` for logs whose matches have no size bound: no task sees more than one block
+    of the clock of one match, whatever share of the rows that match holds."""
+    reach = max(s for _, _, s in rules.values())
+    out = following(with_halo(df, reach, block), rules, payload, strict, ["match_id", "period", "_block"])
+    return out.where("not _halo").drop("_halo", "_block")
+
+
+def following(
+    df: DataFrame, rules: dict[str, tuple[str, str, float]], payload: list[str], strict: bool = False, keys: list[str] | None = None
+) -> DataFrame:
     """For each rule (mask, whose, seconds) the first later event of the period that fits.
 
     ``whose`` is "own", "other" or "any".  Adds one struct column per rule (null if none);
@@ -42,7 +62,7 @@ def following(df: DataFrame, rules: dict[str, tuple[str, str, float]], payload:
     item = F.struct("clock_s", "event_index", *payload)
     for name, (mask, whose, seconds) in rules.items():
         upper = int(seconds * SECOND) + (0 if strict else SLACK)
-        w = Window.partitionBy("match_id", "period").orderBy("_key").rangeBetween(1, upper)
+        w = Window.partitionBy(*(keys or ["match_id", "period"])).orderBy("_key").rangeBetween(1, upper)
         if whose == "any":
             found = F.min(F.when(F.expr(mask), item)).over(w)
         else:
@@ -296,14 +316,15 @@ def season_final_third_passes(e: DataFrame) -> DataFrame:
     )
 
 
-def transition_links(prepared: DataFrame) -> DataFrame:
+def transition_links(prepared: DataFrame, in_blocks: bool = False) -> DataFrame:
     """Regains and losses with the first shot or box entry of either side within 15 s."""
     rules = {
         "own_shot": ("is_shot", "own", 15), "own_box": ("box_entry", "own", 15),
         "own_pass": ("is_pass or is_cross", "own", 15),
         "other_shot": ("is_shot", "other", 15), "other_box": ("box_entry", "other", 15),
     }
-    df = following(prepared, rules, ["player", "type"], strict=True)
+    find = following_in_blocks if in_blocks else following
+    df = find(prepared, rules, ["player", "type"], strict=True)
     return with_flags(
         df,
         is_loss="(is_pass or is_cross or is_carry or is_take_on) and not is_success",
@@ -311,8 +332,8 @@ def transition_links(prepared: DataFrame) -> DataFrame:
     )
 
 
-def transition_outcomes(prepared: DataFrame) -> DataFrame:
-    df = transition_links(prepared)
+def transition_outcomes(prepared: DataFrame, in_blocks: bool = False) -> DataFrame:
+    df = transition_links(prepared, in_blocks)
     n = lambda r: F.count_if(F.expr(r))
     return df.groupBy("match_id", "team").agg(
         n("is_defensive_action").alias("regains"),

@@ -18,6 +18,13 @@ def j11(t: Tables):
     return df.where("is_defensive_action and shot is not null").selectExpr("match_id", "event_index", "shot.event_index as shot_index")
 
 
+@query("j11_first_following_in_blocks", """select c.match_id,c.event_index,min(n.event_index) as shot_index from fc c join fc n on n.match_id=c.match_id and n.period=c.period
+ and n.team=c.team and n.is_shot and n.clock_s>c.clock_s and n.clock_s<=c.clock_s+15 where c.is_defensive_action group by 1,2""")
+def j11b(t: Tables):
+    df = links.following_in_blocks(t.c, {"shot": ("is_shot", "own", 15)}, [], strict=True)
+    return df.where("is_defensive_action and shot is not null").selectExpr("match_id", "event_index", "shot.event_index as shot_index")
+
+
 cte("recv", """with c as (select a.match_id,a.event_index,b.player,b.pos,row_number() over (partition by a.match_id,a.event_index order by b.pos) as rn
  from runs a join runs b on b.match_id=a.match_id and b.run_id=a.run_id and b.pos>a.pos and b.pos<=a.pos+8 and b.clock_s-a.clock_s between 0 and 12
  where (a.is_pass or a.is_cross) and a.end_x is not null and b.player<>a.player and b.type_c not in ('substitution','formationchange','card','start','end','offsidegiven'))
@@ -157,6 +164,11 @@ def j23(t: Tables):
     return links.transition_outcomes(t.prep)
 
 
+@query("j23_transition_outcomes_in_blocks", "select * from trans")
+def j23c(t: Tables):
+    return links.transition_outcomes(t.prep, in_blocks=True)
+
+
 @query("j23_transition_players", """with g as (select match_id,team,player,count(*) filter (is_defensive_action) as regains,count(*) filter (is_defensive_action and x>=60) as high_regains,
  count(*) filter ((is_pass or is_cross or is_carry or is_take_on) and not is_success) as losses from prep group by all)
  select *, (regains+0.75*high_regains-0.35*losses)::double as transition_score from g where regains>0 or losses>0""")

@@ -46,19 +46,28 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def ingest_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving rows are flagged and replace the stored rows of their season (dynamic
-    partition overwrite inside foreachBatch, so a repeated batch is idempotent)."""
+def ingest_by_match(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Arriving matches replace the stored rows of the same match id.
+
+    A file holds whole matches.  Every micro-batch owns one directory, overwritten if the batch
+    is repeated after a failure, so stored matches are never read and rewritten in place;
+    ``latest_matches`` shows the newest rows of each match."""
     path, state = scratch_dir(spark, "ingest"), scratch_dir(spark, "ingest-state")
-    flagged = flags_b(matchlog.match_log(event_stream(spark, sf_dir))).select(
+    flagged = flags_b(matchlog.match_log(event_stream(spark, sf_dir, files_per_batch))).select(
         "season", "match_id", "event_index", "team", "type", "is_shot", "is_pass", "box_entry"
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     flagged.writeStream.foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    return latest_matches(spark.read.parquet(path))
+
+
+def latest_matches(stored: DataFrame) -> DataFrame:
+    """Rows of the newest batch of every match (batch numbers per match combine map-side)."""
+    newest = stored.groupBy("match_id").agg(F.max("batch").alias("batch"))
+    return stored.join(newest, ["match_id", "batch"], "left_semi").drop("batch")
 
 
 def momentum_windows(events: DataFrame, length: str = "10 minutes") -> DataFrame:
