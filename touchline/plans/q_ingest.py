@@ -15,12 +15,12 @@ from touchline.sources import documents, tables
 _HEADER = "event_id,kind,user,value"
 
 
-@query("s01_resilient_csv", """select event_id::varchar as event_id,event_type as kind,case when event_id%7=0 then '' else user_id::varchar end as "user",case when event_id%7=0 then '' else (event_id%50)::varchar end as "value",case when event_id%7=0 or event_id%11=0 then 'repaired_field_count' else 'normal' end as read_mode from events where event_id%13<>5""")
+@query("s01_resilient_csv", """select event_id::varchar as event_id,event_type as kind,case when event_type='signup' then '' else user_id::varchar end as "user",case when event_type='signup' then '' else (event_id%50)::varchar end as "value",case when event_type in ('signup','error') then 'repaired_field_count' else 'normal' end as read_mode from events""")
 def s01(t: Tables):
+    full = "concat_ws(',', event_id, event_type, user_id, event_id % 50)"
     lines = t.events.selectExpr(
-        "case when event_id % 13 = 5 then '  ' when event_id % 7 = 0 then concat_ws(',', event_id, event_type)"
-        " when event_id % 11 = 0 then concat_ws(',', event_id, event_type, user_id, event_id % 50, 'extra', 'more')"
-        " else concat_ws(',', event_id, event_type, user_id, event_id % 50) end as value"
+        f"explode(case event_type when 'signup' then array(concat_ws(',', event_id, event_type)) when 'error' then array(concat({full}, ',extra,more'))"
+        f" when 'purchase' then array('', {full}, '  ') else array({full}) end) as value"
     )
     return tables.parse_lines(lines, _HEADER)
 
@@ -56,14 +56,14 @@ def s03(t: Tables):
 @query("s04_season_load", "select distinct match_id,event_index,team,type,x,end_x from log")
 def s04(t: Tables):
     cols = ["match_id", "period", "expanded_minute", "event_index", "team", "player", "type", "outcome", "x", "y", "end_x", "end_y"]
-    a = t.log.where("team_side = 'home'").select(*cols, F.lit("home file").alias("source"))
-    b = t.log.where("team_side = 'away' or event_id % 2 = 0").select(*cols)
-    return tables.season_events([a, b]).select("match_id", "event_index", "team", "type", "x", "end_x")
+    home = t.log.where("team_side = 'home'").select(*cols, F.lit("home file").alias("source"))
+    away = t.log.where("team_side = 'away' or is_shot").select(*cols)  # shots are in both files
+    return tables.season_events([home, away]).select("match_id", "event_index", "team", "type", "x", "end_x")
 
 
 @query("s05_match_load", "select match_id,event_index,team_side,type from log where match_id=3")
 def s05(t: Tables):
-    twice = t.log.unionByName(t.log.where("event_id % 2 = 0"))
+    twice = t.log.unionByName(t.log.where("is_shot"))
     return tables.match_events(twice, 3).select("match_id", "event_index", "team_side", "type")
 
 
@@ -100,10 +100,11 @@ def s10(t: Tables):
     return tables.typed_output(df)
 
 
-@query("s11_event_upsert", "select match_id,event_index,case when match_id%4=0 then 'new' else 'old' end as version from log where not (match_id%4=0 and event_index>=50)")
+@query("s11_event_upsert", "select match_id,event_index,case when w then 'new' else 'old' end as version from log join (select match_id,home_score>away_score as w from sched) using(match_id) where not (w and period=2)")
 def s11(t: Tables):
+    won = t.schedule.where("home_score > away_score").select("match_id")
     old = t.log.selectExpr("match_id", "event_index", "'old' as version")
-    new = t.log.where("match_id % 4 = 0 and event_index < 50").selectExpr("match_id", "event_index", "'new' as version")
+    new = t.log.where("period = 1").join(won, "match_id", "left_semi").selectExpr("match_id", "event_index", "'new' as version")
     return tables.upsert_matches(old, new)
 
 
@@ -116,11 +117,11 @@ def s11b(t: Tables):
     return t.spark.read.parquet(path).groupBy("season").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s12_schedule_upsert", "select o_orderkey,case when o_orderkey%3=0 then 'new' else o_orderstatus end as status,case when o_orderkey%3=0 then o_totalprice end as extra from orders")
+@query("s12_schedule_upsert", "select o_orderkey,case when o_orderstatus='F' then 'new' else o_orderstatus end as status,case when o_orderstatus='F' then o_totalprice end as extra from orders")
 def s12(t: Tables):
     o = t.table("orders")
     old = o.selectExpr("o_orderkey", "o_orderstatus as status")
-    new = o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey", "'new' as status", "o_totalprice as extra")
+    new = o.where("o_orderstatus = 'F'").selectExpr("o_orderkey", "'new' as status", "o_totalprice as extra")
     return tables.upsert_by_key(old, new, ["o_orderkey"])
 
 
@@ -132,10 +133,10 @@ def s13(t: Tables):
     return tables.upsert_positions(old, new)
 
 
-@query("s14_failed_log", "select match_id,case when match_id%5=0 then 'new' else 'old' end as reason from sched where match_id%5=0 or (match_id%2=0 and match_id%3<>0)")
+@query("s14_failed_log", "select match_id,case when status is null then 'new' else 'old' end as reason from sched where status is null or (home_score=0 and away_score<>0)")
 def s14(t: Tables):
     s = t.schedule
-    return tables.failed_log(s.where("match_id % 2 = 0").selectExpr("match_id", "'old' as reason"), s.where("match_id % 3 = 0 and match_id % 5 <> 0").select("match_id"), s.where("match_id % 5 = 0").selectExpr("match_id", "'new' as reason"))
+    return tables.failed_log(s.where("home_score = 0").selectExpr("match_id", "'old' as reason"), s.where("away_score = 0").select("match_id"), s.where("status is null").selectExpr("match_id", "'new' as reason"))
 
 
 def _docs(t: Tables):
@@ -178,11 +179,11 @@ def s18(t: Tables):
     return back.withColumn("n", F.size(F.from_json("as_text", "array<string>")).cast("bigint"))
 
 
-@query("s19_freshness", "select 'f'||match_id as path,case when match_id%7=0 then 'removed' when match_id%5=0 then 'new' when match_id%3=0 then 'changed' else 'current' end as state from sched")
+@query("s19_freshness", "select 'f'||match_id as path,case when home_score=3 then 'new' when away_score=2 then 'removed' when home_score=1 then 'changed' else 'current' end as state from sched where not (home_score=3 and away_score=2)")
 def s19(t: Tables):
     s = t.schedule
-    prev = s.where("match_id % 5 <> 0 or match_id % 7 = 0").selectExpr("concat('f', match_id) as path", "match_id as length", "kickoff as modified")
-    now = s.where("match_id % 7 <> 0").selectExpr("concat('f', match_id) as path", "match_id + int(match_id % 3 = 0) as length", "kickoff as modified")
+    prev = s.where("home_score <> 3").selectExpr("concat('f', match_id) as path", "match_id as length", "kickoff as modified")
+    now = s.where("away_score <> 2").selectExpr("concat('f', match_id) as path", "match_id + int(home_score = 1) as length", "kickoff as modified")
     return tables.freshness(prev, now)
 
 
@@ -247,17 +248,22 @@ def j08(t: Tables):
     return tables.prefix_join(names, teams)
 
 
-_COV = """with p as (select match_id,team_key,count(*) as n from log where not (match_id%6=0) and not (match_id%5=0 and team_side='away') group by 1,2), f as (select match_id,'timeout' as reason from sched where match_id%10=0),
+_COV = """with p as (select match_id,team_key,count(*) as n from log join (select match_id,status as st,away_score as aw from sched) using(match_id) where st is not null and not (aw=2 and team_side='away') group by 1,2), f as (select match_id,'timeout' as reason from sched where home_score=0),
  j as (select s.*,coalesce(h.n,0) as home_rows,coalesce(a.n,0) as away_rows,f.reason,coalesce(status in ('6','FT','AET','PEN'),false) or coalesce(elapsed in ('FT','AET','PEN','FULL TIME'),false) as finished from sched s left join p h on h.match_id=s.match_id and h.team_key=s.home_key left join p a on a.match_id=s.match_id and a.team_key=s.away_key left join f on f.match_id=s.match_id),
  k as (select *, case when home_rows>0 and away_rows>0 then 'complete' when home_rows>0 or away_rows>0 then 'partial' else 'missing' end as data_status from j)
  select nation,tier,season,match_id,home_team,away_team,kickoff,finished,home_rows,away_rows,data_status,case when data_status='complete' then 'saved' when not finished then 'not_finished' when reason is not null and data_status='partial' then 'failed_partial' when reason is not null then 'failed' when data_status='partial' then 'to_complete' else 'to_fetch' end as scrape_status from k"""
 cte("cov", _COV)
 
 
+def _saved(t: Tables):
+    """Rows on disk: matches without a status are not fetched, some away files are missing."""
+    state = t.schedule.selectExpr("match_id", "status", "away_score")
+    return t.log.join(state, "match_id").where("status is not null and not (away_score = 2 and team_side = 'away')")
+
+
 def _coverage(t: Tables):
-    saved = t.log.where("match_id % 6 <> 0 and not (match_id % 5 = 0 and team_side = 'away')")
-    failed = t.schedule.where("match_id % 10 = 0").selectExpr("match_id", "'timeout' as reason")
-    return tables.coverage(t.schedule, saved, failed)
+    failed = t.schedule.where("home_score = 0").selectExpr("match_id", "'timeout' as reason")
+    return tables.coverage(t.schedule, _saved(t), failed)
 
 
 @query("j09_coverage", "select * from cov")
@@ -271,15 +277,15 @@ def a47(t: Tables):
     return tables.coverage_overview(_coverage(t))
 
 
-@query("j10_fixture_availability", "select match_id,home_team,away_team,kickoff,status,match_id%6<>0 as has_home,match_id%6<>0 and match_id%5<>0 as has_away,match_id%6<>0 and match_id%5<>0 as has_both from sched")
+@query("j10_fixture_availability", "select match_id,home_team,away_team,kickoff,status,status is not null as has_home,status is not null and away_score<>2 as has_away,status is not null and away_score<>2 as has_both from sched")
 def j10(t: Tables):
-    return tables.fixtures(t.schedule, t.log.where("match_id % 6 <> 0 and not (match_id % 5 = 0 and team_side = 'away')"))
+    return tables.fixtures(t.schedule, _saved(t))
 
 
-@query("j28_schedule_merge", "select match_id,case when match_id%2=0 and match_id%3<>0 then 'E'||match_id when match_id%4<>0 then 'P'||match_id when match_id%2=0 and match_id%3=0 then null else null end as venue,status,match_id%4=0 and match_id%2=0 as added from sched where match_id%4<>0 or match_id%2=0")
+@query("j28_schedule_merge", "select match_id,case when away_score<>0 and home_score<>1 then 'E'||match_id when home_score<>0 then 'P'||match_id end as venue,status,home_score=0 as added from sched where home_score<>0 or away_score<>0")
 def j28(t: Tables):
-    pri = t.schedule.where("match_id % 4 <> 0").selectExpr("match_id", "concat('P', match_id) as venue", "status")
-    enr = t.schedule.where("match_id % 2 = 0").selectExpr("match_id", "if(match_id % 3 = 0, null, concat('E', match_id)) as venue", "status")
+    pri = t.schedule.where("home_score <> 0").selectExpr("match_id", "concat('P', match_id) as venue", "status")
+    enr = t.schedule.where("away_score <> 0").selectExpr("match_id", "if(home_score = 1, null, concat('E', match_id)) as venue", "status")
     return tables.merge_schedules(pri, enr)
 
 
@@ -293,12 +299,12 @@ def u01(t: Tables):
 
 @query("u02_event_dedupe", "select match_id,event_index,type,player from log")
 def u02(t: Tables):
-    return tables.dedupe_events(t.log.unionByName(t.log.where("event_id % 3 = 0"))).select("match_id", "event_index", "type", "player")
+    return tables.dedupe_events(t.log.unionByName(t.log.where("is_shot"))).select("match_id", "event_index", "type", "player")
 
 
-@query("u03_id_set_operations", """select match_id,'both' as kind from sched where match_id%2=0 and match_id%3=0 union all select match_id,'left' from sched where match_id%2=0 and match_id%3<>0 union all select match_id,'any' from sched where match_id%2=0 or match_id%3=0""")
+@query("u03_id_set_operations", """select match_id,'both' as kind from sched where home_score=0 and away_score=0 union all select match_id,'left' from sched where home_score=0 and away_score<>0 union all select match_id,'any' from sched where home_score=0 or away_score=0""")
 def u03(t: Tables):
-    a, b = t.schedule.where("match_id % 2 = 0").select("match_id"), t.schedule.where("match_id % 3 = 0").select("match_id")
+    a, b = t.schedule.where("home_score = 0").select("match_id"), t.schedule.where("away_score = 0").select("match_id")
     tag = lambda d, k: d.withColumn("kind", F.lit(k))
     return tag(a.intersect(b), "both").union(tag(a.subtract(b), "left")).union(tag(a.union(b).distinct(), "any"))
 

@@ -115,9 +115,9 @@ cte("rad", f"""with l as (select nation,tier,season,team,metric,value,metric in
  select *, case when teams>1 then 100.0*(teams-rank)/(teams-1) else 100 end as percentile from w""")
 
 
-def _radar(t: Tables):
+def _radar(t: Tables, valued=None):
     credits = value.shot_assists(sequences.possessions(t.f))
-    return league.radar(league.radar_rows(t.e, t.valued, credits))
+    return league.radar(league.radar_rows(t.e, t.valued if valued is None else valued, credits))
 
 
 @query("a45_league_radar", "select * from rad")

@@ -113,7 +113,7 @@ def a18b(t: Tables):
  h as (select *, xt_created+attributed_xg as threat from g), r as (select *, {_SH('threat')} as share, row_number() over (partition by match_id,team order by round(threat,9) desc,cell)::int as rank from h)
  select *, rank<=5 and threat>0 as top_box from r""")
 def a19(t: Tables):
-    return maps.threat_boxes(t.valued)
+    return maps.threat_boxes(t.stored)
 
 
 @query("a20_chain_funnel", """with c as (select match_id,team,attack_chain_id,bool_or(coalesce(x>=33.33,false) or coalesce(end_x>=33.33,false)) as m,bool_or(final_third_entry or coalesce(x>=66.67,false) or coalesce(end_x>=66.67,false)) as f,
@@ -172,7 +172,7 @@ def a23(t: Tables):
  j as (select a.match_id,a.team,a.actions,a.mean_x,case when a.actions>0 then 100.0*a.deep/a.actions else 0 end as deep_share,case when a.actions>0 then 100.0*a.high/a.actions else 0 end as high_share,case when o.xt>0 then 100.0*o.cxt/o.xt else 0 end as central_share,case when o.en>0 then 100.0*o.es/o.en else 0 end as entry_shot_rate,o.xt as xt_allowed,o.en as entries_allowed,o.shots as os from g a join g o on o.match_id=a.match_id and o.team<>a.team)
  select * exclude (os), case when actions=0 then 'No clear block profile' when mean_x<38 and entry_shot_rate<=32 and central_share<=42 then 'Deep compact block' when mean_x<38 then 'Deep pressure survival' when mean_x<58 and entry_shot_rate<=38 and central_share<=45 then 'Mid block control' when mean_x<58 then 'Mid block exposed' when high_share>=35 and entries_allowed<=greatest(4,os*2) then 'High disruption profile' when high_share>=35 then 'High press exposed behind' else 'Unclear mixed profile' end as block_label from j""")
 def a24(t: Tables):
-    return defence.height_profile(t.valued)
+    return defence.height_profile(t.stored)
 
 
 def _block(by: str) -> str:
@@ -342,7 +342,7 @@ cte("hlayers", """select match_id,team,'shots' as layer,x as hx,y as hy,xg as we
 
 @query("a63_danger_heat", _grid("hlayers", "match_id,team,layer", "hx", "hy", "weight"))
 def a63(t: Tables):
-    return maps.visible_heat(t.valued, maps.shot_sequences(t.valued))
+    return maps.visible_heat(t.stored, maps.shot_sequences(t.stored))
 
 
 # ------------------------------------------------------------------ set pieces

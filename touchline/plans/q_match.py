@@ -246,13 +246,13 @@ cte("bp", """with p as (select match_id,team,player,count(*) filter (is_goal) as
 
 @query("a28_best_players", "select * from bp")
 def a28(t: Tables):
-    return squads.best_players(t.valued)
+    return squads.best_players(t.stored)
 
 
 @query("k01_best_player_lists", """with u as (select match_id,team,player,x.list,round(case x.list when 'attacking' then attacking_score when 'defensive' then defensive_score when 'transition' then transition_score when 'set_piece' then set_piece_score else overall_score end,8) as score from bp cross join (values ('attacking'),('defensive'),('transition'),('set_piece'),('overall')) x(list))
  select * from (select *, row_number() over (partition by match_id,team,list order by score desc,player)::int as pos from u where score>0) where pos<=8""")
 def k01(t: Tables):
-    return squads.best_lists(squads.best_players(t.valued))
+    return squads.best_lists(squads.best_players(t.stored))
 
 
 cte("pxg", "select ff.season,ff.nation,ff.tier,ff.team,ff.player,ff.player_id,sum(l.xg) as xg from ff join logx l using(event_id) where ff.f_shot group by all")

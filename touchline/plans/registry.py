@@ -87,6 +87,13 @@ class Tables:
 
         return value.solve_zones(value.zone_cells(self.f))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The valued events written once and read back, for queries with several branches."""
+        from touchline.sources.store import prepared_table
+
+        return prepared_table(self.valued)
+
 
 def query(name: str, check: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with its DuckDB check."""
