@@ -226,7 +226,7 @@ def pair_radar(summary: DataFrame) -> DataFrame:
     raw = {
         "progression": "final_third_entries + progressive_carries + carry_final_third_entries",
         "final_third": "final_third_entries + 0.35D * attacking_third_touches",
-        "box_threat": "box_entries + 1.5D * shots + 4D * xg",
+        "box_threat": "box_entries + 2D * shots + 7.5D * xg",
         "control": "0.12D * passes + 0.55D * pass_completion_pct + 0.35D * average_x",
         "counter_pressure": "2.4D * high_regains + defensive_actions + 1.2D * interceptions",
         "set_pieces": "0.6D * corners + 0.25D * free_kicks + 2.5D * set_piece_shots + 5D * set_piece_goals",

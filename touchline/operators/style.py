@@ -115,9 +115,10 @@ def season_style_tags(e: DataFrame) -> DataFrame:
         F.avg(F.expr("if(e_defensive, ex, null)")).alias("depth"), F.count_distinct("match_id").alias("matches"),
     )
     rules = [
-        ("pass heavy", "100D * passes / rows >= 48"), ("box access", "bx >= 0.42D * greatest(ft, 1)"), ("wide attack", "100D * wide / greatest(moves, 1) >= 52"),
-        ("central attack", "100D * central / greatest(moves, 1) >= 38"), ("high regains", "reg / cast(matches as double) >= 4"),
-        ("set piece threat", "sps / cast(matches as double) >= 2"), ("deep defending", "depth < 45"), ("progressive", "ft / cast(matches as double) >= 10"),
+        ("Possession heavy", "100D * passes / rows >= 48"), ("Direct", "ft > 0 and bx / cast(ft as double) >= 0.42"),
+        ("Wing focused", "100D * wide / greatest(moves, 1) >= 52"), ("Central progression", "100D * central / greatest(moves, 1) >= 38"),
+        ("High pressing", "reg >= greatest(6, matches * 2)"), ("Transition threat", "reg >= greatest(4, matches) and bx >= greatest(3, matches)"),
+        ("Set piece threat", "sps >= greatest(2, matches)"), ("Deep defending", "depth > 0 and depth < 45 and reg < greatest(4, matches)"),
     ]
     tags = F.slice(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(t)) for t, r in rules])), 1, 7)
     return df.select(*keys, F.array_join(tags, "; ").alias("tags"))

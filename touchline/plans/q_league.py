@@ -125,7 +125,7 @@ def a45(t: Tables):
     return _radar(t)
 
 
-@query("a46_pair_radar", """with r as (select match_id,team,(final_third_entries+progressive_carries+carry_final_third_entries)::double as progression,(final_third_entries+0.35*attacking_third_touches)::double as final_third,(box_entries+1.5*shots+4*xg)::double as box_threat,(0.12*passes+0.55*pass_completion_pct+0.35*average_x)::double as control,(2.4*high_regains+defensive_actions+1.2*interceptions)::double as counter_pressure,(0.6*corners+0.25*free_kicks+2.5*set_piece_shots+5*set_piece_goals)::double as set_pieces from ts)
+@query("a46_pair_radar", """with r as (select match_id,team,(final_third_entries+progressive_carries+carry_final_third_entries)::double as progression,(final_third_entries+0.35*attacking_third_touches)::double as final_third,(box_entries+2*shots+7.5*xg)::double as box_threat,(0.12*passes+0.55*pass_completion_pct+0.35*average_x)::double as control,(2.4*high_regains+defensive_actions+1.2*interceptions)::double as counter_pressure,(0.6*corners+0.25*free_kicks+2.5*set_piece_shots+5*set_piece_goals)::double as set_pieces from ts)
  select a.match_id,a.team,""" + ",".join(f"least(greatest(a.{k}/greatest(abs(a.{k}),abs(o.{k}),1)*100,0),100) as {k}" for k in ("progression", "final_third", "box_threat", "control", "counter_pressure", "set_pieces")) + """,
  case when o.box_threat<=0 then 100 when a.box_threat>0 then least(a.box_threat,o.box_threat)/o.box_threat*100 else 100 end as box_defending from r a join r o on o.match_id=a.match_id and o.team<>a.team""")
 def a46(t: Tables):

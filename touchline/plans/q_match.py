@@ -130,7 +130,7 @@ def a32(t: Tables):
 
 
 @query("p52_season_tags", f"""with g as (select {_K},count(*) as rows,count(*) filter (e_pass) as passes,count(*) filter (e_final_third) as ft,count(*) filter (e_box) as bx,count(*) filter (e_move) as moves,count(*) filter (e_wide) as wide,count(*) filter (e_central) as central,count(*) filter (e_regain) as reg,count(*) filter (e_set_piece and e_shot) as sps,avg(ex) filter (e_defensive) as depth,count(distinct match_id) as matches from fe group by all)
- select {_K},array_to_string(list_filter([case when 100.0*passes/rows>=48 then 'pass heavy' end,case when bx>=0.42*greatest(ft,1) then 'box access' end,case when 100.0*wide/greatest(moves,1)>=52 then 'wide attack' end,case when 100.0*central/greatest(moves,1)>=38 then 'central attack' end,case when reg/matches>=4 then 'high regains' end,case when sps/matches>=2 then 'set piece threat' end,case when depth<45 then 'deep defending' end,case when ft/matches>=10 then 'progressive' end], lambda z: z is not null)[1:7],'; ') as tags from g""")
+ select {_K},array_to_string(list_filter([case when 100.0*passes/rows>=48 then 'Possession heavy' end,case when ft>0 and bx/ft>=0.42 then 'Direct' end,case when 100.0*wide/greatest(moves,1)>=52 then 'Wing focused' end,case when 100.0*central/greatest(moves,1)>=38 then 'Central progression' end,case when reg>=greatest(6,matches*2) then 'High pressing' end,case when reg>=greatest(4,matches) and bx>=greatest(3,matches) then 'Transition threat' end,case when sps>=greatest(2,matches) then 'Set piece threat' end,case when depth>0 and depth<45 and reg<greatest(4,matches) then 'Deep defending' end], lambda z: z is not null)[1:7],'; ') as tags from g""")
 def p52(t: Tables):
     return style.season_style_tags(t.e)
 
