@@ -21,6 +21,10 @@ SETTINGS = {
 }
 
 
+_LOCAL_BASE: dict[str, str] = {}
+_OWNED: set[str] = set()
+
+
 def local_session(cpus: int | str = "*", name: str = "touchline") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -47,15 +51,27 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the cluster's shared checkpoint folder, removed when the driver ends.
 
-    Only where no folder is configured (tests, one machine) a temporary one is made.
+    Read from ``spark.checkpoint.dir``. Only on one machine (master ``local[...]``), where no folder
+    is configured, a temporary one is made; a cluster without the setting gets an error, because a
+    folder of the driver's machine is not seen by its executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
-        base = tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL_BASE.setdefault(app, "") or tempfile.mkdtemp(prefix="touchline-")
+        _LOCAL_BASE[app] = base
+    root = os.path.join(base, f"touchline-{app}")
+    if root not in _OWNED:
+        _OWNED.add(root)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
