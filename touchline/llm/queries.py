@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, token_counts
-from touchline.llm.common import table
+from touchline.llm import byte_bpe, token_counts, toxicity
+from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,11 @@ def op6_token_counts(spark, sf_dir):
 @query
 def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    weights = toxicity.trained(docs, labels, held_out)
+    return toxicity.score(docs, weights).select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
