@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, token_counts, toxicity
+from touchline.llm import byte_bpe, quality, repetition, token_counts, toxicity
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,15 @@ def op4_toxicity(spark, sf_dir):
     held_out = fold(F.col("doc_id"), 5) == 0
     weights = toxicity.trained(docs, labels, held_out)
     return toxicity.score(docs, weights).select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_repetition(spark, sf_dir):
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
