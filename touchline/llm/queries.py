@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, quality, repetition, token_counts, toxicity
+from touchline.llm import byte_bpe, mixing, quality, repetition, secret_scan, token_counts, toxicity
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,13 @@ def op3_quality(spark, sf_dir):
 @query
 def op10_repetition(spark, sf_dir):
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_source_mixing(spark, sf_dir):
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
