@@ -59,7 +59,7 @@ def permuted(x: Column, n: Column, seed: list[Column]) -> Column:
     return F.when(first < n, first).otherwise(walked)
 
 
-def source_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float = 3.0, block: int = 64) -> DataFrame:
+def source_plan(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float = 3.0, block: int = 32) -> DataFrame:
     """Per source: number ``sid``, source_size, target, blocks ``n``, slots, and the slots before it."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -85,8 +85,8 @@ def shard_counts(plan: DataFrame, shard: int = 4096, seed: int = 7) -> DataFrame
     """(shard, sid, drawn): how many slots of each source every output shard draws."""
     strides = plan.where("slots > 0").select("sid", "slots", "first", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / STRIDE))).alias("stride"))
     own = F.sequence(F.col("stride") * STRIDE, F.least((F.col("stride") + 1) * STRIDE, F.col("slots")) - 1)
-    slots = strides.repartition("sid", "stride").select("sid", "all_slots", (F.col("first") + F.explode(own)).alias("o"))
-    place = permuted(F.col("o"), F.col("all_slots"), [F.lit(seed)])
+    slots = strides.repartition("sid", "stride").select("sid", "first", "all_slots", F.explode(own).alias("k"))
+    place = permuted(F.col("first") + F.col("k"), F.col("all_slots"), [F.lit(seed)])
     return slots.select("sid", F.floor(place / shard).cast("long").alias("shard")).groupBy("shard", "sid").agg(F.count("*").alias("drawn"))
 
 
@@ -94,7 +94,7 @@ def slot_blocks(plan: DataFrame, shard: int = 4096, seed: int = 7) -> DataFrame:
     """(shard, sid, pass, block): the block that each drawn slot takes."""
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = shard_counts(plan, shard, seed).withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0)))
-    slots = drawn.select("shard", "sid", (F.col("before") + F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1))).alias("k"))
+    slots = drawn.select("shard", "sid", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("drawn") - 1)).alias("k"))
     slots = slots.join(plan.select("sid", "n"), "sid").withColumn("pass", F.floor(F.col("k") / F.col("n")).cast("long"))
     block = permuted(F.pmod("k", "n"), F.col("n"), [F.lit(seed), F.col("sid"), F.col("pass")])
     return slots.select("shard", "sid", "pass", block.alias("block"))
@@ -120,7 +120,7 @@ def spread(packed: DataFrame, block: int) -> DataFrame:
     return each.withColumn("lo", lo - F.col("begin")).withColumn("hi", hi - F.col("begin"))
 
 
-def taken_words(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float = 3.0, block: int = 64, shard: int = 4096, seed: int = 7) -> DataFrame:
+def taken_words(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, cap: float = 3.0, block: int = 32, shard: int = 4096, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
     sized = cut_lineage(sizes(docs), "sizes")
     plan = cut_lineage(source_plan(sized, weights, share, cap, block), "sources")
