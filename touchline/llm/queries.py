@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, mixing, quality, repetition, secret_scan, token_counts, toxicity
+from touchline.llm import byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op2_secret_scan(spark, sf_dir):
 @query
 def op7_source_mixing(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.components(table(spark, sf_dir, "documents"), length=3, percent=90)
