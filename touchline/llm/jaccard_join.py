@@ -226,9 +226,10 @@ def digests(texts: DataFrame, length: int, percent: int) -> DataFrame:
                     cells = np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype(np.uint16)
                     out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), cells.tobytes(), keys.view(np.int64), places.astype(np.int32)))
                 n, print_, cells, keys, places = zip(*out)
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].astype("Int64"), "n": n, "digest": print_, "cells": cells, "keys": keys, "places": places})
+                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[a:b].astype("Int64"), "text_hash": frame["text_hash"].iloc[a:b], "n": n, "digest": print_, "cells": cells, "keys": keys, "places": places})
 
-    return cut_lineage(texts.mapInPandas(run, "doc_id long, n long, digest binary, cells binary, keys array<long>, places array<int>"), "digests")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    return cut_lineage(hashed.mapInPandas(run, "doc_id long, text_hash long, n long, digest binary, cells binary, keys array<long>, places array<int>"), "digests")
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
@@ -346,8 +347,8 @@ def _all_left(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
 
 
-def components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``: the smallest doc_id reachable by links."""
+def classes(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """Per row: doc_id, hash of the text, n_shingles, label of the component (null for empty sets), component_id."""
     texts = text_of(docs)
     rows = digests(texts, length, percent)
     nodes = distinct_sets(rows)
@@ -361,7 +362,26 @@ def components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame
         labels = contract(labels, verified(pairs, nodes, texts, length, percent))
     named = labels.join(nodes.select("node", "doc_id", "digest"), "node")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(smallest, "label").select("digest", "component_id")
+    of_set = named.join(smallest, "label").select("digest", "label", "component_id")
     # Copies of one set may be a third of all rows: only their ids and digests meet here.
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, length: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``: the smallest doc_id reachable by links."""
+    return classes(docs, length, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id; rows without words all stay."""
+    found = cut_lineage(classes(docs, length, percent), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r")
+    kept = found.where("n_shingles > 0").groupBy("label").agg(first).select("r.doc_id", "r.text_hash")
+    kept = kept.unionByName(found.where("n_shingles = 0").select("doc_id", "text_hash")).distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    left = docs.join(kept, same, "left_semi")
+    # Repeated rows of the document that stays are one document; where none repeats, the texts are not dealt again.
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])

@@ -28,7 +28,7 @@ from touchline.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source that one task orders.
-BUCKET = 10_000
+BUCKET = 2_000
 #: Slot numbers written out together before they are dealt on.
 STRIDE = 65_536
 _WALK = 16
@@ -94,7 +94,9 @@ def slot_blocks(plan: DataFrame, shard: int = 4096, seed: int = 7) -> DataFrame:
     """(shard, sid, pass, block): the block that each drawn slot takes."""
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = shard_counts(plan, shard, seed).withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0)))
-    slots = drawn.select("shard", "sid", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("drawn") - 1)).alias("k"))
+    # A few rows here become millions: dealt again so that many tasks write them out.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = drawn.repartition(tasks, "sid", "shard").select("shard", "sid", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("drawn") - 1)).alias("k"))
     slots = slots.join(plan.select("sid", "n"), "sid").withColumn("pass", F.floor(F.col("k") / F.col("n")).cast("long"))
     block = permuted(F.pmod("k", "n"), F.col("n"), [F.lit(seed), F.col("sid"), F.col("pass")])
     return slots.select("shard", "sid", "pass", block.alias("block"))

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import byte_bpe as bpe
+from touchline.llm import jaccard_join as join
+from touchline.llm import mixing as mix
+from touchline.llm import secret_scan
 from touchline.llm import toxicity as toxic
 from touchline.llm.common import table
 
@@ -21,15 +24,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return join.representatives(docs.select(*COLUMNS), length=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every document, with the secrets in its text replaced by the name of their kind."""
+    return secret_scan.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The mix at target weights: a row for each part of a document in a drawn block of 256 words."""
+    return mix.mixed_texts(docs.select(*COLUMNS), block=256).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
