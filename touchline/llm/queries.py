@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity
+from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7_source_mixing(spark, sf_dir):
 @query
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_join.components(table(spark, sf_dir, "documents"), length=3, percent=90)
+
+
+@query
+def op1_multiprobe_search(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
