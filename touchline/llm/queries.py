@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity
+from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity, url_filter
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op8_jaccard_join(spark, sf_dir):
 @query
 def op1_multiprobe_search(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"))
