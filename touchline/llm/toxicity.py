@@ -35,10 +35,10 @@ BIAS = -1
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 4.0
+    l2: float = 0.1
     epochs: int = 3
     max_rows: int = 16_384
 
