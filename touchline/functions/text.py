@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words read as null, words read as true, and letters folded to ASCII.
+# Words read as null and words read as true.
 NULL_WORDS = ("", "nan", "none", "null", "<na>", "nat")
 TRUE_WORDS = ("true", "1", "yes", "y")
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """ASCII remains of the compatibility decomposition of Latin letters and full-width forms: those of
+    one letter, and those of several."""
+    one, more = {}, {}
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[chr(code)] = plain
+        elif plain:
+            more[chr(code)] = plain
+    return one, more
+
+
+_ONE, _MORE = _decompositions()
+ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
 PERIOD_WORDS = {
     1: ("firsthalf", "1sthalf", "1h", "h1", "first", "1"),
     2: ("secondhalf", "2ndhalf", "2h", "h2", "second", "2"),
@@ -34,7 +51,13 @@ def truthy(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    return F.translate(col, ACCENTED, PLAIN)
+    """Letters without their accents, ligatures spelt out, whatever has no ASCII form left out."""
+    spelt = F.translate(col, ACCENTED, PLAIN)
+    rare = spelt
+    for letter, plain in _MORE.items():
+        rare = F.replace(rare, F.lit(letter), F.lit(plain))
+    spelt = F.when(spelt.rlike("[" + "".join(_MORE) + "]"), rare).otherwise(spelt)
+    return F.regexp_replace(spelt, r"[^\x00-\x7F]", "")
 
 
 def team_key(col: Column) -> Column:
@@ -43,7 +66,8 @@ def team_key(col: Column) -> Column:
 
 
 def slug(col: Column) -> Column:
-    kept = F.regexp_replace(fold(col), "[^A-Za-z0-9_.]+", "_")
+    """Every other character becomes one ``_``; those at the ends go."""
+    kept = F.regexp_replace(fold(F.coalesce(col, F.lit(""))), "[^A-Za-z0-9_.]", "_")
     return F.regexp_replace(kept, "^_+|_+$", "")
 
 

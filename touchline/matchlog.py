@@ -180,11 +180,9 @@ def match_log(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def schedule(events: DataFrame) -> DataFrame:
-    """One row per match, taken from the first event of each match (no shuffle)."""
-    heads = events.where("event_id % 200 = 0").selectExpr(
-        "event_id div 200 as m",
-        "try_cast(get_json_object(props, '$.k') as bigint) as k",
-    )
+    """One row per match, from its first event, whichever that is (one partial aggregation)."""
+    own = events.selectExpr("event_id div 200 as m", "event_id", "try_cast(get_json_object(props, '$.k') as bigint) as k")
+    heads = own.groupBy("m").agg(F.min_by("k", "event_id").alias("k"))
     return season_columns(heads).selectExpr(
         "nation", "tier", "season", "match_id", "match_round",
         "home_team", "away_team", "home_id", "away_id", "kickoff",

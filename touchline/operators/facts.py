@@ -190,8 +190,10 @@ def player_mean_locations(e: DataFrame) -> DataFrame:
     )
 
 
-def player_involvement(e: DataFrame) -> DataFrame:
-    """Weighted involvement per player and season, ranked inside the team."""
+def player_involvement(e: DataFrame, values: DataFrame) -> DataFrame:
+    """Weighted involvement per player and season, ranked inside the team.
+
+    ``values`` holds xg, xa and xt per season, league, team and player (see ``players.player_values``)."""
     df = e.groupBy(*SEASON, "team", "player").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("match_id").alias("matches"), n("e_pass").alias("passes"),
         n("e_pass and e_success").alias("good_passes"), n("e_final_third").alias("final_third_entries"),
@@ -200,10 +202,11 @@ def player_involvement(e: DataFrame) -> DataFrame:
         n("e_cross").alias("crosses"), n("e_carry").alias("carries"),
         F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"),
     )
+    df = df.join(values, [*SEASON, "team", "player"], "left").na.fill(0.0, ["xg", "xa", "xt"])
     df = df.withColumn(
         "score",
         F.expr("0.08D*events + 1.15D*final_third_entries + 1.65D*box_entries + 2.05D*shots + 4D*goals"
-               " + 0.55D*defensive_actions + 1.35D*regains + 0.35D*set_pieces"),
+               " + 0.55D*defensive_actions + 1.35D*regains + 0.35D*set_pieces + 1.6D*xg + 1.6D*xa + 1.25D*xt"),
     )
-    w = Window.partitionBy(*SEASON, "team").orderBy(F.desc("score"), "player")
+    w = Window.partitionBy(*SEASON, "team").orderBy(F.round("score", 6).desc(), "player")
     return df.withColumn("rank", F.row_number().over(w))

@@ -95,7 +95,7 @@ def dimension_scores(rows: DataFrame) -> DataFrame:
 
 
 def style_tags(rows: DataFrame) -> DataFrame:
-    """Mean plus k standard deviations tests; the first four tags."""
+    """Mean plus k standard deviations tests."""
     league = Window.partitionBy(*SEASON)
 
     def high(metric: str, k: float = 0.6):
@@ -111,7 +111,7 @@ def style_tags(rows: DataFrame) -> DataFrame:
         ("high shot and chance volume", high("shots_per_match") & high("xg_per_match", 0.35)),
     ]
     tags = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in rules]))
-    df = rows.withColumn("_t", F.slice(tags, 1, 4))
+    df = rows.withColumn("_t", tags)
     return df.select(*TEAM, F.expr("if(size(_t) > 0, array_join(_t, '; '), 'balanced profile')").alias("tags"))
 
 
@@ -144,7 +144,7 @@ def _kendall(z: DataFrame) -> DataFrame:
     )
 
 
-def strongest_pairs(matrix: DataFrame, k: int = 8) -> DataFrame:
+def strongest_pairs(matrix: DataFrame, k: int | None = None) -> DataFrame:
     df = matrix.where("x < y and value is not null and value <> 0").withColumns(
         {
             "direction": F.expr("if(value > 0, 'positive', 'negative')"),
@@ -154,7 +154,7 @@ def strongest_pairs(matrix: DataFrame, k: int = 8) -> DataFrame:
     return top_per_group(df, [*SEASON, "direction"], [F.round(F.abs("value"), 8).desc(), F.col("x"), F.col("y")], k)
 
 
-def outliers(rows: DataFrame, limit: float = 1.8, k: int = 30) -> DataFrame:
+def outliers(rows: DataFrame, limit: float = 1.8, k: int | None = None) -> DataFrame:
     df = z_scores(rows).where(F.round(F.abs("z"), 9) >= limit)
     df = df.withColumn("direction", F.expr("if(z > 0, 'above league norm', 'below league norm')"))
     return top_per_group(df, SEASON, [F.round(F.abs("z"), 8).desc(), F.col("team"), F.col("metric")], k)
@@ -282,7 +282,7 @@ def interval_momentum(e: DataFrame) -> DataFrame:
 
 def previous_five(matches: DataFrame) -> DataFrame:
     """Means of the five matches before each match of a team."""
-    w = Window.partitionBy("team").orderBy("kickoff", "match_id").rowsBetween(-5, -1)
+    w = Window.partitionBy("nation", "tier", "team").orderBy("kickoff", "match_id").rowsBetween(-5, -1)
     cols = ["passes", "shots", "goals", "box_entries", "final_third_entries", "regains", "set_pieces"]
     share = F.expr("passes / (passes + coalesce(opp_passes, 0))")
     o = matches.select("match_id", F.col("team").alias("opponent"), F.col("passes").alias("opp_passes"), F.col("shots").alias("opp_shots"))
@@ -294,7 +294,7 @@ def previous_five(matches: DataFrame) -> DataFrame:
 
 def season_panel(radar_: DataFrame) -> DataFrame:
     """Value, previous season, rank and trend per team and metric."""
-    w = Window.partitionBy("team", "metric").orderBy("season")
+    w = Window.partitionBy("nation", "tier", "team", "metric").orderBy("season")
     df = radar_.withColumn("previous", F.lag("value").over(w))
     better = "((value > previous) = higher_is_better)"
     df = df.withColumns(

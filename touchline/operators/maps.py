@@ -18,7 +18,7 @@ def share(column: str, keys: list[str]) -> Column:
     return F.when(total > 0, F.col(column) * 100.0 / total).otherwise(F.lit(0.0))
 
 
-def pass_edges(valued: DataFrame, keep: int = 90) -> DataFrame:
+def pass_edges(valued: DataFrame, keep: int | None = None) -> DataFrame:
     """Passer -> receiver edges of successful open-play passes."""
     df = links.receivers(valued).where("is_success and not is_set_piece and x is not null and y is not null")
     edges = df.groupBy(*MT, "player", "receiver").agg(
@@ -33,9 +33,9 @@ def pass_edges(valued: DataFrame, keep: int = 90) -> DataFrame:
     return top_per_group(edges, MT, [F.desc("passes"), F.col("player"), F.col("receiver")], keep)
 
 
-def pass_nodes(valued: DataFrame, keep: int = 22) -> DataFrame:
+def pass_nodes(valued: DataFrame, keep: int | None = None) -> DataFrame:
     """Both roles of every player: passes made and received, weighted mean location, value."""
-    edges = pass_edges(valued, keep=10**9)
+    edges = pass_edges(valued)
     made = edges.selectExpr(*MT, "player", "passes as made", "0L as received", "start_x * passes as sx", "start_y * passes as sy", "xt")
     got = edges.selectExpr(*MT, "receiver as player", "0L as made", "passes as received", "receive_x * passes as sx", "receive_y * passes as sy", "0D as xt")
     nodes = made.union(got).groupBy(*MT, "player").agg(
@@ -163,7 +163,7 @@ def possession_chains(valued: DataFrame) -> DataFrame:
     )
 
 
-def chain_lists(valued: DataFrame, k: int = 10) -> DataFrame:
+def chain_lists(valued: DataFrame, k: int | None = None) -> DataFrame:
     """Six ranked lists of chains per match and team."""
     lists = {
         "best": "true", "long_build_up": "actions >= 7 or duration >= 25", "direct": "duration <= 15 and end_x - start_x >= 25",
@@ -181,8 +181,8 @@ def match_value_breakdown(valued: DataFrame) -> DataFrame:
     ).withColumn("share", share("positive_xt", MT))
 
 
-def touch_points(c: DataFrame, k: int = 120) -> DataFrame:
-    """First k located touches of each team in match order."""
+def touch_points(c: DataFrame, k: int | None = None) -> DataFrame:
+    """Located touches of each team in match order, all or the first k."""
     df = c.where("is_touch and x is not null and y is not null")
     return top_per_group(df, MT, [F.col("period"), F.col("expanded_minute"), F.col("event_index")], k)
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _minutes(df: DataFrame) -> DataFrame:
-    """One row per match and minute, 1 .. 90 or the last minute (at most 130)."""
-    last = df.groupBy("match_id").agg(F.expr("cast(least(greatest(ceil(max(expanded_minute)), 90), 130) as int)").alias("_n"))
+    """One row per match and minute, 1 .. 90 or the last minute of the match."""
+    last = df.groupBy("match_id").agg(F.expr("cast(greatest(ceil(max(expanded_minute)), 90) as int)").alias("_n"))
     return last.select("match_id", "_n", F.explode(F.expr("sequence(1, _n)")).alias("minute"))
 
 
@@ -69,8 +69,8 @@ def rolling_possession(prepared: DataFrame) -> DataFrame:
 
 
 def spaced_windows(series: DataFrame, value: str, keep: int = 3, gap: int = 6, trough: bool = False) -> DataFrame:
-    """Best minutes of each match, at least ``gap`` apart: greedy over the ranked minutes (at
-    most 130 per match, so one array per match is bounded)."""
+    """Best minutes of each match, at least ``gap`` apart: greedy over the ranked minutes
+    (one array per match, as long as the match has minutes)."""
     sign = "" if trough else "-"
     df = series.groupBy("match_id").agg(
         F.expr(f"array_sort(collect_list(struct({sign}round({value}, 9) as k, minute, {value} as v)))").alias("ranked")

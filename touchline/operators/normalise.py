@@ -147,14 +147,22 @@ def positions(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+# Short names that mean a club whatever the schedule calls it.
+TEAM_ALIASES = {"bayern": "Bayern Munich", "rbl": "RB Leipzig"}
+
+
 def canonical_team(df: DataFrame, schedule: DataFrame) -> DataFrame:
     """Team id -> schedule name, else normalised name -> schedule name; unmatched rows drop."""
     from touchline.functions.text import team_key
 
-    by_id = schedule.select(F.col("home_id").alias("team_id"), F.col("home_team").alias("_a")).distinct()
-    by_key = schedule.select(F.col("home_key").alias("_key"), F.col("home_team").alias("_b")).distinct()
-    out = df.withColumn("_key", team_key(F.col("team"))).join(by_id, "team_id", "left").join(by_key, "_key", "left")
-    return out.withColumn("canonical", F.coalesce("_a", "_b")).where("canonical is not null").drop("_a", "_b", "_key")
+    # One name per id and per key, that of the earliest fixture, so that no event is multiplied.
+    names = schedule.withColumn("_first", F.struct("kickoff", "home_team"))
+    by_id = names.groupBy(F.col("home_id").alias("team_id")).agg(F.min("_first").alias("_f")).select("team_id", F.col("_f.home_team").alias("_a"))
+    by_key = names.groupBy(F.col("home_key").alias("_key")).agg(F.min("_first").alias("_f")).select("_key", F.col("_f.home_team").alias("_b"))
+    alias = F.create_map(*[F.lit(x) for pair in TEAM_ALIASES.items() for x in pair])
+    keyed = df.withColumn("_key", team_key(F.col("team")))
+    out = keyed.join(by_id, "team_id", "left").join(by_key, "_key", "left")
+    return out.withColumn("canonical", F.coalesce("_a", "_b", alias[F.col("_key")])).where("canonical is not null").drop("_a", "_b", "_key")
 
 
 def finished_and_kickoff(schedule: DataFrame) -> DataFrame:

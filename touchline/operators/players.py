@@ -50,3 +50,14 @@ def player_xa(credits: DataFrame) -> DataFrame:
         n("role = 'assist' and f_goal").alias("goal_assists"),
     )
     return df.withColumn("xa_per_shot_assist", F.expr("if(shot_assists > 0, xa / shot_assists, 0D)"))
+
+
+def player_values(features: DataFrame, credits: DataFrame, actions: DataFrame) -> DataFrame:
+    """Sums of shot value, assist value and ball-movement value per player of a team season."""
+    parts = [
+        features.select(*WHO, shots.rule_xg_match().alias("xg"), F.lit(0.0).alias("xa"), F.lit(0.0).alias("xt")),
+        credits.where("role = 'assist'").select(*WHO, F.lit(0.0).alias("xg"), F.col("xg").alias("xa"), F.lit(0.0).alias("xt")),
+        actions.select(*WHO, F.lit(0.0).alias("xg"), F.lit(0.0).alias("xa"), F.col("xt_added").alias("xt")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy(*WHO).agg(F.sum("xg").alias("xg"), F.sum("xa").alias("xa"), F.sum("xt").alias("xt"))

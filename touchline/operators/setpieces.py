@@ -179,6 +179,6 @@ def routine_groups(seqs: DataFrame) -> DataFrame:
     return out.withColumn("shot_rate", F.expr("100D * shots / count"))
 
 
-def routine_zones(seqs: DataFrame, k: int = 4) -> DataFrame:
+def routine_zones(seqs: DataFrame, k: int | None = None) -> DataFrame:
     df = routines(seqs).groupBy("team", "routine", "target_zone").agg(F.count(F.lit(1)).alias("count"))
     return top_per_group(df, ["team", "routine"], [F.desc("count"), F.col("target_zone")], k)

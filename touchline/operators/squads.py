@@ -111,7 +111,7 @@ def best_players(valued: DataFrame) -> DataFrame:
         n("is_goal").alias("g"), n("is_shot").alias("s"), n("box_entry").alias("b"), n("final_third_entry").alias("f"), n("is_cross").alias("c"),
         n("is_carry").alias("ca"), n("is_take_on").alias("t"), n("high_regain").alias("r"), n("is_defensive_action").alias("d"), F.sum("positive_xt").alias("xt"),
     )
-    lead = defence.leaders(valued).where("pos <= 8").select(*MT, "player", F.col("score").alias("dl"))
+    lead = defence.leaders(valued).select(*MT, "player", F.col("score").alias("dl"))
     weight = "case role when 'taker' then 0.75D when 'first_contact' then 1D when 'shot' then 1.4D when 'clearer' then 1D else 1.3D end"
     sp = setpieces.involvement(setpieces.sequences_(valued)).groupBy(*MT, "player").agg(F.sum(F.expr(f"count * {weight}")).alias("set_piece_score"))
     df = p.join(lead, [*MT, "player"], "left").join(sp, [*MT, "player"], "left").na.fill(0.0, ["dl", "set_piece_score"])
@@ -126,7 +126,7 @@ def best_players(valued: DataFrame) -> DataFrame:
     return df.select(*MT, "player", "attacking_score", "defensive_score", "transition_score", "set_piece_score", "overall_score")
 
 
-def best_lists(scores: DataFrame, k: int = 8) -> DataFrame:
+def best_lists(scores: DataFrame, k: int | None = None) -> DataFrame:
     names = ["attacking", "defensive", "transition", "set_piece", "overall"]
     items = F.array(*[F.struct(F.lit(c).alias("list"), F.round(f"{c}_score", 8).alias("score")) for c in names])
     df = scores.select(*MT, "player", F.explode(items).alias("i")).select(*MT, "player", "i.*").where("score > 0")

@@ -107,7 +107,7 @@ def phases(prepared: DataFrame) -> DataFrame:
 
 
 def season_style_tags(e: DataFrame) -> DataFrame:
-    """Threshold tags on season shares; the first seven."""
+    """Threshold tags on season shares."""
     keys = ["nation", "tier", "season", "team"]
     df = e.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), n("e_pass").alias("passes"), n("e_final_third").alias("ft"), n("e_box").alias("bx"), n("e_move").alias("moves"),
@@ -120,11 +120,11 @@ def season_style_tags(e: DataFrame) -> DataFrame:
         ("High pressing", "reg >= greatest(6, matches * 2)"), ("Transition threat", "reg >= greatest(4, matches) and bx >= greatest(3, matches)"),
         ("Set piece threat", "sps >= greatest(2, matches)"), ("Deep defending", "depth > 0 and depth < 45 and reg < greatest(4, matches)"),
     ]
-    tags = F.slice(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(t)) for t, r in rules])), 1, 7)
+    tags = F.array_compact(F.array(*[F.when(F.expr(r), F.lit(t)) for t, r in rules]))
     return df.select(*keys, F.array_join(tags, "; ").alias("tags"))
 
 
-def repeated_chains(valued: DataFrame, k: int = 12) -> DataFrame:
+def repeated_chains(valued: DataFrame, k: int | None = None) -> DataFrame:
     """Dangerous season chains grouped by the lanes they connect and their route."""
     from touchline.functions import geometry
     from touchline.operators.topk import top_per_group
@@ -146,7 +146,7 @@ def repeated_chains(valued: DataFrame, k: int = 12) -> DataFrame:
     return top_per_group(g, keys, [F.desc("chains"), F.round("xg", 8).desc(), F.col("family")], k)
 
 
-def sequence_browser(valued: DataFrame, k: int = 8) -> DataFrame:
+def sequence_browser(valued: DataFrame, k: int | None = None) -> DataFrame:
     """Goal, big-chance, highest-xG and highest-value chains of a team's season."""
     from touchline.operators.topk import top_per_group
 

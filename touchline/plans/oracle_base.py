@@ -130,7 +130,7 @@ select nation,tier,season,match_id,match_round,home_team,away_team,home_id,away_
   case when k%10=0 then null when k%10=1 then '1' else '6' end as status,
   case when k%10=0 then 'FT' when k%20=1 then 'HT' end as elapsed,
   cast(k%4 as int) as home_score, cast(k%3 as int) as away_score
-from raw3 where p=0
+from (select *, row_number() over (partition by m order by e) as first_ from raw3) where first_=1
 """)
 
 OK_ = "('successful','success','won','complete','completed','accurate')"

@@ -224,7 +224,7 @@ def p19(t: Tables):
 
 @query(
     "p20_team_key",
-    f"""select doc_id, length(k) as n, md5(k) as digest from (select doc_id, regexp_replace(replace(lower(translate(text||' & Co','{text.ACCENTED}','{text.PLAIN}')),'&','and'),'[^a-z0-9]+','','g') as k from documents)""",
+    f"""select doc_id, length(k) as n, md5(k) as digest from (select doc_id, regexp_replace(replace(lower(translate(text||' & Co','{text.ACCENTED}','{text.PLAIN.replace(chr(39), chr(39) * 2)}')),'&','and'),'[^a-z0-9]+','','g') as k from documents)""",
 )
 def p20(t: Tables):
     df = t.table("documents").select("doc_id", text.team_key(F.concat("text", F.lit(" & Co"))).alias("k"))
@@ -233,7 +233,7 @@ def p20(t: Tables):
 
 @query(
     "p21_slug",
-    "select page_id, regexp_replace(regexp_replace(url,'[^A-Za-z0-9_.]+','_','g'),'^_+|_+$','','g') as slug from pages",
+    "select page_id, regexp_replace(regexp_replace(coalesce(url,''),'[^A-Za-z0-9_.]','_','g'),'^_+|_+$','','g') as slug from pages",
 )
 def p21(t: Tables):
     return t.table("pages").select("page_id", text.slug(F.col("url")).alias("slug"))

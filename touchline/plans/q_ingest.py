@@ -197,10 +197,10 @@ def s20(t: Tables):
     return t.log.groupBy("nation", "tier", "season", "team_key").agg(F.min_by("team", F.struct("match_id", "event_index")).alias("team"), F.count_distinct("match_id").alias("matches"))
 
 
-@query("s21_event_preview", "select * from (select match_id,event_index,type,coalesce(end_x::varchar,'') as end_x,row_number() over (partition by match_id order by event_index)::int as pos from log) where pos<=5000")
+@query("s21_event_preview", "select * from (select match_id,event_index,type,coalesce(end_x::varchar,'') as end_x,row_number() over (partition by match_id order by event_index)::int as pos from log)")
 def s21(t: Tables):
     df = t.log.select("match_id", "event_index", "type", F.coalesce(F.col("end_x").cast("string"), F.lit("")).alias("end_x"))
-    return top_per_group(df, ["match_id"], [F.col("event_index")], 5000)
+    return top_per_group(df, ["match_id"], [F.col("event_index")])
 
 
 @query("s22_filtered_team_events", "select match_id,event_index,type,player from log where team_key='clubb0' and lower(type) like '%shot%' and lower(player) like '%p1.%'")

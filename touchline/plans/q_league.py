@@ -62,7 +62,7 @@ def _hi(m: str, k: float = 0.6) -> str:
 
 @query("a41_style_tags", f"""with g as (select nation,tier,season,team,list_filter([case when {_hi('event_share')} and {_hi('passes_per_match',0.35)} then 'possession and circulation heavy' end,case when {_hi('directness')} or {_hi('box_entries_per_match')} then 'vertical territory focused' end,
  case when {_hi('high_regains_per_match')} and {_hi('defensive_height',0.35)} then 'high press and regain focused' end,case when {_hi('wide_action_share')} or {_hi('crosses_per_match')} then 'wide and crossing orientated' end,case when {_hi('set_piece_share')} or {_hi('set_piece_shots_per_match')} then 'set piece leaning' end,
- case when {_hi('shots_per_match')} and {_hi('xg_per_match',0.35)} then 'high shot and chance volume' end], lambda z: z is not null)[1:4] as l from lrow) select nation,tier,season,team,case when len(l)>0 then array_to_string(l,'; ') else 'balanced profile' end as tags from g""")
+ case when {_hi('shots_per_match')} and {_hi('xg_per_match',0.35)} then 'high shot and chance volume' end], lambda z: z is not null) as l from lrow) select nation,tier,season,team,case when len(l)>0 then array_to_string(l,'; ') else 'balanced profile' end as tags from g""")
 def a41(t: Tables):
     return league.style_tags(_rows(t))
 
@@ -88,12 +88,12 @@ def a42c(t: Tables):
 
 
 @query("a42_strongest_pairs", """with c as (select *, case when value>0 then 'positive' else 'negative' end as direction,case when abs(value)>=0.7 then 'strong' when abs(value)>=0.45 then 'moderate' else 'weak' end as strength from lcor where x<y and value is not null and value<>0)
- select * from (select *, row_number() over (partition by nation,tier,season,direction order by round(abs(value),8) desc,x,y)::int as pos from c) where pos<=8""")
+ select * from (select *, row_number() over (partition by nation,tier,season,direction order by round(abs(value),8) desc,x,y)::int as pos from c)""")
 def a42d(t: Tables):
     return league.strongest_pairs(league.correlation(_rows(t)))
 
 
-@query("a43_outliers", """select * from (select *, case when z>0 then 'above league norm' else 'below league norm' end as direction,row_number() over (partition by nation,tier,season order by round(abs(z),8) desc,team,metric)::int as pos from lz where round(abs(z),9)>=1.8) where pos<=30""")
+@query("a43_outliers", """select * from (select *, case when z>0 then 'above league norm' else 'below league norm' end as direction,row_number() over (partition by nation,tier,season order by round(abs(z),8) desc,team,metric)::int as pos from lz where round(abs(z),9)>=1.8)""")
 def a43(t: Tables):
     return league.outliers(_rows(t))
 
@@ -166,22 +166,22 @@ def a54b(t: Tables):
 
 
 @query("a33_previous_five", """with d as (select a.*, a.passes/(a.passes+coalesce(b.passes,0))::double as pass_share,b.shots as opp_shots from smf a left join smf b on b.match_id=a.match_id and b.team=a.opponent)
- select team,match_id,count(*) over w as matches_used,avg(passes) over w as passes_mean,avg(shots) over w as shots_mean,avg(goals) over w as goals_mean,avg(box_entries) over w as box_entries_mean,avg(final_third_entries) over w as final_third_entries_mean,avg(regains) over w as regains_mean,avg(set_pieces) over w as set_pieces_mean,avg(pass_share) over w as pass_share_mean,avg(opp_shots) over w as opp_shots_mean from d window w as (partition by team order by kickoff,match_id rows between 5 preceding and 1 preceding)""")
+ select team,match_id,count(*) over w as matches_used,avg(passes) over w as passes_mean,avg(shots) over w as shots_mean,avg(goals) over w as goals_mean,avg(box_entries) over w as box_entries_mean,avg(final_third_entries) over w as final_third_entries_mean,avg(regains) over w as regains_mean,avg(set_pieces) over w as set_pieces_mean,avg(pass_share) over w as pass_share_mean,avg(opp_shots) over w as opp_shots_mean from d window w as (partition by nation,tier,team order by kickoff,match_id rows between 5 preceding and 1 preceding)""")
 def a33(t: Tables):
     return league.previous_five(_matches(t))
 
 
-@query("w13_previous_matches", """select m.team,m.match_id,p.match_id as previous_match,p.k::int as pos from smf m join lateral (select s.match_id,row_number() over (order by s.kickoff desc,s.match_id desc) as k from smf s where s.team=m.team and s.kickoff<m.kickoff) p on true where p.k<=5""")
+@query("w13_previous_matches", """select m.team,m.match_id,p.match_id as previous_match,p.k::int as pos from smf m join lateral (select s.match_id,row_number() over (order by s.kickoff desc,s.match_id desc) as k from smf s where s.team=m.team and s.nation=m.nation and s.tier=m.tier and s.kickoff<m.kickoff) p on true where p.k<=5""")
 def w13(t: Tables):
     from pyspark.sql import Window
 
-    m = _matches(t).select("team", "match_id", "kickoff")
-    w = Window.partitionBy("team").orderBy("kickoff", "match_id").rowsBetween(-5, -1)
+    m = _matches(t).select("nation", "tier", "team", "match_id", "kickoff")
+    w = Window.partitionBy("nation", "tier", "team").orderBy("kickoff", "match_id").rowsBetween(-5, -1)
     df = m.withColumn("p", F.reverse(F.collect_list("match_id").over(w)))
     return df.select("team", "match_id", F.posexplode("p").alias("k", "previous_match")).selectExpr("team", "match_id", "previous_match", "k + 1 as pos")
 
 
-_PAN = """with p as (select nation,tier,season,team,metric,value,higher_is_better,rank,teams,percentile,league_min,league_max,league_mean,lag(value) over (partition by team,metric order by season) as previous from rad),
+_PAN = """with p as (select nation,tier,season,team,metric,value,higher_is_better,rank,teams,percentile,league_min,league_max,league_mean,lag(value) over (partition by nation,tier,team,metric order by season) as previous from rad),
  s as (select *, case when previous is null or abs(value-previous)<0.001 then 'flat' when (value>previous)=higher_is_better then 'up' else 'down' end as trend,case when coalesce(previous,0)=0 then 50 else least(greatest(50+50*(value/previous-1),0),100) end as s from p)
  select * exclude (s), case when higher_is_better then s else 100-s end as previous_score from s"""
 
@@ -191,7 +191,7 @@ def a53(t: Tables):
     return league.season_panel(_radar(t))
 
 
-@query("j29_previous_season", "select team,metric,season,value,previous from (" + "select team,metric,season,value,lag(value) over (partition by team,metric order by season) as previous from rad)")
+@query("j29_previous_season", "select team,metric,season,value,previous from (" + "select team,metric,season,value,lag(value) over (partition by nation,tier,team,metric order by season) as previous from rad)")
 def j29(t: Tables):
     return league.season_panel(_radar(t)).select("team", "metric", "season", "value", "previous")
 
@@ -204,9 +204,7 @@ def j06(t: Tables):
 
 @query("j05_opponent_rows", "select nation,tier,season,opponent as team,count(*) as opponent_rows,count(distinct match_id) as matches_with_rows,count(*) filter (e_shot) as shots_conceded from fe group by 1,2,3,4")
 def j05(t: Tables):
-    mine = t.e.select("team", "match_id").distinct()
-    other = t.e.select("nation", "tier", "season", "match_id", F.col("team").alias("_o"), "e_shot")
-    return mine.join(other, "match_id").where("team <> _o").groupBy("nation", "tier", "season", "team").agg(
+    return t.e.groupBy("nation", "tier", "season", F.col("opponent").alias("team")).agg(
         F.count(F.lit(1)).alias("opponent_rows"), F.count_distinct("match_id").alias("matches_with_rows"), F.count_if("e_shot").alias("shots_conceded"))
 
 
@@ -235,7 +233,7 @@ def j25(t: Tables):
 def w23(t: Tables):
     from pyspark.sql import Window
 
-    df = facts.player_involvement(t.e).groupBy(*league.TEAM).agg(F.sum("score").alias("score"))
+    df = t.involvement.groupBy(*league.TEAM).agg(F.sum("score").alias("score"))
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("nation", "tier", "season").orderBy(F.round("score", 6).desc(), "team")))
 
 

@@ -16,14 +16,14 @@ cte("edges", """select r.match_id,r.team,r.player,v.receiver,count(*) as passes,
  from runs r join recv v using(match_id,event_index) where is_success and not is_set_piece and x is not null and y is not null group by 1,2,3,4""")
 
 
-@query("a11_pass_edges", "select * from (select *, row_number() over (partition by match_id,team order by passes desc,player,receiver)::int as pos from edges) where pos<=90")
+@query("a11_pass_edges", "select * from (select *, row_number() over (partition by match_id,team order by passes desc,player,receiver)::int as pos from edges)")
 def a11(t: Tables):
     return maps.pass_edges(t.valued)
 
 
 @query("a11_pass_nodes", """with u as (select match_id,team,player,passes as made,0 as received,start_x*passes as sx,start_y*passes as sy,xt from edges union all select match_id,team,receiver,0,passes,receive_x*passes,receive_y*passes,0 from edges),
  g as (select match_id,team,player,sum(made)::bigint as made,sum(received)::bigint as received,sum(xt) as xt,sum(sx)/sum(made+received) as x,sum(sy)/sum(made+received) as y,sum(made+received)::bigint as involvement from u group by 1,2,3)
- select * from (select *, row_number() over (partition by match_id,team order by involvement desc,player)::int as pos from g) where pos<=22""")
+ select * from (select *, row_number() over (partition by match_id,team order by involvement desc,player)::int as pos from g)""")
 def a11b(t: Tables):
     return maps.pass_nodes(t.valued)
 
@@ -209,14 +209,14 @@ cte("dlead", """with g as (select match_id,team,player,count(*) as actions,count
  s as (select *, (0.4*actions+1.4*interceptions_recoveries+1.5*tackles_won+2*high_regains+2.2*blocks+1.5*box_clearances)::double as score from g) select *, row_number() over (partition by match_id,team order by round(score,6) desc,player)::int as pos from s""")
 
 
-@query("a27_defensive_leaders", "select * from dlead where pos<=8")
+@query("a27_defensive_leaders", "select * from dlead")
 def a27(t: Tables):
-    return defence.leaders(t.prep).where("pos <= 8")
+    return defence.leaders(t.prep)
 
 
 # ------------------------------------------------------------------ series
 
-cte("mins", """select match_id,unnest(range(1,n+1))::int as minute from (select match_id,greatest(90,least(ceil(max(expanded_minute)),130))::int as n from prep group by 1)""")
+cte("mins", """select match_id,unnest(range(1,n+1))::int as minute from (select match_id,greatest(90,ceil(max(expanded_minute)))::int as n from prep group by 1)""")
 cte("mom", """with e as (select *, (8*is_goal::int+4*is_shot::int+6*case when is_shot then coalesce(provider_xg,0) else 0 end+3*box_entry::int+1.35*final_third_entry::int+0.65*is_cross::int+0.9*high_regain::int+0.12*attacking_third_touch::int)::double as w, least(positive_xt,0.12) as cx from pv),
  j as (select m.match_id,m.minute,e.team_side as s,e.w*exp(-(m.minute-e.expanded_minute)/4) as wp,e.cx*34*exp(-(m.minute-e.expanded_minute)/4) as xp from mins m left join e on e.match_id=m.match_id and e.expanded_minute<=m.minute and e.expanded_minute>=greatest(0,m.minute-10)),
  g as (select match_id,minute,coalesce(sum(wp) filter (s='home'),0) as home_pressure,coalesce(sum(wp) filter (s='away'),0) as away_pressure,coalesce(sum(xp) filter (s='home'),0) as home_xt,coalesce(sum(xp) filter (s='away'),0) as away_xt from j group by 1,2)
@@ -283,7 +283,7 @@ def w19(t: Tables):
 
 
 @query("w19_chain_lists", """with l as (select *, unnest(list_filter(['best',case when actions>=7 or duration>=25 then 'long_build_up' end,case when duration<=15 and end_x-start_x>=25 then 'direct' end,case when outcome='Failed progression' then 'failed' end,case when outcome in ('Shot','Goal') then 'shot' end,case when outcome in ('Box entry','Shot','Goal') then 'box' end], lambda z: z is not null)) as list from pchain),
- r as (select *, row_number() over (partition by match_id,team,list order by round(xg+greatest(0,xt_added),9) desc,actions desc,chain_id)::int as pos from l) select * from r where pos<=10""")
+ r as (select *, row_number() over (partition by match_id,team,list order by round(xg+greatest(0,xt_added),9) desc,actions desc,chain_id)::int as pos from l) select * from r""")
 def w19b(t: Tables):
     return maps.chain_lists(t.valued)
 
@@ -293,7 +293,7 @@ def a50(t: Tables):
     return maps.match_value_breakdown(t.valued)
 
 
-@query("k02_capped_touch_points", "select * from (select match_id,team,event_index,x,y,row_number() over (partition by match_id,team order by period,expanded_minute,event_index)::int as pos from fc where is_touch and x is not null) where pos<=120")
+@query("k02_capped_touch_points", "select * from (select match_id,team,event_index,x,y,row_number() over (partition by match_id,team order by period,expanded_minute,event_index)::int as pos from fc where is_touch and x is not null)")
 def k02(t: Tables):
     return maps.touch_points(t.c).select("match_id", "team", "event_index", "x", "y", "pos")
 
@@ -328,11 +328,11 @@ def p48(t: Tables):
     return maps.danger_tags(maps.shot_sequences(t.valued)).select("match_id", "event_index", "team", "tag")
 
 
-@query("k03_ordered_sequences", """select match_id,event_index,team,is_goal,threat,pos from (select *, row_number() over (partition by match_id order by is_goal desc,round(threat,9) desc,expanded_minute,event_index)::int as pos from sseq) where pos<=30""")
+@query("k03_ordered_sequences", """select match_id,event_index,team,is_goal,threat,pos from (select *, row_number() over (partition by match_id order by is_goal desc,round(threat,9) desc,expanded_minute,event_index)::int as pos from sseq)""")
 def k03(t: Tables):
     df = maps.shot_sequences(t.valued)
     order = [F.desc("is_goal"), F.round("threat", 9).desc(), F.col("expanded_minute"), F.col("event_index")]
-    return top_per_group(df, ["match_id"], order, 30).select("match_id", "event_index", "team", "is_goal", "threat", "pos")
+    return top_per_group(df, ["match_id"], order).select("match_id", "event_index", "team", "is_goal", "threat", "pos")
 
 
 cte("hlayers", """select match_id,team,'shots' as layer,x as hx,y as hy,xg as weight from pv where is_shot and x is not null union all
@@ -423,6 +423,6 @@ def a36(t: Tables):
     return setpieces.routine_groups(setpieces.sequences_(t.prep))
 
 
-@query("a36_routine_zones", "select * from (select *, row_number() over (partition by team,routine order by count desc,target_zone)::int as pos from (select team,routine,target_zone,count(*) as count from rout group by all)) where pos<=4")
+@query("a36_routine_zones", "select * from (select *, row_number() over (partition by team,routine order by count desc,target_zone)::int as pos from (select team,routine,target_zone,count(*) as count from rout group by all))")
 def a36b(t: Tables):
     return setpieces.routine_zones(setpieces.sequences_(t.prep))

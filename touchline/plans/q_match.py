@@ -130,7 +130,7 @@ def a32(t: Tables):
 
 
 @query("p52_season_tags", f"""with g as (select {_K},count(*) as rows,count(*) filter (e_pass) as passes,count(*) filter (e_final_third) as ft,count(*) filter (e_box) as bx,count(*) filter (e_move) as moves,count(*) filter (e_wide) as wide,count(*) filter (e_central) as central,count(*) filter (e_regain) as reg,count(*) filter (e_set_piece and e_shot) as sps,avg(ex) filter (e_defensive) as depth,count(distinct match_id) as matches from fe group by all)
- select {_K},array_to_string(list_filter([case when 100.0*passes/rows>=48 then 'Possession heavy' end,case when ft>0 and bx/ft>=0.42 then 'Direct' end,case when 100.0*wide/greatest(moves,1)>=52 then 'Wing focused' end,case when 100.0*central/greatest(moves,1)>=38 then 'Central progression' end,case when reg>=greatest(6,matches*2) then 'High pressing' end,case when reg>=greatest(4,matches) and bx>=greatest(3,matches) then 'Transition threat' end,case when sps>=greatest(2,matches) then 'Set piece threat' end,case when depth>0 and depth<45 and reg<greatest(4,matches) then 'Deep defending' end], lambda z: z is not null)[1:7],'; ') as tags from g""")
+ select {_K},array_to_string(list_filter([case when 100.0*passes/rows>=48 then 'Possession heavy' end,case when ft>0 and bx/ft>=0.42 then 'Direct' end,case when 100.0*wide/greatest(moves,1)>=52 then 'Wing focused' end,case when 100.0*central/greatest(moves,1)>=38 then 'Central progression' end,case when reg>=greatest(6,matches*2) then 'High pressing' end,case when reg>=greatest(4,matches) and bx>=greatest(3,matches) then 'Transition threat' end,case when sps>=greatest(2,matches) then 'Set piece threat' end,case when depth>0 and depth<45 and reg<greatest(4,matches) then 'Deep defending' end], lambda z: z is not null),'; ') as tags from g""")
 def p52(t: Tables):
     return style.season_style_tags(t.e)
 
@@ -154,13 +154,13 @@ def p49(t: Tables):
 
 
 @query("w20_repeated_chains", f"""with g as (select {_K},family,count(*) as chains,count(*) filter (shot) as shots,count(*) filter (goal) as goals,sum(xg) as xg,sum(xt) as xt,avg(actions) as mean_actions from schf group by all)
- select * from (select *, row_number() over (partition by {_K} order by chains desc,round(xg,8) desc,family)::int as pos from g) where pos<=12""")
+ select * from (select *, row_number() over (partition by {_K} order by chains desc,round(xg,8) desc,family)::int as pos from g)""")
 def w20(t: Tables):
     return style.repeated_chains(t.valued)
 
 
 @query("w21_sequence_browser", f"""with l as (select nation,tier,season,team,match_id,chain_id,actions,goal,shot,box,xg,best_xg,xt,unnest(list_filter([case when goal then 'goal' end,case when best_xg>=0.20 or (shot and box) then 'big_chance' end,case when shot then 'highest_xg' end,case when round(xt,9)>0 then 'highest_xt' end], lambda z: z is not null)) as list from sch)
- select * from (select *, row_number() over (partition by {_K},list order by round(case when list='highest_xt' then xt else xg end,8) desc,match_id,chain_id)::int as pos from l) where pos<=8""")
+ select * from (select *, row_number() over (partition by {_K},list order by round(case when list='highest_xt' then xt else xg end,8) desc,match_id,chain_id)::int as pos from l)""")
 def w21(t: Tables):
     return style.sequence_browser(t.valued)
 
@@ -239,7 +239,7 @@ def a52b(t: Tables):
 
 
 cte("bp", """with p as (select match_id,team,player,count(*) filter (is_goal) as g,count(*) filter (is_shot) as s,count(*) filter (box_entry) as b,count(*) filter (final_third_entry) as f,count(*) filter (is_cross) as c,count(*) filter (is_carry) as ca,count(*) filter (is_take_on) as t,count(*) filter (high_regain) as r,count(*) filter (is_defensive_action) as d,sum(positive_xt) as xt from pv group by 1,2,3),
- l as (select match_id,team,player,score as dl from dlead where pos<=8), w as (select match_id,team,player,sum(count*case role when 'taker' then 0.75 when 'first_contact' then 1 when 'shot' then 1.4 when 'clearer' then 1 else 1.3 end)::double as sp from spinv group by 1,2,3),
+ l as (select match_id,team,player,score as dl from dlead), w as (select match_id,team,player,sum(count*case role when 'taker' then 0.75 when 'first_contact' then 1 when 'shot' then 1.4 when 'clearer' then 1 else 1.3 end)::double as sp from spinv group by 1,2,3),
  q as (select p.match_id,p.team,p.player,5*g+1.25*s+1.15*b+0.55*f+0.35*c+0.35*(ca+t)+14*xt as attacking_score,2.2*r+0.45*d+coalesce(dl,0) as defensive_score,2.0*r+0.8*b+0.35*f+0.35*(ca+t)+7*xt as transition_score,coalesce(sp,0) as set_piece_score from p left join l using(match_id,team,player) left join w using(match_id,team,player))
  select match_id,team,player,attacking_score::double as attacking_score,defensive_score::double as defensive_score,transition_score::double as transition_score,set_piece_score::double as set_piece_score,(attacking_score+defensive_score+transition_score+set_piece_score)::double as overall_score from q""")
 
@@ -250,7 +250,7 @@ def a28(t: Tables):
 
 
 @query("k01_best_player_lists", """with u as (select match_id,team,player,x.list,round(case x.list when 'attacking' then attacking_score when 'defensive' then defensive_score when 'transition' then transition_score when 'set_piece' then set_piece_score else overall_score end,8) as score from bp cross join (values ('attacking'),('defensive'),('transition'),('set_piece'),('overall')) x(list))
- select * from (select *, row_number() over (partition by match_id,team,list order by score desc,player)::int as pos from u where score>0) where pos<=8""")
+ select * from (select *, row_number() over (partition by match_id,team,list order by score desc,player)::int as pos from u where score>0)""")
 def k01(t: Tables):
     return squads.best_lists(squads.best_players(t.stored))
 
@@ -304,10 +304,10 @@ def p51(t: Tables):
         "event_id", "is_substitution", "comes_on", "goes_off")
 
 
-@query("p45_event_points", "select * from (select match_id,team,event_index,expanded_minute,player,type,x,y,end_x,end_y,is_success,row_number() over (partition by match_id,team order by period,expanded_minute,event_index)::int as pos from fc where x is not null and (is_pass or is_shot or is_carry)) where pos<=260")
+@query("p45_event_points", "select * from (select match_id,team,event_index,expanded_minute,player,type,x,y,end_x,end_y,is_success,row_number() over (partition by match_id,team order by period,expanded_minute,event_index)::int as pos from fc where x is not null and (is_pass or is_shot or is_carry))")
 def p45(t: Tables):
     df = t.c.where("x is not null and (is_pass or is_shot or is_carry)")
-    return top_per_group(df, ["match_id", "team"], [F.col("period"), F.col("expanded_minute"), F.col("event_index")], 260).select(
+    return top_per_group(df, ["match_id", "team"], [F.col("period"), F.col("expanded_minute"), F.col("event_index")]).select(
         "match_id", "team", "event_index", "expanded_minute", "player", "type", "x", "y", "end_x", "end_y", "is_success", "pos")
 
 

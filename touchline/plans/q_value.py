@@ -47,12 +47,12 @@ def a09(t: Tables):
 
 
 @query("k04_top_actions", """with a as (select match_id,event_index,team,player,action_type,xt_added,row_number() over (partition by match_id order by round(xt_added,9) desc,event_index)::int as pos from pv where f_move)
- select * from a where pos<=10""")
+ select * from a""")
 def k04(t: Tables):
     from touchline.operators.topk import top_per_group
 
     df = t.valued.where("(f_pass or f_carry) and f_success and zone_start >= 0 and zone_end >= 0")
-    return top_per_group(df, ["match_id"], [F.round("xt_added", 9).desc(), F.col("event_index")], 10).select(
+    return top_per_group(df, ["match_id"], [F.round("xt_added", 9).desc(), F.col("event_index")]).select(
         "match_id", "event_index", "team", "player", "action_type", "xt_added", "pos")
 
 

@@ -87,6 +87,15 @@ class Tables:
 
         return value.solve_zones(value.zone_cells(self.f))
 
+    @cached_property
+    def involvement(self) -> DataFrame:
+        from touchline.operators import facts, players, sequences, value
+
+        runs = sequences.possessions(self.f)
+        values = players.player_values(
+            value.shot_features(runs), value.shot_assists(runs), value.value_actions(flags.flags_f(self.prep), self.grid))
+        return facts.player_involvement(self.e, values)
+
     @cached_property
     def stored(self) -> DataFrame:
         """The valued events written once and read back, for queries with several branches."""

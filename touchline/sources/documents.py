@@ -20,8 +20,12 @@ events ARRAY<STRUCT<id BIGINT, eventId BIGINT, teamId BIGINT, playerId BIGINT, p
 def parse_qualifiers(df: DataFrame, column: str = "qualifiers") -> DataFrame:
     """Text list of {type, value} -> ``qual_map`` (later duplicates win, missing value is
     "true") and ``qual_tags``.  Python-style quoting and {displayName} types are accepted."""
-    text = F.regexp_replace(F.col(column), "'", '"')
-    cell = F.from_json(text, "array<struct<type string, value string>>")
+    form = "array<struct<type string, value string>>"
+    # Only text that does not parse as it is gets its literals (None, True, False) rewritten.
+    literal = F.col(column)
+    for word, plain in (("None", "null"), ("True", "true"), ("False", "false")):
+        literal = F.regexp_replace(literal, rf"([:,\[]\s*){word}(?=\s*[,}}\]])", f"$1{plain}")
+    cell = F.coalesce(F.from_json(F.col(column), form), F.from_json(literal, form))
     items = F.expr(
         "transform(_cell, q -> named_struct('t', coalesce(get_json_object(q.type, '$.displayName'), q.type),"
         " 'v', coalesce(q.value, 'true')))"

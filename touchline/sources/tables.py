@@ -158,11 +158,12 @@ def upsert_matches_table(incoming: DataFrame, path: str, partition: str = "match
 
 
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Column union; the new row of a key wins.  max_by combines before the shuffle, so a key
-    with many versions never gathers in one task."""
+    """Column union; the new row of a key wins, and of several new rows the greatest by its columns in
+    order (rows carry no arrival time), so that the result is always the same.  max combines before the
+    shuffle, so a key with many versions never gathers in one task."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     cols = [c for c in both.columns if c not in (*key, "_new")]
-    return both.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("_new")).alias("_r")).select(*key, "_r.*")
+    return both.groupBy(*key).agg(F.max(F.struct("_new", *cols)).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
 def upsert_positions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
