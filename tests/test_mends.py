@@ -78,3 +78,34 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_dir(Session(), "x")
+
+
+def _moves(spark, league, set_piece):
+    """Three events of a league season: a move, a shot that scores from its end, a shot that misses."""
+    cols = "season string, nation string, tier string, match_id long, event_id long, x double, y double, end_x double, end_y double, is_shot boolean, provider_xg double, type_c string, outcome_c string, qual_c string, f_pass boolean, f_carry boolean, f_cross boolean, f_success boolean, f_shot boolean, f_goal boolean, f_set_piece boolean"
+    row = lambda i, x, ex, shot, goal: ("S", league, "T", 1, i, x, 50.0, ex, 50.0 if ex else None, shot, 0.1, "pass", "", "", not shot, False, False, True, shot, goal, set_piece and not shot)
+    return spark.createDataFrame([row(1, 30.0, 90.0, False, False), row(2, 90.0, None, True, True), row(3, 90.0, None, True, league == "good")], cols)
+
+
+def test_leagues_have_grids_of_their_own_and_set_pieces_count_in_league_scope_only(spark, monkeypatch):
+    from touchline.functions import flags
+    from touchline.operators import value
+
+    monkeypatch.setattr(flags, "flags_f", lambda df: df)
+    f = _moves(spark, "good", False).unionByName(_moves(spark, "poor", False))
+    grid = value.solve_zones(value.zone_cells(f, value.LEAGUE), value.LEAGUE)
+    top = {r["nation"]: r["xt"] for r in grid.groupBy("nation").agg(F.max("xt").alias("xt")).collect()}
+    assert top == {"good": 1.0, "poor": 0.5}
+    moves = value.attach_values(_moves(spark, "good", True).where("f_pass"), grid).select("league_xt_added", "positive_league_xt", "xt_added", "positive_xt").first()
+    assert tuple(moves) == (0.0, 0.0, 0.0, 0.0)  # the only way from the start zone leads to a zone worth the same
+    last = value.attach_values(_moves(spark, "poor", True).where("f_pass").withColumn("x", F.lit(60.0)), grid).select("positive_league_xt", "positive_xt").first()
+    assert tuple(last) == (0.5, 0.0)
+
+
+def test_grid_of_a_log_whose_play_rarely_ends(spark):
+    from touchline.operators import value
+
+    cells = spark.createDataFrame(
+        [(0, 0, 99, 99, 0, 0), (0, -1, 1, 0, 1, 1)], "zone_start int, zone_end int, actions long, moves long, shots long, goals long")
+    got = {r["zone"]: r["xt"] for r in value.solve_zones(cells).collect()}
+    assert got[0] == pytest.approx(1.0, abs=1e-9)  # thirty rounds would stop at 0.26

@@ -43,7 +43,7 @@ def team_rows(e: DataFrame, valued: DataFrame, min_matches: int = 1) -> DataFram
     match = match.withColumn("scope_rows", F.sum("rows").over(Window.partitionBy("match_id")))
     names = [c for c in match.columns if c not in (*TEAM, "match_id")]
     team = match.groupBy(*TEAM).agg(F.count(F.lit(1)).alias("matches"), *[F.sum(c).alias(c) for c in names])
-    val = valued.groupBy(*TEAM).agg(F.sum("xg").alias("xg"), F.sum("positive_xt").alias("xt"))
+    val = valued.groupBy(*TEAM).agg(F.sum("xg").alias("xg"), F.sum("positive_league_xt").alias("xt"))
     df = team.join(val, TEAM, "left").where(f"matches >= {min_matches}")
     per = {
         "events_per_match": "rows", "passes_per_match": "passes", "carries_per_match": "carries", "crosses_per_match": "crosses",
@@ -189,7 +189,7 @@ def radar_rows(e: DataFrame, valued: DataFrame, credits: DataFrame) -> DataFrame
     per = e.groupBy(*SEASON, "team", "opponent", "match_id").agg(*[n(r).alias(c) for c, r in cols.items()])
     own = per.groupBy(*TEAM).agg(F.count(F.lit(1)).alias("matches"), *[F.sum(c).alias(c) for c in cols])
     agn = per.groupBy(*SEASON, F.col("opponent").alias("team")).agg(*[F.sum(c).alias(f"a_{c}") for c in ("goals", "shots", "box", "final_third", "set_piece_shots")])
-    xg = valued.groupBy(*TEAM, "opponent").agg(F.sum("xg").alias("xg"), F.sum("xt_added").alias("xt"))
+    xg = valued.groupBy(*TEAM, "opponent").agg(F.sum("xg").alias("xg"), F.sum("league_xt_added").alias("xt"))
     xgo = xg.groupBy(*TEAM).agg(F.sum("xg").alias("xg"), F.sum("xt").alias("xt"))
     xga = xg.groupBy(*SEASON, F.col("opponent").alias("team")).agg(F.sum("xg").alias("a_xg"))
     xa = credits.where("role = 'assist'").groupBy(*TEAM).agg(F.sum("xg").alias("xa"))

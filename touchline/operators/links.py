@@ -12,14 +12,14 @@ from touchline.operators.facts import SEASON
 from touchline.operators.ordering import ORDER, match_window
 
 
-def latest_locations(c: DataFrame, minute: float) -> DataFrame:
-    """Last touch, pass or carry of every player up to a minute."""
+def latest_locations(c: DataFrame, minute: float, also: list[str] | None = None) -> DataFrame:
+    """Last touch, pass or carry of every player up to a minute. ``also``: columns that a match has one value of."""
     rank = F.struct(*ORDER)
     return (
         c.where(f"expanded_minute <= {minute} and x is not null and (is_touch or is_pass or is_carry)")
-        .groupBy("match_id", "team", "player")
+        .groupBy(*(also or []), "match_id", "team", "player")
         .agg(F.max_by(F.struct("x", "y", "expanded_minute"), rank).alias("s"))
-        .select("match_id", "team", "player", "s.*")
+        .select(*(also or []), "match_id", "team", "player", "s.*")
     )
 
 

@@ -176,7 +176,7 @@ def chain_lists(valued: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def match_value_breakdown(valued: DataFrame) -> DataFrame:
-    return valued.where("(f_pass or f_carry) and f_success and zone_start >= 0 and zone_end >= 0").groupBy(*MT, "action_type").agg(
+    return valued.where("(f_pass or f_carry) and f_success and not f_set_piece and zone_start >= 0 and zone_end >= 0").groupBy(*MT, "action_type").agg(
         F.count(F.lit(1)).alias("actions"), F.sum("positive_xt").alias("positive_xt"), F.sum("xt_added").alias("xt_added")
     ).withColumn("share", share("positive_xt", MT))
 

@@ -20,7 +20,7 @@ def set_piece_profile(valued: DataFrame) -> DataFrame:
     row is sent once per family and direction it counts for."""
     df = flags_e(valued.where("not is_inferred_carry"))
     threat = (
-        "greatest(0.08D, positive_xt, xg) + if(e_end_box, 0.22D, 0D) + if(e_final_third, 0.16D, 0D) + if(e_box, 0.24D, 0D) + if(e_shot, 0.35D, 0D)"
+        "greatest(0.08D, positive_league_xt, xg) + if(e_end_box, 0.22D, 0D) + if(e_final_third, 0.16D, 0D) + if(e_box, 0.24D, 0D) + if(e_shot, 0.35D, 0D)"
     )
     df = df.withColumns({"_threat": F.expr(f"least({threat}, 1.4D)"), "_lane": geometry.lane_120("ey"), "_delivery": F.expr("e_pass or e_cross")})
     fam = F.array_compact(F.array(*[F.when(F.col(f"e_{f}"), F.lit(f)) for f in FAMILIES]))
@@ -47,8 +47,8 @@ def dashboard(e: DataFrame, valued: DataFrame) -> DataFrame:
     own = part.groupBy(*TEAM).agg(F.count_distinct("match_id").alias("matches"), *[F.sum(c).alias(c) for c in names])
     agn = part.groupBy(*SEASON, F.col("opponent").alias("team")).agg(*[F.sum(c).alias(f"{c}_against") for c in names])
     val = valued.groupBy(*SEASON, "team", "opponent").agg(
-        F.sum("xg").alias("xg"), F.sum(F.expr("if(is_penalty, 0D, xg)")).alias("np_xg"), F.sum("positive_xt").alias("xt"),
-        F.sum(F.expr("if(is_set_piece, positive_xt, 0D)")).alias("set_piece_xt"),
+        F.sum("xg").alias("xg"), F.sum(F.expr("if(is_penalty, 0D, xg)")).alias("np_xg"), F.sum("positive_league_xt").alias("xt"),
+        F.sum(F.expr("if(is_set_piece, positive_league_xt, 0D)")).alias("set_piece_xt"),
     )
     vs = ["xg", "np_xg", "xt", "set_piece_xt"]
     vo = val.groupBy(*TEAM).agg(*[F.sum(c).alias(c) for c in vs])

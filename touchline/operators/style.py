@@ -135,7 +135,7 @@ def repeated_chains(valued: DataFrame, k: int | None = None) -> DataFrame:
     c = df.groupBy(*keys, "match_id", "chain_id").agg(
         F.count(F.lit(1)).alias("actions"), F.min_by("y", order).alias("y0"), F.max_by(F.expr("coalesce(end_y, y)"), order).alias("y1"),
         n("is_carry").alias("carries"), F.max("is_cross").alias("cross"), F.max("box_entry").alias("box"), F.max("final_third_entry").alias("ft"),
-        F.max("is_shot").alias("shot"), F.max("is_goal").alias("goal"), F.sum("xg").alias("xg"), F.sum("positive_xt").alias("xt"),
+        F.max("is_shot").alias("shot"), F.max("is_goal").alias("goal"), F.sum("xg").alias("xg"), F.sum("positive_league_xt").alias("xt"),
     ).where("actions >= 2 and (shot or box or round(xt, 9) >= 0.12)")
     route = F.expr("case when cross then 'cross' when carries >= 2 then 'carry progression' when box then 'box entry' else 'final third progression' end")
     c = c.withColumns({"_a": geometry.lane3("y0"), "_b": geometry.lane3("y1")})
@@ -153,7 +153,7 @@ def sequence_browser(valued: DataFrame, k: int | None = None) -> DataFrame:
     keys = ["nation", "tier", "season", "team"]
     df = sequences.season_chains(valued).groupBy(*keys, "match_id", "chain_id").agg(
         F.count(F.lit(1)).alias("actions"), F.max("is_goal").alias("goal"), F.max("is_shot").alias("shot"), F.max("box_entry").alias("box"),
-        F.sum("xg").alias("xg"), F.max("xg").alias("best_xg"), F.sum("positive_xt").alias("xt"),
+        F.sum("xg").alias("xg"), F.max("xg").alias("best_xg"), F.sum("positive_league_xt").alias("xt"),
     )
     lists = {"goal": "goal", "big_chance": "best_xg >= 0.20 or (shot and box)", "highest_xg": "shot", "highest_xt": "round(xt, 9) > 0"}
     df = df.withColumn("list", F.explode(F.array_compact(F.array(*[F.when(F.expr(r), F.lit(m)) for m, r in lists.items()]))))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from touchline.functions import flags, geometry, shots
 
-ROUNDS = 30
+#: A grid is trained for each league season, so that one league's values do not move with another's.
+LEAGUE = ["nation", "tier", "season"]
+#: The fixed point is reached when no zone moves by more than this; rounds at most, for grids that never settle.
+TOLERANCE, MOST_ROUNDS = 1e-13, 20_000
 _MOVE = "(f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start >= 0 and zone_end >= 0"
 
 
@@ -55,9 +58,11 @@ def zone_model(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
     )
 
 
-def solve_zones(cells: DataFrame, scope: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def solve_zones(cells: DataFrame, scope: list[str] | None = None, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
     """Fixed point of x = shot * goal + move * T x over the grid, one row per zone.
 
+    Rounds go on until no zone changes by more than ``tolerance``.
+
     The grid is a constant (192 zones, at most 36,864 transitions per scope), so each scope
     is one row of arrays and the rounds run inside one expression - no lineage grows.
     """
@@ -79,47 +84,49 @@ def solve_zones(cells: DataFrame, scope: list[str] | None = None, rounds: int =
     step = (
         "transform(zones, z -> coalesce(z.payoff + aggregate(z.targets, 0D, (s, t) -> s + t.p * element_at(v, t.to + 1)), 0D))"
     )
-    solved = dense.withColumn(
-        "xt",
-        F.expr(
-            f"aggregate(sequence(1, {rounds}), cast(array_repeat(0D, {geometry.ZONES}) as array<double>),"
-            f" (v, i) -> cast({step} as array<double>))"
-        ),
-    )
+    # State: the values and the largest change of the last round; a settled state passes on as it is.
+    begin = f"named_struct('v', cast(array_repeat(0D, {geometry.ZONES}) as array<double>), 'moved', 1D)"
+    turn = f"transform(array(cast({step} as array<double>)), w -> named_struct('v', w, 'moved', array_max(zip_with(w, v, (a, b) -> abs(a - b)))))[0]"
+    turn = f"transform(array(s.v), v -> {turn})[0]"
+    solved = dense.withColumn("xt", F.expr(f"aggregate(sequence(1, {most}), {begin}, (s, i) -> if(s.moved <= {tolerance}, s, {turn})).v"))
     return solved.select(*scope, F.posexplode("xt").alias("zone", "xt")).withColumn(
         "xt", F.expr("least(greatest(xt, 0D), 1D)")
     )
 
 
-def value_actions(f: DataFrame, grid: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """xt_added = value at the end minus value at the start, for successful moves."""
+def value_actions(f: DataFrame, grid: DataFrame, scope: list[str] | None = LEAGUE) -> DataFrame:
+    """xt_added = value at the end minus value at the start, for successful moves (set pieces included)."""
     scope = scope or []
     df = with_zones(f).where(_MOVE)
-    side = F.broadcast(grid) if not scope else grid  # one grid: 192 rows by definition
-    start = side.select(*scope, F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start"))
-    end = side.select(*scope, F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end"))
+    start = grid.select(*scope, F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start"))
+    end = grid.select(*scope, F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end"))
     df = df.join(start, [*scope, "zone_start"]).join(end, [*scope, "zone_end"])
     return df.withColumn("xt_added", F.expr("xt_end - xt_start"))
 
 
-def attach_values(prepared: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every prepared row with xt_added, positive_xt (0 where not a successful move) and, on
-    shots, xg.  The value is looked up on the row itself, so no self join is needed.
+def attach_values(prepared: DataFrame, grid: DataFrame, scope: list[str] | None = LEAGUE) -> DataFrame:
+    """Every prepared row with its ball-movement value and, on shots, xg.
+
+    ``xt_added`` and ``positive_xt`` are values in the scope of a match, where set pieces count nothing;
+    ``league_xt_added`` and ``positive_league_xt`` are those of the league scope, with set pieces. All are 0
+    where the row is not a successful move.
 
     ``grid`` comes from ``solve_zones`` over the log: training reads plain event rows, so it is
-    a projection and one partial aggregation, without the windows behind ``prepared``."""
+    a projection and one partial aggregation, without the windows behind ``prepared``. It has 192 rows
+    per league season; whether that is sent to every task is left to its measured size."""
+    scope = scope or []
     f = with_zones(flags.flags_f(prepared))
-    # row lookup: two joins with the 192-row grid
-    g = F.broadcast(grid)
     df = (
         f.withColumn("_move", F.expr(f"coalesce({_MOVE}, false)"))
-        .join(g.select(F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start")), "zone_start", "left")
-        .join(g.select(F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end")), "zone_end", "left")
+        .join(grid.select(*scope, F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start")), [*scope, "zone_start"], "left")
+        .join(grid.select(*scope, F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end")), [*scope, "zone_end"], "left")
     )
+    df = df.withColumn("league_xt_added", F.expr("if(_move, xt_end - xt_start, 0D)"))
     return df.withColumns(
         {
-            "xt_added": F.expr("if(_move, xt_end - xt_start, 0D)"),
-            "positive_xt": F.expr("if(_move, greatest(xt_end - xt_start, 0D), 0D)"),
+            "positive_league_xt": F.expr("greatest(league_xt_added, 0D)"),
+            "xt_added": F.expr("if(f_set_piece, 0D, league_xt_added)"),
+            "positive_xt": F.expr("if(f_set_piece, 0D, greatest(league_xt_added, 0D))"),
             "xg": F.when(F.col("is_shot"), shots.rule_xg_match()).otherwise(F.lit(0.0)),
         }
     ).drop("_move", "xt_start", "xt_end")

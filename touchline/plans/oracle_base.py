@@ -317,17 +317,20 @@ cte("pf", f"""select *, case when f_carry then 'carry' when f_cross then 'cross'
   coalesce((f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start>=0 and zone_end>=0,false) as f_move
   from (select *, {_FEXPR}, {_ZS} as zone_start, {_ZE} as zone_end from (select *, list_transform(qual_tags, lambda t: lower(t)) as tc from prep))""")
 cte("zf", f"""select *, coalesce((f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start>=0 and zone_end>=0,false) as f_move from (select *, {_ZS} as zone_start, {_ZE} as zone_end from ff)""")
-cte("zcell", """select zone_start, case when f_move then zone_end else -1 end as zone_end, count(*) as actions,
+_L3 = "{a}.nation={b}.nation and {a}.tier={b}.tier and {a}.season={b}.season"
+cte("zcell", """select nation, tier, season, zone_start, case when f_move then zone_end else -1 end as zone_end, count(*) as actions,
   count(*) filter (f_move) as moves, count(*) filter (f_shot) as shots, count(*) filter (f_goal) as goals
   from zf where zone_start>=0 and not f_set_piece group by all""")
-cte("zrow", """select zone_start, sum(actions)::double as actions, sum(moves)::double as moves, sum(shots)::double as shots, sum(goals)::double as goals from zcell group by 1""")
-cte("zall", """select list({p:coalesce(p,0), e:coalesce(e,[]), w:coalesce(w,[])} order by i) as zs from (
-  select i, (select case when r.shots>0 then r.shots/r.actions*(r.goals/r.shots) else 0 end from zrow r where r.zone_start=i) as p,
-  g.e, g.w from (select unnest(range(192))::int as i) left join (
-   select c.zone_start, list(c.zone_end order by c.zone_end) as e, list(c.moves/r.actions order by c.zone_end) as w from zcell c join zrow r using(zone_start) where c.zone_end>=0 group by 1) g on g.zone_start=i)""")
-cte("xtit", """select 0 as it, list_transform(range(192), lambda i: 0::double) as v
-  union all select it+1, list_transform(zs, lambda z: z.p + coalesce(list_sum(list_transform(list_zip(z.e,z.w), lambda q: q[2]*v[q[1]+1])),0)) from xtit, zall where it<30""")
-cte("xtm", "select (i-1)::int as zone, least(greatest(v[i],0),1) as xt from xtit, (select unnest(range(1,193)) as i) where it=30")
-cte("pv", """select p.*, case when f_move then e.xt-s.xt else 0 end as xt_added, case when f_move then greatest(e.xt-s.xt,0) else 0 end as positive_xt,
+cte("zrow", """select nation, tier, season, zone_start, sum(actions)::double as actions, sum(moves)::double as moves, sum(shots)::double as shots, sum(goals)::double as goals from zcell group by 1,2,3,4""")
+cte("zall", f"""select l.nation, l.tier, l.season, list({{p:case when r.shots>0 then r.shots/r.actions*(r.goals/r.shots) else 0 end, e:coalesce(g.e,[]), w:coalesce(g.w,[])}} order by i.i) as zs
+  from (select distinct nation,tier,season from zrow) l cross join (select unnest(range(192))::int as i) i
+  left join zrow r on r.zone_start=i.i and {_L3.format(a='r', b='l')}
+  left join (select c.nation,c.tier,c.season,c.zone_start, list(c.zone_end order by c.zone_end) as e, list(c.moves/r.actions order by c.zone_end) as w
+   from zcell c join zrow r using(nation,tier,season,zone_start) where c.zone_end>=0 group by 1,2,3,4) g on g.zone_start=i.i and {_L3.format(a='g', b='l')} group by 1,2,3""")
+cte("xtit", """select nation,tier,season,0 as it, list_transform(range(192), lambda i: 0::double) as v from zall
+  union all select x.nation,x.tier,x.season,it+1, list_transform(a.zs, lambda z: z.p + coalesce(list_sum(list_transform(list_zip(z.e,z.w), lambda q: q[2]*x.v[q[1]+1])),0)) from xtit x join zall a using(nation,tier,season) where it<60""")
+cte("xtm", "select nation,tier,season,(i-1)::int as zone, least(greatest(v[i],0),1) as xt from xtit, (select unnest(range(1,193)) as i) where it=60")
+cte("pv", f"""select *, case when f_set_piece then 0 else league_xt_added end as xt_added, case when f_set_piece then 0 else positive_league_xt end as positive_xt from (
+  select p.*, case when f_move then e.xt-s.xt else 0 end as league_xt_added, case when f_move then greatest(e.xt-s.xt,0) else 0 end as positive_league_xt,
   case when p.is_shot then l.xg else 0 end as xg
-  from pf p left join xtm s on s.zone=p.zone_start left join xtm e on e.zone=p.zone_end left join logx l on l.event_id=p.event_id""")
+  from pf p left join xtm s on s.zone=p.zone_start and {_L3.format(a='s', b='p')} left join xtm e on e.zone=p.zone_end and {_L3.format(a='e', b='p')} left join logx l on l.event_id=p.event_id)""")

@@ -113,7 +113,7 @@ cte("pinv", """with g as (select nation,tier,season,team,player,count(*) as even
  count(*) filter (e_shot) as shots,count(*) filter (e_goal) as goals,count(*) filter (e_defensive) as defensive_actions,count(*) filter (e_regain) as regains,
  count(*) filter (e_set_piece) as set_pieces,count(*) filter (e_cross) as crosses,count(*) filter (e_carry) as carries,avg(x) as mean_x,avg(y) as mean_y from fe group by all),
  v as (select season,nation,tier,team,player,sum(xg) as xg,sum(xa) as xa,sum(xt) as xt from (select ff.season,ff.nation,ff.tier,ff.team,ff.player,l.xg,0 as xa,0 as xt from ff join logx l using(event_id) where ff.f_shot
-  union all select season,nation,tier,team,player,0,xg,0 from assist where role='assist' union all select season,nation,tier,team,player,0,0,xt_added from pv where f_move) u group by 1,2,3,4,5),
+  union all select season,nation,tier,team,player,0,xg,0 from assist where role='assist' union all select season,nation,tier,team,player,0,0,league_xt_added from pv where f_move) u group by 1,2,3,4,5),
  h as (select g.*, coalesce(v.xg,0)::double as xg,coalesce(v.xa,0)::double as xa,coalesce(v.xt,0)::double as xt from g left join v using(nation,tier,season,team,player)),
  s as (select *, (0.08*events+1.15*final_third_entries+1.65*box_entries+2.05*shots+4*goals+0.55*defensive_actions+1.35*regains+0.35*set_pieces+1.6*xg+1.6*xa+1.25*xt)::double as score from h)
  select *, row_number() over (partition by nation,tier,season,team order by round(score,6) desc, player)::int as rank from s""")

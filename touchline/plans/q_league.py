@@ -22,7 +22,7 @@ cte("lrow", """with m as (select nation,tier,season,team,match_id,count(*) as ro
  count(*) filter (e_set_piece and e_shot) as sps,count(*) filter (e_corner) as corners,count(*) filter (e_free_kick) as fk,count(*) filter (e_throw_in) as ti,count(*) filter (e_move and e_success) as gm,coalesce(sum(eex-ex) filter (e_move and e_success),0) as gain,coalesce(sum(ex) filter (e_defensive),0) as dx from fe group by all),
  s as (select *, sum(rows) over (partition by match_id) as scope_rows from m),
  t as (select nation,tier,season,team,count(*) as matches,sum(rows) as rows,sum(passes) as passes,sum(good) as good,sum(carries) as carries,sum(crosses) as crosses,sum(shots) as shots,sum(goals) as goals,sum(ft) as ft,sum(bx) as bx,sum(prog) as prog,sum(dfn) as dfn,sum(reg) as reg,sum(moves) as moves,sum(wide) as wide,sum(central) as central,sum(sp) as sp,sum(sps) as sps,sum(corners) as corners,sum(fk) as fk,sum(ti) as ti,sum(gm) as gm,sum(gain) as gain,sum(dx) as dx,sum(scope_rows) as scope_rows from s group by 1,2,3,4),
- v as (select nation,tier,season,team,sum(xg) as xg,sum(positive_xt) as xt from pv group by 1,2,3,4)
+ v as (select nation,tier,season,team,sum(xg) as xg,sum(positive_league_xt) as xt from pv group by 1,2,3,4)
  select t.nation,t.tier,t.season,t.team,t.matches,t.rows::bigint as rows,v.xg,v.xt,t.rows/t.matches as events_per_match,passes/t.matches as passes_per_match,carries/t.matches as carries_per_match,crosses/t.matches as crosses_per_match,shots/t.matches as shots_per_match,goals/t.matches as goals_per_match,v.xg/t.matches as xg_per_match,v.xt/t.matches as xt_per_match,
  ft/t.matches as final_third_entries_per_match,bx/t.matches as box_entries_per_match,prog/t.matches as progressive_actions_per_match,dfn/t.matches as defensive_actions_per_match,reg/t.matches as high_regains_per_match,sps/t.matches as set_piece_shots_per_match,corners/t.matches as corners_per_match,fk/t.matches as free_kicks_per_match,ti/t.matches as throw_ins_per_match,
  100.0*t.rows/scope_rows as event_share,case when passes>0 then 100.0*good/passes else 0 end as pass_success_pct,v.xg/greatest(shots,1) as xg_per_shot,case when gm>0 then gain/gm else 0 end as directness,case when dfn>0 then dx/dfn else 0 end as defensive_height,case when moves>0 then 100.0*wide/moves else 0 end as wide_action_share,case when moves>0 then 100.0*central/moves else 0 end as central_action_share,100.0*sp/t.rows as set_piece_share
@@ -106,7 +106,7 @@ def a44(t: Tables):
 
 cte("radr", """with p as (select nation,tier,season,team,opponent,match_id,count(*) filter (e_goal) as g,count(*) filter (e_shot) as s,count(*) filter (e_box) as b,count(*) filter (e_final_third) as f,count(*) filter (e_set_piece and e_shot) as ss,count(*) filter (e_regain) as r,count(*) filter (e_defensive) as d from fe group by all),
  o as (select nation,tier,season,team,count(*) as matches,sum(g) as g,sum(s) as s,sum(b) as b,sum(f) as f,sum(ss) as ss,sum(r) as r,sum(d) as d from p group by 1,2,3,4), a as (select nation,tier,season,opponent as team,sum(g) as ag,sum(s) as as_,sum(b) as ab,sum(f) as af,sum(ss) as ass from p group by 1,2,3,4),
- x as (select nation,tier,season,team,sum(xg) as xg,sum(xt_added) as xt from pv group by 1,2,3,4), y as (select nation,tier,season,opponent as team,sum(xg) as axg from pv group by 1,2,3,4), z as (select nation,tier,season,team,sum(xg) as xa from assist where role='assist' group by 1,2,3,4)
+ x as (select nation,tier,season,team,sum(xg) as xg,sum(league_xt_added) as xt from pv group by 1,2,3,4), y as (select nation,tier,season,opponent as team,sum(xg) as axg from pv group by 1,2,3,4), z as (select nation,tier,season,team,sum(xg) as xa from assist where role='assist' group by 1,2,3,4)
  select nation,tier,season,team,matches,g/matches as goals_for,coalesce(ag,0)/matches as goals_against,s/matches as shots_for,coalesce(as_,0)/matches as shots_against,coalesce(xg,0)/matches as xg_for,coalesce(axg,0)/matches as xg_against,coalesce(xa,0)/matches as xa,coalesce(xt,0)/matches as xt,b/matches as box_for,coalesce(ab,0)/matches as box_against,f/matches as final_third_for,coalesce(af,0)/matches as final_third_against,
  100.0*f/greatest(f+coalesce(af,0),1) as field_tilt,r/matches as regains,d/matches as defensive_actions,ss/matches as set_piece_shots_for,coalesce(ass,0)/matches as set_piece_shots_against from o left join a using(nation,tier,season,team) left join x using(nation,tier,season,team) left join y using(nation,tier,season,team) left join z using(nation,tier,season,team)""")
 _UP = ",".join(f"'{k}'" for k, up in league.RADAR.items() if up)
@@ -220,11 +220,11 @@ def w14(t: Tables):
     return df.select("nation", "tier", "season", "team", *[F.rank().over(w.orderBy(F.desc(c))).alias(f"{c}_rank") for c in _W14])
 
 
-@query("j25_team_metric_lookup", """select s.nation,s.tier,s.season,s.team,s.shots,coalesce(x.xg,0) as xg_sum,coalesce(x.xt,0) as xt_sum,coalesce(a.xa,0) as xa_sum from stf s left join (select nation,tier,season,team,sum(xg) as xg,sum(positive_xt) as xt from pv group by 1,2,3,4) x using(nation,tier,season,team)
+@query("j25_team_metric_lookup", """select s.nation,s.tier,s.season,s.team,s.shots,coalesce(x.xg,0) as xg_sum,coalesce(x.xt,0) as xt_sum,coalesce(a.xa,0) as xa_sum from stf s left join (select nation,tier,season,team,sum(xg) as xg,sum(positive_league_xt) as xt from pv group by 1,2,3,4) x using(nation,tier,season,team)
  left join (select nation,tier,season,team,sum(xg) as xa from assist where role='assist' group by 1,2,3,4) a using(nation,tier,season,team)""")
 def j25(t: Tables):
     k = league.TEAM
-    x = t.valued.groupBy(*k).agg(F.sum("xg").alias("xg_sum"), F.sum("positive_xt").alias("xt_sum"))
+    x = t.valued.groupBy(*k).agg(F.sum("xg").alias("xg_sum"), F.sum("positive_league_xt").alias("xt_sum"))
     a = value.shot_assists(sequences.possessions(t.f)).where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("xa_sum"))
     return facts.season_team_facts(_matches(t)).select(*k, "shots").join(x, k, "left").join(a, k, "left").na.fill(0.0, ["xg_sum", "xt_sum", "xa_sum"])
 

@@ -177,16 +177,15 @@ def j23b(t: Tables):
 
 
 @query("j30_player_snapshot_value", """with a as (select *, row_number() over (partition by match_id,team,player order by period desc,expanded_minute desc,event_index desc) as rn from fc where expanded_minute<=60 and x is not null and (is_touch or is_pass or is_carry)),
- z as (select match_id,team,player,x,y,(least(floor(y*12/100),11)*16+least(floor(x*16/100),15))::int as zone from a where rn=1),
+ z as (select nation,tier,season,match_id,team,player,x,y,(least(floor(y*12/100),11)*16+least(floor(x*16/100),15))::int as zone from a where rn=1),
  c as (select match_id,team,player,count(*) as touches from fc where expanded_minute<=60 and is_touch group by all)
- select z.*, m.xt, coalesce(c.touches,0) as touches from z left join xtm m using(zone) left join c using(match_id,team,player)""")
+ select z.match_id,z.team,z.player,z.x,z.y,z.zone, m.xt, coalesce(c.touches,0) as touches from z left join xtm m using(nation,tier,season,zone) left join c using(match_id,team,player)""")
 def j30(t: Tables):
     from touchline.functions import geometry
 
-    grid = F.broadcast(t.grid)  # 192 rows
-    spots = links.latest_locations(t.c, 60).withColumn("zone", geometry.value_zone("x", "y"))
+    spots = links.latest_locations(t.c, 60, links.SEASON).withColumn("zone", geometry.value_zone("x", "y"))
     touches = t.c.where("expanded_minute <= 60 and is_touch").groupBy("match_id", "team", "player").agg(F.count(F.lit(1)).alias("touches"))
-    df = spots.join(grid, "zone", "left").join(touches, ["match_id", "team", "player"], "left")
+    df = spots.join(t.grid, [*links.SEASON, "zone"], "left").join(touches, ["match_id", "team", "player"], "left")
     return df.select("match_id", "team", "player", "x", "y", "zone", "xt", F.coalesce("touches", F.lit(0)).alias("touches"))
 
 

@@ -288,7 +288,7 @@ def w19b(t: Tables):
     return maps.chain_lists(t.valued)
 
 
-@query("a50_match_value_breakdown", f"select *, {_SH('positive_xt')} as share from (select match_id,team,action_type,count(*) as actions,sum(positive_xt) as positive_xt,sum(xt_added) as xt_added from pv where f_move group by all)")
+@query("a50_match_value_breakdown", f"select *, {_SH('positive_xt')} as share from (select match_id,team,action_type,count(*) as actions,sum(positive_xt) as positive_xt,sum(xt_added) as xt_added from pv where f_move and not f_set_piece group by all)")
 def a50(t: Tables):
     return maps.match_value_breakdown(t.valued)
 

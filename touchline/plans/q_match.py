@@ -138,7 +138,7 @@ def p52(t: Tables):
 _L3 = "case when {0} is null then 'unknown' when {0}<33.333 then 'left' when {0}<66.667 then 'central' else 'right' end"
 cte("sch", """with a as (select *, lag(team_key) over (partition by match_id order by period,expanded_minute,event_index) as pt from pv),
  c as (select *, sum(case when pt is null or pt<>team_key then 1 else 0 end) over (partition by match_id order by period,expanded_minute,event_index)::bigint as chain_id, expanded_minute*100000+event_index as kk from a)
- select nation,tier,season,team,match_id,chain_id,count(*) as actions,arg_min_null(y,kk) as y0,arg_max_null(coalesce(end_y,y),kk) as y1,count(*) filter (is_carry) as carries,bool_or(is_cross) as cr,bool_or(box_entry) as box,bool_or(final_third_entry) as ft,bool_or(is_shot) as shot,bool_or(is_goal) as goal,sum(xg) as xg,max(xg) as best_xg,sum(positive_xt) as xt from c group by all""")
+ select nation,tier,season,team,match_id,chain_id,count(*) as actions,arg_min_null(y,kk) as y0,arg_max_null(coalesce(end_y,y),kk) as y1,count(*) filter (is_carry) as carries,bool_or(is_cross) as cr,bool_or(box_entry) as box,bool_or(final_third_entry) as ft,bool_or(is_shot) as shot,bool_or(is_goal) as goal,sum(xg) as xg,max(xg) as best_xg,sum(positive_league_xt) as xt from c group by all""")
 cte("schf", f"""select *, concat_ws(' ',{_L3.format('y0')},'to',{_L3.format('y1')},case when cr then 'cross' when carries>=2 then 'carry progression' when box then 'box entry' else 'final third progression' end) as family from sch where actions>=2 and (shot or box or round(xt,9)>=0.12)""")
 
 
@@ -266,14 +266,14 @@ def j24(t: Tables):
     return squads.metric_merge(base, xg).select("team", "player", "player_id", "xg")
 
 
-@query("a64_contribution_table", """select 'xg' as family,season,nation,tier,team,player,xg as value from pxg union all select 'xa',season,nation,tier,team,player,sum(xg) from assist where role='assist' group by 1,2,3,4,5,6 union all select 'xt',season,nation,tier,team,player,sum(xt_added) from pv where f_move group by 1,2,3,4,5,6""")
+@query("a64_contribution_table", """select 'xg' as family,season,nation,tier,team,player,xg as value from pxg union all select 'xa',season,nation,tier,team,player,sum(xg) from assist where role='assist' group by 1,2,3,4,5,6 union all select 'xt',season,nation,tier,team,player,sum(league_xt_added) from pv where f_move group by 1,2,3,4,5,6""")
 def a64(t: Tables):
     pos = sequences.possessions(t.f)
     k = ["season", "nation", "tier", "team", "player"]
     xg = players.player_xg(value.shot_features(pos)).select(F.lit("xg").alias("family"), *k, F.col("xg").alias("value"))
     xa = value.shot_assists(pos).where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("value")).withColumn("family", F.lit("xa"))
     f = t.valued.where("(f_pass or f_carry) and f_success and zone_start >= 0 and zone_end >= 0")
-    xt = f.groupBy(*k).agg(F.sum("xt_added").alias("value")).withColumn("family", F.lit("xt"))
+    xt = f.groupBy(*k).agg(F.sum("league_xt_added").alias("value")).withColumn("family", F.lit("xt"))
     return xg.unionByName(xa, allowMissingColumns=True).unionByName(xt, allowMissingColumns=True)
 
 

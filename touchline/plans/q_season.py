@@ -13,7 +13,7 @@ _K = "nation,tier,season,team"
 _E2 = """(select *, coalesce(x,0)*1.2::double as ex,coalesce(y,0)*0.8::double as ey,coalesce(end_x,0)*1.2::double as eex,coalesce(end_y,0)*0.8::double as eey,(is_goal or type_c='goal') as e_goal,(type_c like '%pass%' or type_c='cross') as e_pass,(type_c like '%cross%' or qual_c like '%cross%') as e_cross,regexp_matches(type_c,'carry|dribble|takeon|run') as e_carry,
  (qual_c like '%corner%' or type_c like '%corner%') as e_corner,(qual_c like '%freekick%' or type_c like '%freekick%') as e_free_kick,(qual_c like '%throwin%' or type_c like '%throwin%') as e_throw_in from pv where not is_inferred_carry)"""
 cte("spp0", f"""with a as (select *, (ex>=100 and ey between 18 and 62) as sb,(eex>=100 and eey between 18 and 62) as eb,(is_shot or e_goal or type_c like '%shot%') as e_shot,(e_pass or e_cross or e_carry) as mv from {_E2}),
- b as (select *, least(greatest(0.08,positive_xt,xg)+0.22*eb::int+0.16*(mv and eex>=80 and ex<80)::int+0.24*(mv and eb and not sb)::int+0.35*e_shot::int,1.4) as th,case when ey<80/3.0::double then 'left' when ey<=160/3.0::double then 'central' else 'right' end as lane,(e_pass or e_cross) as dl from a),
+ b as (select *, least(greatest(0.08,positive_league_xt,xg)+0.22*eb::int+0.16*(mv and eex>=80 and ex<80)::int+0.24*(mv and eb and not sb)::int+0.35*e_shot::int,1.4) as th,case when ey<80/3.0::double then 'left' when ey<=160/3.0::double then 'central' else 'right' end as lane,(e_pass or e_cross) as dl from a),
  c as (select *, unnest(list_filter([case when e_corner then 'corner' end,case when e_free_kick then 'free_kick' end,case when e_throw_in then 'throw_in' end], lambda z: z is not null)) as family from b)
  select nation,tier,season,team,opponent,family,count(*) as events,count(*) filter (dl) as deliveries,count(*) filter (dl and round(th,9)>=0.35) as high_threat,count(*) filter (e_shot) as shots,count(*) filter (e_goal) as goals,sum(xg) as xg,count(*) filter (dl and lane='left') as ld,count(*) filter (dl and lane='central') as cd,count(*) filter (dl and lane='right') as rd from c group by all""")
 _SS = "sum(events)::bigint as events,sum(deliveries)::bigint as deliveries,sum(high_threat)::bigint as high_threat,sum(shots)::bigint as shots,sum(goals)::bigint as goals,sum(xg) as xg,sum(ld)::bigint as left_deliveries,sum(cd)::bigint as central_deliveries,sum(rd)::bigint as right_deliveries"
@@ -29,7 +29,7 @@ _C = {"passes": "e_pass", "good_passes": "e_pass and e_success", "shots": "e_sho
 _A = ",".join(f"count(*) filter ({r}) as {k}" for k, r in _C.items())
 _AA = ",".join(f"count(*) filter ({r}) as {k}_against" for k, r in _C.items())
 cte("dash", f"""with o as (select {_K},count(distinct match_id) as matches,count(*) as events,{_A} from fe group by all), a as (select nation,tier,season,opponent as team,count(*) as events_against,{_AA} from fe group by all),
- v as (select {_K},sum(xg) as xg,sum(case when is_penalty then 0 else xg end) as np_xg,sum(positive_xt) as xt,sum(case when is_set_piece then positive_xt else 0 end) as set_piece_xt from pv group by all), w as (select nation,tier,season,opponent as team,sum(xg) as xg_against,sum(case when is_penalty then 0 else xg end) as np_xg_against,sum(positive_xt) as xt_against from pv group by all)
+ v as (select {_K},sum(xg) as xg,sum(case when is_penalty then 0 else xg end) as np_xg,sum(positive_league_xt) as xt,sum(case when is_set_piece then positive_league_xt else 0 end) as set_piece_xt from pv group by all), w as (select nation,tier,season,opponent as team,sum(xg) as xg_against,sum(case when is_penalty then 0 else xg end) as np_xg_against,sum(positive_league_xt) as xt_against from pv group by all)
  select *, case when passes>0 then 100.0*good_passes/passes else 0 end as pass_pct,case when crosses>0 then 100.0*good_crosses/crosses else 0 end as cross_pct,case when box_entries_against>0 then 100-100.0*central_entries_against/box_entries_against else 100 end as central_protection,100.0*events/(events+events_against) as event_share,xg/greatest(shots,1) as xg_per_shot,xg-xg_against as xg_difference
  from o left join a using({_K}) left join v using({_K}) left join w using({_K})""")
 
@@ -64,7 +64,7 @@ def a60(t: Tables):
     tr = links.transition_outcomes(t.stored).join(keys, ["match_id", "team"]).withColumn("fast_attacks", F.lit(0).cast("bigint"))
     fast = links.fast_attacks(t.e).select(*league.TEAM, F.lit(0).cast("bigint").alias("counter_attacks"), F.lit(0).cast("bigint").alias("regains_to_shot"), "fast_attacks", F.lit(0).cast("bigint").alias("losses_to_shot"))
     cols = [*league.TEAM, "counter_attacks", "regains_to_shot", "fast_attacks", "losses_to_shot"]
-    return season.phase_percentiles(_radar(t, t.stored), season.dashboard(t.e, t.stored), tr.select(*cols).unionByName(fast.select(*cols)), season.set_piece_profile(t.stored), facts.player_involvement(t.e))
+    return season.phase_percentiles(_radar(t, t.stored), season.dashboard(t.e, t.stored), tr.select(*cols).unionByName(fast.select(*cols)), season.set_piece_profile(t.stored), t.involvement)
 
 
 for _n, _q in (("b20", "a20_chain_funnel"), ("b23", "a23_disruption"), ("b24", "a24_height_profile"), ("b22", "a22_duel_control")):
@@ -78,11 +78,11 @@ def a66(t: Tables):
 
 
 @query("j04_chain_metric_lookup", """with a as (select *, lag(team_key) over (partition by match_id order by period,expanded_minute,event_index) as pt from log), c as (select *, sum(case when pt is null or pt<>team_key then 1 else 0 end) over (partition by match_id order by period,expanded_minute,event_index)::bigint as chain_id from a)
- select c.match_id,c.chain_id,count(*) as rows,sum(coalesce(v.xg,0)) as xg,sum(coalesce(v.xt_added,0)) as xt from c left join (select match_id,event_index,xg,xt_added from pv) v using(match_id,event_index) group by 1,2""")
+ select c.match_id,c.chain_id,count(*) as rows,sum(coalesce(v.xg,0)) as xg,sum(coalesce(v.league_xt_added,0)) as xt from c left join (select match_id,event_index,xg,league_xt_added from pv) v using(match_id,event_index) group by 1,2""")
 def j04(t: Tables):
-    m = t.valued.select("match_id", "event_index", "xg", "xt_added")
-    df = sequences.season_chains(t.log).join(m, ["match_id", "event_index"], "left").na.fill(0.0, ["xg", "xt_added"])
-    return df.groupBy("match_id", "chain_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("xg").alias("xg"), F.sum("xt_added").alias("xt"))
+    m = t.valued.select("match_id", "event_index", "xg", "league_xt_added")
+    df = sequences.season_chains(t.log).join(m, ["match_id", "event_index"], "left").na.fill(0.0, ["xg", "league_xt_added"])
+    return df.groupBy("match_id", "chain_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("xg").alias("xg"), F.sum("league_xt_added").alias("xt"))
 
 
 # ------------------------------------------------------------------ streaming

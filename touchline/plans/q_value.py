@@ -9,15 +9,15 @@ from touchline.plans.registry import Tables, query
 from touchline.functions import flags
 
 
-@query("a49_zone_counts", """select zone_start,actions::bigint as actions,moves::bigint as moves,shots::bigint as shots,goals::bigint as goals,
+@query("a49_zone_counts", """select nation,tier,season,zone_start,actions::bigint as actions,moves::bigint as moves,shots::bigint as shots,goals::bigint as goals,
  moves/actions as move_p, shots/actions as shot_p, case when shots>0 then goals/shots else 0 end as goal_p from zrow""")
 def a49(t: Tables):
-    return value.zone_model(value.zone_cells(t.f))
+    return value.zone_model(value.zone_cells(t.f, value.LEAGUE), value.LEAGUE)
 
 
-@query("a49_zone_transitions", "select zone_start,zone_end,moves from zcell where zone_end>=0")
+@query("a49_zone_transitions", "select nation,tier,season,zone_start,zone_end,moves from zcell where zone_end>=0")
 def a49b(t: Tables):
-    return value.zone_cells(t.f).where("zone_end >= 0").select("zone_start", "zone_end", "moves")
+    return value.zone_cells(t.f, value.LEAGUE).where("zone_end >= 0").select(*value.LEAGUE, "zone_start", "zone_end", "moves")
 
 
 @query("m03_zone_values", "select * from xtm")
@@ -26,7 +26,7 @@ def m03(t: Tables):
 
 
 @query("m04_action_values", """select p.match_id,p.event_index,p.action_type,s.xt as xt_start,e.xt as xt_end,e.xt-s.xt as xt_added
- from pf p join xtm s on s.zone=p.zone_start join xtm e on e.zone=p.zone_end where f_move""")
+ from pf p join xtm s on s.zone=p.zone_start and s.nation=p.nation and s.tier=p.tier and s.season=p.season join xtm e on e.zone=p.zone_end and e.nation=p.nation and e.tier=p.tier and e.season=p.season where f_move""")
 def m04(t: Tables):
     return value.value_actions(flags.flags_f(t.prep), t.grid).select("match_id", "event_index", "action_type", "xt_start", "xt_end", "xt_added")
 
@@ -36,9 +36,9 @@ def j03(t: Tables):
     return t.valued.select("match_id", "event_index", "xt_added", "positive_xt", "xg")
 
 
-@query("a09_player_xt", """select season,nation,tier,team,player,count(*) as actions,sum(xt_added) as xt,sum(case when not f_set_piece then xt_added else 0 end) as open_play_xt,
- sum(case when f_set_piece then xt_added else 0 end) as set_piece_xt,sum(case when action_type='pass' then xt_added else 0 end) as pass_xt,
- sum(case when action_type='cross' then xt_added else 0 end) as cross_xt,sum(case when action_type='carry' then xt_added else 0 end) as carry_xt
+@query("a09_player_xt", """select season,nation,tier,team,player,count(*) as actions,sum(league_xt_added) as xt,sum(case when not f_set_piece then league_xt_added else 0 end) as open_play_xt,
+ sum(case when f_set_piece then league_xt_added else 0 end) as set_piece_xt,sum(case when action_type='pass' then league_xt_added else 0 end) as pass_xt,
+ sum(case when action_type='cross' then league_xt_added else 0 end) as cross_xt,sum(case when action_type='carry' then league_xt_added else 0 end) as carry_xt
  from pv where f_move group by 1,2,3,4,5""")
 def a09(t: Tables):
     from touchline.operators.players import player_xt

@@ -82,10 +82,10 @@ class Tables:
 
     @cached_property
     def grid(self) -> DataFrame:
-        """Value of the 192 zones, trained on the whole log."""
+        """Value of the 192 zones of each league season."""
         from touchline.operators import value
 
-        return value.solve_zones(value.zone_cells(self.f))
+        return value.solve_zones(value.zone_cells(self.f, value.LEAGUE), value.LEAGUE)
 
     @cached_property
     def involvement(self) -> DataFrame:
