@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, token_counts, toxicity, url_filter
+from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, sql, token_counts, toxicity, url_filter
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.STATEMENTS)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
