@@ -64,4 +64,18 @@ def _url_filter(depth: int = 3, least_share: float = 0.02, least_count: int = 5,
  from f join g on g.host = f.host and g.path = f.path join b on b.host = g.host and b.branch = g.branch"""
 
 
-STATEMENTS = {"op2_secret_scan": _secret_scan(), "op5_url_filter": _url_filter(), "op8_jaccard_join": _jaccard_join()}
+def _repetition(window: int = 8, max_repeat: int = 200) -> str:
+    """Repeated windows of words; a repeat above ``max_repeat`` words is a repeated window of one word more."""
+    space = r"[\x20\x09-\x0D]"
+    return f"""with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ p as (select doc_id, i, array_to_string(w[i:i+{window - 1}], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - {window - 2})) as i from d)),
+ c as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + {window})) as j from (select *, count(*) over (partition by doc_id, x) as k from p) where k > 1) group by 1),
+ l as (select distinct doc_id from (select doc_id, sha256(array_to_string(w[i:i+{max_repeat}], ' ')) as x from (select doc_id, w, unnest(range(1, len(w) - {max_repeat - 1})) as i from d)) group by doc_id, x having count(*) > 1),
+ m as (select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '{space}', '', 'g'))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, coalesce(c.n, 0)::bigint as n_repeat_words, l.doc_id is not null as long
+  from d left join c on c.doc_id = d.doc_id left join l on l.doc_id = d.doc_id)
+ select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or long) as kept from m"""
+
+
+STATEMENTS = {"op10_repetition": _repetition(), "op2_secret_scan": _secret_scan(), "op5_url_filter": _url_filter(), "op8_jaccard_join": _jaccard_join()}
