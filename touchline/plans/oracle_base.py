@@ -41,7 +41,7 @@ def sql(body: str) -> str:
     return lead + ",\n".join(parts) + tail
 
 
-MATERIALISED = {"log", "fc", "prep", "xtm", "pv"}
+MATERIALISED = {"log", "fc", "prep", "xtm", "pv", "pvp", "runs", "ochains"}
 
 _SHOTS = "('Goal','SavedShot','MissedShots','BlockedShot','ShotOnPost')"
 

@@ -254,12 +254,12 @@ def m06(t: Tables):
 
 @query("m01_shot_models")
 def m01(t: Tables):
-    return models.fit_models(value.shot_features(sequences.possessions(t.f)), rounds=20)
+    return models.fit_models(value.shot_features(sequences.possessions(t.f)))
 
 
 @query("m02_shot_scores")
 def m02(t: Tables):
-    return models.score_shots(value.shot_features(sequences.possessions(t.f)), rounds=20)
+    return models.score_shots(value.shot_features(sequences.possessions(t.f)))
 
 
 @query("m07_model_context", "with g as (select shot_family,count(*) as shots,sum(goal)::bigint as goals from feat group by 1) select shot_family,shots,goals,goals/shots::double as goal_rate,case when shot_family='penalty' then case when shots>=10 then 'own rate' else 'default rate' end when shots>=120 and goals>=12 then 'trained' else 'base rate' end as status from g")
