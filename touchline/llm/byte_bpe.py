@@ -26,9 +26,9 @@ from touchline.llm.common import chunks, text_of
 from touchline.llm.pairs import NONE, PairTable, rank_file
 
 LONG = 512
-CELLS = 2_000_000
+CELLS = 500_000
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-KNOWN = 250_000
+KNOWN = 80_000
 
 
 def merge_rows(rows: np.ndarray, table: PairTable) -> Iterator[tuple[int, np.ndarray]]:

@@ -14,7 +14,8 @@ Candidates pass a size and a position bound, then a bound from histograms of the
 verified on the whole sets. Equal sets are one node throughout. A group of sets that share a signature
 is never expanded into all pairs while its members may still fall together: first every member meets a
 few neighbours of another component in its group, twice, in different orders; then, for the exact rest,
-members outside the largest component of a group meet all others. Components are contracted in between.
+members outside the largest component of a small group meet all others, and larger groups are compared
+block by block inside tasks that return links only. Components are contracted in between.
 
 Scale: all corpus frequencies are counted (map-side combined, then by hash bucket); at most ``LISTED``
 of the most frequent shingles are broadcast, which only decides an order and so never a result. Texts are
@@ -51,6 +52,10 @@ CELLS = 128
 #: Neighbours that a member meets in a group in each of the first rounds.
 NEIGHBOURS = 4
 ROUNDS = 2
+#: Members of a group up to which its pairs are written out; larger groups are compared block by block.
+SMALL = 64
+#: Sets and shingles of a block.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Members of a group that are ordered together.
 GROUP = 4096
 _BITS = 1 << 23
@@ -68,7 +73,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen so far (bounded)."""
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -118,7 +123,7 @@ def frequencies(texts: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray,
     def partial(frames):
         hashes, hot = WordHashes(), {}
         for frame in frames:
-            for a, b in chunks(frame, 4_000_000):
+            for a, b in chunks(frame, 2_000_000):
                 sets = shingle_sets(frame["text"].iloc[a:b], length, hashes)
                 keys, counts = np.unique(_order_key(np.concatenate(sets), buckets), return_counts=True)
                 often = counts >= 8
@@ -269,15 +274,8 @@ def _needed_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bounded by histograms first, then counted on the whole sets."""
-    side = nodes.select("node", "n", "cells")
-    left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
-    right = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-    bounded = pairs.join(left, "a").join(right, "b")
-    close = (100 + percent) * _most_common("ca", "cb") >= percent * (F.col("na") + F.col("nb"))
-    bounded = cut_lineage(bounded.where(close).select("a", "b", "na", "nb"), "bounded")
-    ids = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def packed_sets(ids: DataFrame, nodes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(node, held): the whole set of each node in ``ids``, packed; stored."""
     wanted = nodes.select("node", "doc_id", "digest").join(ids, "node", "left_semi")
 
     def pack(frames):
@@ -290,11 +288,68 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, length: int,
                 yield pd.DataFrame({"node": part["node"], "held": packed})[np.array(same, bool)]
 
     needed = _needed_texts(texts, wanted).select("node", "digest", "text")
-    sets = cut_lineage(needed.mapInPandas(pack, "node long, held binary").dropDuplicates(["node"]), "sets")
+    return cut_lineage(needed.mapInPandas(pack, "node long, held binary").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: bounded by histograms first, then counted on the whole sets."""
+    side = nodes.select("node", "n", "cells")
+    left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+    right = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+    bounded = pairs.join(left, "a").join(right, "b")
+    close = (100 + percent) * _most_common("ca", "cb") >= percent * (F.col("na") + F.col("nb"))
+    bounded = cut_lineage(bounded.where(close).select("a", "b", "na", "nb"), "bounded")
+    sets = packed_sets(bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, length)
     both = bounded.join(sets.select(F.col("node").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("hb")), "b")
     return both.where((100 + percent) * _common("ha", "hb") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _block_links(percent: int):
+    """Links between different components among the sets of one block, or between two blocks.
+
+    Intersections are counted as products of 0/1 matrices over slices of the shingles that occur twice;
+    one link is enough for each pair of components."""
+    def run(frame):
+        sets = [np.frombuffer(x, np.uint64) for x in frame["held"]]
+        side, label, node = (frame[c].to_numpy() for c in ("side", "label", "node"))
+        size = np.array([len(s) for s in sets], np.int64)
+        rows, columns = (np.flatnonzero(side == 0), np.flatnonzero(side == side.max()))
+        codes, held = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        often = np.bincount(held, minlength=len(codes)) > 1
+        rank = np.cumsum(often) - 1
+        keep = often[held]
+        held, owner = rank[held[keep]], owner[keep]
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        common = np.zeros((len(rows), len(columns)), np.float32)
+        for start in range(0, int(often.sum()), 2048):
+            lo, hi = np.searchsorted(held, [start, start + 2048])
+            cells = np.zeros((len(sets), 2048), np.float32)
+            cells[owner[lo:hi], held[lo:hi] - start] = 1
+            common += cells[rows] @ cells[columns].T
+        enough = (100 + percent) * common.astype(np.int64) >= percent * (size[rows][:, None] + size[columns][None, :])
+        i, j = np.nonzero(enough & (label[rows][:, None] != label[columns][None, :]))
+        i, j = rows[i], columns[j]
+        ends = np.sort(np.stack([label[i], label[j]], axis=1), axis=1)
+        one = np.unique(ends, axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": node[i[one]], "b": node[j[one]]})
+
+    return run
+
+
+def _group_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links inside large groups: a group is cut into blocks of a bounded number of sets and shingles, and
+    each pair of blocks is compared in one task, which returns links only."""
+    sets = packed_sets(members.select("node").distinct(), nodes, texts, length)
+    weight = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    own = members.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(
+        F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), (F.col("block") > other).cast("int").alias("side")))
+    dealt = own.select("key", "node", "label", F.explode(meets).alias("m")).select("key", "node", "label", "m.i", "m.j", "m.side").join(sets, "node")
+    return dealt.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long").distinct()
+
+
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after the links (a, b) have joined labels; each label becomes the smallest of its component."""
     def renamed(edges, names):
@@ -334,17 +389,21 @@ def _neighbour_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
-def _all_left(members: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a group that stands in different components and may link: members outside the
-    largest component of their group against all members."""
+def _open_groups(members: DataFrame) -> DataFrame:
+    """Members of groups that still hold several components, with the largest component of the group."""
     parts = members.groupBy("key", "label").agg(F.count("*").alias("size"))
     main = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    open_ = members.join(main, "key")
-    stray = open_.where("label <> main").select("key", F.col("node").alias("s"), F.col("label").alias("sl"), F.col("n").alias("sn"), F.col("place").alias("sp"))
-    same = (F.col("sl") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("s") < F.col("node")))
-    fits = _fits(percent, F.col("n"), F.col("sn"), F.col("place"), F.col("sp"))
-    pairs = stray.withColumnRenamed("key", "_key").join(open_, (F.col("_key") == F.col("key")) & same & fits)
-    return pairs.select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
+    return cut_lineage(members.join(main, "key"), "open")
+
+
+def _all_left(open_: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a small open group that stands in different components and may link: members outside
+    the largest component of their group against all members."""
+    stray = open_.where("label <> main").select(*[F.col(c).alias(f"s_{c}") for c in open_.columns])
+    apart = (F.col("s_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("s_node") < F.col("node")))
+    fits = _fits(percent, F.col("n"), F.col("s_n"), F.col("place"), F.col("s_place"))
+    pairs = stray.join(open_, (F.col("s_key") == F.col("key")) & apart & fits)
+    return pairs.select(F.least("s_node", "node").alias("a"), F.greatest("s_node", "node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, length: int, percent: int) -> DataFrame:
@@ -356,10 +415,15 @@ def classes(docs: DataFrame, length: int, percent: int) -> DataFrame:
     groups = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut_lineage(postings.join(groups, "key"), "shared")
     labels = nodes.select("node", F.col("node").alias("label"))
-    for turn in range(ROUNDS + 1):
-        members = shared.join(labels, "node")
-        pairs = _neighbour_pairs(members, percent, turn) if turn < ROUNDS else _all_left(members, percent)
+    for turn in range(ROUNDS):
+        pairs = _neighbour_pairs(shared.join(labels, "node"), percent, turn)
         labels = contract(labels, verified(pairs, nodes, texts, length, percent))
+    open_ = _open_groups(shared.join(labels, "node"))
+    links = verified(_all_left(open_.where(F.col("members") <= SMALL), percent), nodes, texts, length, percent)
+    large = open_.where(F.col("members") > SMALL)
+    if not large.isEmpty():
+        links = links.unionByName(_group_links(large, nodes, texts, length, percent))
+    labels = contract(labels, links)
     named = labels.join(nodes.select("node", "doc_id", "digest"), "node")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("digest", "label", "component_id")

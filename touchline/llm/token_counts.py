@@ -22,7 +22,7 @@ from touchline.llm.common import chunks, text_of
 from touchline.llm.pairs import NONE, PairTable, merge_file
 
 #: Distinct pre-tokens whose counts a worker keeps; beyond it the memory starts anew.
-KNOWN = 400_000
+KNOWN = 150_000
 
 
 def surviving_symbols(pieces: list[bytes], single: np.ndarray, table: PairTable) -> np.ndarray:

@@ -47,7 +47,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen so far (bounded)."""
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
