@@ -109,3 +109,16 @@ def test_grid_of_a_log_whose_play_rarely_ends(spark):
         [(0, 0, 99, 99, 0, 0), (0, -1, 1, 0, 1, 1)], "zone_start int, zone_end int, actions long, moves long, shots long, goals long")
     got = {r["zone"]: r["xt"] for r in value.solve_zones(cells).collect()}
     assert got[0] == pytest.approx(1.0, abs=1e-9)  # thirty rounds would stop at 0.26
+
+
+def test_following_events_however_far_their_index(spark, make_log):
+    from touchline.operators import links
+
+    rows = [{"t": 10, "event_index": 1.0, "type": "Tackle"}, {"t": 18, "event_index": 400_000.0, "type": "Goal"}, {"t": 18.5, "event_index": 400_001.0, "type": "Goal"}]
+    log = make_log(rows)
+    for strict in (False, True):
+        got = links.following(log, {"shot": ("is_shot", "own", 8)}, [], strict).where("event_index = 1").first()
+        assert got["shot"]["event_index"] == 400_000.0
+        assert links.following(log, {"shot": ("is_shot", "own", 7)}, [], strict).where("event_index = 1").first()["shot"] is None
+    assert links.any_following(log, "hit", "is_shot", 8, "own").where("event_index = 1").first()["hit"]
+    assert not links.any_following(log, "hit", "is_shot", 7.9, "own").where("event_index = 1").first()["hit"]

@@ -23,12 +23,18 @@ def latest_locations(c: DataFrame, minute: float, also: list[str] | None = None)
     )
 
 
-# Order keys are whole nanoseconds of the clock; the non-strict key adds a thousand per event
-# index, which stays below the slack for any match of up to twenty thousand events.
+# The strict key is whole nanoseconds of the clock. The other one is the clock in milliseconds with the
+# event index below it, in a range of its own (ten digits and three for inferred rows, which leaves room
+# for a clock of a day), so that no distance of indexes ever counts as time.
 SECOND = 1_000_000_000
-SLACK = 20_000_000
+INDEXES = 100_000_000_000
 CLOCK_KEY = f"cast(clock_s * {SECOND} as bigint)"
-ORDER_KEY = f"cast(clock_s * {SECOND} as bigint) + cast(round(event_index * 1000) as bigint)"
+ORDER_KEY = f"cast(round(clock_s * 1000) as bigint) * {INDEXES} + cast(round(event_index * 1000) as bigint)"
+
+
+def _reach(seconds: float, strict: bool = False) -> int:
+    """How far a frame must reach, in units of its key; what lies beyond the time is tested on the row found."""
+    return int(seconds * SECOND) if strict else (int(seconds * 1000) + 1) * INDEXES
 
 
 def with_halo(df: DataFrame, seconds: float, block: float) -> DataFrame:
@@ -61,8 +67,7 @@ def following(
     out: dict[str, Column] = {}
     item = F.struct("clock_s", "event_index", *payload)
     for name, (mask, whose, seconds) in rules.items():
-        upper = int(seconds * SECOND) + (0 if strict else SLACK)
-        w = Window.partitionBy(*(keys or ["match_id", "period"])).orderBy("_key").rangeBetween(1, upper)
+        w = Window.partitionBy(*(keys or ["match_id", "period"])).orderBy("_key").rangeBetween(1, _reach(seconds, strict))
         if whose == "any":
             found = F.min(F.when(F.expr(mask), item)).over(w)
         else:
@@ -79,13 +84,13 @@ def following(
 
 def any_following(df: DataFrame, name: str, mask: str, seconds: float, whose: str = "other") -> DataFrame:
     """Whether any later event of the period within the time fits the mask."""
-    w = Window.partitionBy("match_id", "period").orderBy("_key").rangeBetween(1, int(seconds * SECOND) + SLACK)
+    w = Window.partitionBy("match_id", "period").orderBy("_key").rangeBetween(1, _reach(seconds))
     df = df.withColumn("_key", F.expr(ORDER_KEY))
-    home = F.max(F.when(F.expr(f"({mask}) and team_side = 'home'"), 1).otherwise(0)).over(w)
-    away = F.max(F.when(F.expr(f"({mask}) and team_side = 'away'"), 1).otherwise(0)).over(w)
+    home = F.min(F.when(F.expr(f"({mask}) and team_side = 'home'"), F.col("clock_s"))).over(w)
+    away = F.min(F.when(F.expr(f"({mask}) and team_side = 'away'"), F.col("clock_s"))).over(w)
     mine = F.col("team_side") == "home"
     first, second = (away, home) if whose == "other" else (home, away)
-    return df.withColumn(name, F.coalesce(F.when(mine, first).otherwise(second) == 1, F.lit(False))).drop("_key")
+    return df.withColumn(name, F.coalesce(F.when(mine, first).otherwise(second) - F.col("clock_s") <= seconds, F.lit(False))).drop("_key")
 
 
 def team_runs(df: DataFrame) -> DataFrame:

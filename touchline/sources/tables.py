@@ -280,12 +280,12 @@ def column_audit(df: DataFrame) -> DataFrame:
 def processed_store(flagged: DataFrame, path: str | None = None) -> str:
     """Write the flagged events as one table partitioned by season and hashed match bucket.
 
-    A match is one bucket file's row group, so a match filter prunes by directory and by the
-    row-group statistics; one directory per match would mean billions of tiny files."""
+    A match stands whole in one file and its matches are dealt over all tasks, so a match filter prunes by
+    directory and by the row-group statistics, and no task writes more than its share; one directory per match would mean billions of tiny files."""
     path = path or scratch_dir(flagged.sparkSession, "store")
     df = flagged.withColumn("bucket", F.expr("pmod(match_id, 16)"))
     (
-        df.repartition("season", "bucket").sortWithinPartitions("match_id", "event_index")
+        df.repartition("season", "bucket", "match_id").sortWithinPartitions("match_id", "event_index")
         .write.mode("overwrite").partitionBy("season", "bucket").parquet(path)
     )
     return path

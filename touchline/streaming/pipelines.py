@@ -90,10 +90,15 @@ def deduplicated(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(keys or ["event_id"])
 
 
+#: A match without a goal for so long by event time is over, and its state goes.
+MATCH_MS = 6 * 3600 * 1000
 SCORE = "match_id long, event_index double, home_after long, away_after long"
 
 
 def _score(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # the match is over
+        state.remove()
+        return
     home, away = state.get if state.exists else (0, 0)
     rows = pd.concat(list(batches)).sort_values(["period", "expanded_minute", "event_index"])
     goals = rows[rows["is_goal"]].copy()
@@ -102,15 +107,18 @@ def _score(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     if len(goals):
         home, away = int(goals["home_after"].iloc[-1]), int(goals["away_after"].iloc[-1])
     state.update((home, away))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + MATCH_MS)
     goals["match_id"] = key[0]
     yield goals[["match_id", "event_index", "home_after", "away_after"]]
 
 
 def score_state(events: DataFrame) -> DataFrame:
-    """Running score per match at each goal; only the two counts are kept as state."""
-    df = flags_c(matchlog.match_log(events)).select("match_id", "period", "expanded_minute", "event_index", "team_side", "is_goal").where("is_goal")
+    """Running score per match at each goal; only the two counts are kept as state, for as long
+    as the match may last."""
+    log = flags_c(log_with_time(events)).withWatermark("ts", DELAY)
+    df = log.select("ts", "match_id", "period", "expanded_minute", "event_index", "team_side", "is_goal").where("is_goal")
     return df.groupBy("match_id").applyInPandasWithState(
-        _score, SCORE, "home long, away long", "append", GroupStateTimeout.NoTimeout
+        _score, SCORE, "home long, away long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
