@@ -47,11 +47,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def ingest_by_match(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    """Arriving matches replace the stored rows of the same match id.
+    """Arriving rows replace the stored row of the same event; a match may be spread over files.
 
-    A file holds whole matches.  Every micro-batch owns one directory, overwritten if the batch
-    is repeated after a failure, so stored matches are never read and rewritten in place;
-    ``latest_matches`` shows the newest rows of each match."""
+    Every micro-batch owns one directory, overwritten if the batch is repeated after a failure, so
+    stored matches are never read and rewritten in place; ``latest_matches`` shows the newest row
+    of each event.  A stream carries no removals: a row that a later file leaves out stays."""
     path, state = scratch_dir(spark, "ingest"), scratch_dir(spark, "ingest-state")
     flagged = flags_b(matchlog.match_log(event_stream(spark, sf_dir, files_per_batch))).select(
         "season", "match_id", "event_index", "team", "type", "is_shot", "is_pass", "box_entry"
@@ -65,9 +65,11 @@ def ingest_by_match(spark: SparkSession, sf_dir: str, files_per_batch: int | Non
 
 
 def latest_matches(stored: DataFrame) -> DataFrame:
-    """Rows of the newest batch of every match (batch numbers per match combine map-side)."""
-    newest = stored.groupBy("match_id").agg(F.max("batch").alias("batch"))
-    return stored.join(newest, ["match_id", "batch"], "left_semi").drop("batch")
+    """Newest row of every event of a match; of several in one batch the greatest by its columns, so
+    that the result does not depend on the run (max combines map-side)."""
+    cols = [c for c in stored.columns if c != "batch"]
+    newest = stored.groupBy("match_id", "event_index").agg(F.max(F.struct("batch", *cols)).alias("_r"))
+    return newest.select(*[F.col("_r")[c].alias(c) for c in cols])
 
 
 def momentum_windows(events: DataFrame, length: str = "10 minutes") -> DataFrame:
