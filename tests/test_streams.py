@@ -31,3 +31,18 @@ def test_ingest_of_a_match_in_two_files(spark, events, tmp_path):
     got = pipelines.ingest_by_match(spark, folder, files_per_batch=1).groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("event_index").alias("d"))
     want = {r["m"]: r["n"] for r in events.groupBy(F.expr("event_id div 200 + 1").alias("m")).agg(F.count("*").alias("n")).collect()}
     assert {r["match_id"]: r["n"] for r in got.collect()} == want == {r["match_id"]: r["d"] for r in got.collect()}
+
+
+@pytest.mark.parametrize("order", ["forward", "backward", "interleaved"])
+def test_score_over_several_batches(spark, events, tmp_path, order):
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    score = lambda folder, n=None: sorted(map(tuple, pipelines.latest_scores(pipelines.run_to_table(pipelines.score_state(pipelines.event_stream(spark, folder, n)), "score")).collect()))
+    want = score(put(spark, whole, [events]))
+    assert len({r[0] for r in want}) > 1 and max(r[2] + r[3] for r in want) > 1
+    cut = "event_id % 4" if order == "interleaved" else "event_id div 60"
+    numbers = sorted(r[0] for r in events.selectExpr(cut).distinct().collect())
+    parts = [events.where(f"{cut} = {i}") for i in (reversed(numbers) if order == "backward" else numbers)]
+    folder = tmp_path / order
+    folder.mkdir()
+    assert score(put(spark, folder, parts), 1) == want

@@ -115,7 +115,7 @@ def t04(t: Tables):
 
 @query("t05_stream_score", "select s.match_id,s.event_index,s.home_after,s.away_after from score s join fc f using(match_id,event_index) where f.is_goal")
 def t05(t: Tables):
-    return pipelines.run_to_table(pipelines.score_state(pipelines.event_stream(t.spark, t.sf_dir)), "score")
+    return pipelines.latest_scores(pipelines.run_to_table(pipelines.score_state(pipelines.event_stream(t.spark, t.sf_dir)), "score"))
 
 
 @query("t06_refresh_trigger", "select 1::int as run,count(*) as rows from events union all select 2,0")

@@ -92,36 +92,51 @@ def deduplicated(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(keys or ["event_id"])
 
 
-#: A match without a goal for so long by event time is over, and its state goes.
-MATCH_MS = 6 * 3600 * 1000
-SCORE = "match_id long, event_index double, home_after long, away_after long"
+#: How far by event time a row may stand behind the newest one, whatever file it comes in; far above the
+#: longest match (seven days on the smallest tables). Later rows are left out by Spark and counted in the query's
+#: progress (numRowsDroppedByWatermark). A match without a goal for so long before the watermark is over, and its state goes.
+LATE_DAYS = 60
+LATE_MS = LATE_DAYS * 24 * 3600 * 1000
+GOAL = ["period", "expanded_minute", "event_index", "is_home"]
+SCORE = "match_id long, event_index double, home_after long, away_after long, version long"
+SCORE_STATE = "period array<long>, expanded_minute array<double>, event_index array<double>, is_home array<boolean>, latest long, version long"
 
 
 def _score(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # the match is over
         state.remove()
         return
-    home, away = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values(["period", "expanded_minute", "event_index"])
-    goals = rows[rows["is_goal"]].copy()
-    goals["home_after"] = home + (goals["team_side"] == "home").cumsum()
-    goals["away_after"] = away + (goals["team_side"] == "away").cumsum()
-    if len(goals):
-        home, away = int(goals["home_after"].iloc[-1]), int(goals["away_after"].iloc[-1])
-    state.update((home, away))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + MATCH_MS)
-    goals["match_id"] = key[0]
-    yield goals[["match_id", "event_index", "home_after", "away_after"]]
+    rows = pd.concat(list(batches))
+    goals, latest, version = rows[GOAL].assign(new=True), int(rows["ms"].max()), 1
+    if state.exists:
+        *known, before, version = state.get
+        goals = pd.concat([pd.DataFrame(dict(zip(GOAL, known))).assign(new=False), goals])
+        latest, version = max(latest, before), version + 1
+    goals = goals.drop_duplicates("event_index", keep="last").sort_values(GOAL[:3])
+    state.update((*[goals[c].tolist() for c in GOAL], latest, version))
+    state.setTimeoutTimestamp(latest + LATE_MS)
+    out = pd.DataFrame({
+        "match_id": key[0], "event_index": goals["event_index"], "home_after": goals["is_home"].astype("int64").cumsum(),
+        "away_after": (~goals["is_home"].astype(bool)).astype("int64").cumsum(), "version": version,
+    })
+    # An earlier goal that arrives later changes the score at all that follow it.
+    yield out[goals["new"].astype(bool).cummax().to_numpy()]
 
 
 def score_state(events: DataFrame) -> DataFrame:
-    """Running score per match at each goal; only the two counts are kept as state, for as long
-    as the match may last."""
-    log = flags_c(log_with_time(events)).withWatermark("ts", DELAY)
-    df = log.select("ts", "match_id", "period", "expanded_minute", "event_index", "team_side", "is_goal").where("is_goal")
-    return df.groupBy("match_id").applyInPandasWithState(
-        _score, SCORE, "home long, away long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """Running score per match at each goal, whatever the order in which files arrive. The goals of a match
+    (a few rows) are its state, until ``LATE_DAYS`` have gone by; a goal whose score changes is given
+    again with a higher ``version``, and ``latest_scores`` shows the newest."""
+    log = flags_c(log_with_time(events)).withWatermark("ts", f"{LATE_DAYS} days").where("is_goal")
+    df = log.selectExpr("ts", "unix_millis(ts) as ms", "match_id", "cast(period as long) as period", "cast(expanded_minute as double) as expanded_minute",
+                        "cast(event_index as double) as event_index", "team_side = 'home' as is_home")
+    return df.groupBy("match_id").applyInPandasWithState(_score, SCORE, SCORE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_scores(stored: DataFrame) -> DataFrame:
+    """Newest score at each goal (max combines map-side)."""
+    newest = stored.groupBy("match_id", "event_index").agg(F.max(F.struct("version", "home_after", "away_after")).alias("_r"))
+    return newest.select("match_id", "event_index", "_r.home_after", "_r.away_after")
 
 
 def refresh_runs(spark: SparkSession, sf_dir: str, runs: int = 2) -> DataFrame:
