@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.facts import SEASON
 from touchline.operators.league import DIMENSIONS, METRICS, TEAM
 from touchline.operators.value import FEATURES
 from touchline.session import cut_lineage
@@ -102,36 +104,73 @@ def fit_models(features: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return spark.createDataFrame(rows, "shot_family string, feature string, weight double, trees int, shots long")
 
 
-def pca_map(rows: DataFrame) -> DataFrame:
-    """Two components of the standardised metrics over all team seasons."""
-    df = VectorAssembler(inputCols=METRICS, outputCol="raw", handleInvalid="skip").transform(rows)
-    df = cut_lineage(df.select(*TEAM, vector_to_array("raw").alias("raw_array")), "style-metrics")
-    from pyspark.ml.functions import array_to_vector
+def _pca(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    values = frame[METRICS].astype(float).replace([np.inf, -np.inf], np.nan)
+    use = [c for c in METRICS if values[c].count() >= 3 and values[c].std(ddof=0) > 0]
+    out = frame[TEAM].assign(pc1=np.nan, pc2=np.nan, pc1_variance=np.nan, pc2_variance=np.nan)
+    if len(frame) < 3 or len(use) < 3:
+        return out
+    x = values[use].fillna(values[use].median()).fillna(0.0).to_numpy()
+    _, size, axes = np.linalg.svd((x - x.mean(0)) / x.std(0), full_matrices=False)
+    # A component is free in its sign: its largest loading is positive.
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    pc, share = ((x - x.mean(0)) / x.std(0)) @ axes[:2].T, 100 * size**2 / (size**2).sum()
+    return out.assign(pc1=pc[:, 0], pc2=pc[:, 1], pc1_variance=share[0], pc2_variance=share[1])
+
 
-    df = df.withColumn("raw", array_to_vector("raw_array"))
-    model = Pipeline(stages=[
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), PCA(k=2, inputCol="scaled", outputCol="pc"),
-    ]).fit(df)
-    share = model.stages[1].explainedVariance.toArray()
-    out = model.transform(df).withColumn("pc", vector_to_array("pc"))
-    return out.select(*TEAM, F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"),
-                      F.lit(float(share[0]) * 100).alias("pc1_variance"), F.lit(float(share[1]) * 100).alias("pc2_variance"))
+def pca_map(rows: DataFrame) -> DataFrame:
+    """Two components of the standardised metrics of each league season (a few dozen clubs at most).
+
+    A missing metric takes the league's median, then 0; a metric needs three values that are not all the same.
+    A league of fewer than three teams or metrics has no components: its teams stay, with nulls."""
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in TEAM]
+    schema = ", ".join([*kinds, *[f"{c} double" for c in ("pc1", "pc2", "pc1_variance", "pc2_variance")]])
+    df = rows.select(*TEAM, *[F.col(m).cast("double").alias(m) for m in METRICS])
+    out = df.groupBy(*SEASON).applyInPandas(_pca, schema)
+    return out.select(*TEAM, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("pc1", "pc2", "pc1_variance", "pc2_variance")])
+
+
+def _k_means(x: np.ndarray, k: int, starts: int = 12, seed: int = 7) -> np.ndarray:
+    """Lloyd's rounds until nothing moves, from ``starts`` k-means++ choices; the tightest one."""
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    for _ in range(starts):
+        centre = x[[rng.integers(len(x))]]
+        while len(centre) < k:
+            far = ((x[:, None] - centre) ** 2).sum(2).min(1)
+            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum() if far.sum() else None)]])
+        label = None
+        while label is None or (label != moved).any():
+            label = ((x[:, None] - centre) ** 2).sum(2).argmin(1) if label is None else moved
+            centre = np.array([x[label == c].mean(0) if (label == c).any() else centre[c] for c in range(k)])
+            moved = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
+        spread = ((x - centre[label]) ** 2).sum()
+        if spread < best[0] - 1e-12:
+            best = (spread, label)
+    return best[1]
+
+
+def _clusters(k: int | None):
+    dims, order = list(DIMENSIONS), ["pressing", "control", "progression", "chance_creation", "width", "set_piece"]
+
+    def of_league(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("team").reset_index(drop=True)
+        if len(frame) < 4:
+            return frame.assign(cluster=pd.array([None] * len(frame), "Int32"), label=None)
+        x = frame[dims].to_numpy(float)
+        spread = np.where(x.std(0) > 0, x.std(0), 1)
+        frame["cluster"] = pd.array(_k_means((x - x.mean(0)) / spread, k or min(4, max(2, len(frame) // 3))), "Int32")
+        centre = frame.groupby("cluster")[order].transform("mean")
+        frame["label"] = np.where(centre.max(axis=1) >= 52, centre.idxmax(axis=1) + " profile", "balanced profile")
+        return frame
+
+    return of_league
 
 
 def team_clusters(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """k-means on the six scores; each cluster is labelled by its largest mean score."""
+    """k-means on the six scores of each league season; a cluster is labelled by its largest mean score.
+    A league of fewer than four teams is not clustered: its teams stay, with nulls."""
     dims = list(DIMENSIONS)
     wide = scores.groupBy(*TEAM).pivot("dimension", dims).agg(F.first("score")).na.fill(50.0, dims)
-    wide = cut_lineage(wide, "style-scores")
-    if k is None:
-        k = min(4, max(2, wide.count() // 3))
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=dims, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        KMeans(k=k, seed=7, featuresCol="scaled", predictionCol="cluster"),
-    ]).fit(wide)
-    out = model.transform(wide).select(*TEAM, "cluster", *dims)
-    centre = out.groupBy("cluster").agg(*[F.avg(d).alias(d) for d in dims])
-    best = F.greatest(*dims)
-    name = F.coalesce(*[F.when(F.col(d) == best, F.lit(d)) for d in ("pressing", "control", "progression", "chance_creation", "width", "set_piece")])
-    labels = centre.select("cluster", F.when(best >= 52, F.concat(name, F.lit(" profile"))).otherwise("balanced profile").alias("label"))
-    return out.join(F.broadcast(labels), "cluster")  # at most four rows
+    kinds = [f"{c} {wide.schema[c].dataType.simpleString()}" for c in TEAM]
+    schema = ", ".join(["cluster int", *kinds, *[f"{d} double" for d in dims], "label string"])
+    return wide.groupBy(*SEASON).applyInPandas(_clusters(k), schema)
