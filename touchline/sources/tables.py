@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.flags import with_flags
-from touchline.session import scratch_dir
+from touchline.session import cut_lineage, scratch_dir
 
 NOT_SELECTABLE = r"backup|\.tmp|\.crdownload"
 
@@ -153,8 +153,30 @@ def upsert_matches(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_matches_table(incoming: DataFrame, path: str, partition: str = "match_id") -> None:
-    """The same on a stored table: dynamic partition overwrite touches incoming partitions only."""
-    incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """The same on a stored table: the partitions that hold or get an incoming match are written back from their
+    stored rows of other matches plus the incoming ones; all others stay untouched."""
+    spark = incoming.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    incoming, gone = cut_lineage(incoming, "upsert-incoming"), []
+    rows = incoming
+    if store.exists(folder):
+        schema = spark.read.parquet(path).schema
+        # The type of a partition column is guessed from its directories; the incoming rows know it.
+        schema = type(schema)([incoming.schema[partition] if f.name == partition else f for f in schema])
+        stored = spark.read.schema(schema).parquet(path)
+        ids = incoming.select("match_id").distinct()
+        held = stored.join(ids, "match_id", "left_semi").select(partition)
+        touched = held.unionByName(incoming.select(partition)).distinct()
+        kept = stored.join(touched.withColumnRenamed(partition, "_p"), F.col(partition).eqNullSafe(F.col("_p")), "left_semi").join(ids, "match_id", "left_anti")
+        # Written aside first: the partitions that are read here are the ones overwritten.
+        rows = cut_lineage(kept.unionByName(incoming, allowMissingColumns=True), "upsert")
+        left = rows.select(F.col(partition).alias("_p")).distinct()
+        gone = [r[0] for r in touched.join(left, F.col(partition).eqNullSafe(F.col("_p")), "left_anti").collect()]  # partitions that lost all their matches
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for value in gone:
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, None if value is None else str(value))
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
 
 
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
