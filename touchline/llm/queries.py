@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, sql, token_counts, toxicity, url_filter
+from touchline.llm import ann, byte_bpe, jaccard_join, mixing, quality, repetition, secret_scan, sharding, sql, token_counts, toxicity, url_filter
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op1_multiprobe_search(spark, sf_dir):
 @query
 def op5_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_histogram_shards(spark, sf_dir):
+    return sharding.sharded(table(spark, sf_dir, "documents"))
