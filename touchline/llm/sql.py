@@ -78,4 +78,22 @@ def _repetition(window: int = 8, max_repeat: int = 200) -> str:
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or long) as kept from m"""
 
 
-STATEMENTS = {"op10_repetition": _repetition(), "op2_secret_scan": _secret_scan(), "op5_url_filter": _url_filter(), "op8_jaccard_join": _jaccard_join()}
+def _collocations(least: int = 10, inside: int = 50, top: int = 2000) -> str:
+    """All phrases of one to three words counted, then cut, compared with what holds them, and ranked."""
+    upper, lower = url_filter.UPPER, url_filter.LOWER
+    phrases = " union all ".join(
+        f"select lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i+{k - 1}])) as p from w" if k > 1 else "select lang, unnest(list_transform(w, lambda x: [x])) as p from w" for k in (1, 2, 3))
+    score = "1000000 * a::hugeint * a // (l::hugeint * r)"
+    return rf"""with w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) as p from documents)),
+ f as (select lang, p, count(*) as f from ({phrases}) group by 1, 2 having count(*) >= {least}),
+ n as (select lang, sum(len(w)) as n from w group by 1),
+ c as (select lang, p, f as a, unnest(range(1, len(p))) as k from f where len(p) > 1),
+ k as (select c.*, x.f as l, y.f as r from (select *, p[1:k] as head, p[k+1:] as tail from c) c join f x on x.lang = c.lang and x.p = c.head join f y on y.lang = c.lang and y.p = c.tail),
+ s as (select lang, p, a, arg_min(struct_pack(l := l, r := r, score := score), (score, k)) as c from (select *, ({score})::bigint as score from k) group by 1, 2, 3),
+ h as (select lang, b, max(a) as longer from (select lang, a, unnest([p[1:2], p[2:3]]) as b from s where len(p) = 3) group by 1, 2),
+ d as (select s.lang, array_to_string(p, ' ') as phrase, a, c from s left join h on h.lang = s.lang and h.b = s.p where longer is null or 100 * longer < {inside} * a),
+ o as (select *, row_number() over (partition by lang order by c.score desc, a desc, phrase) as rank from d)
+ select o.lang, rank::int as rank, phrase, a::bigint as a, c.l::bigint as l, c.r::bigint as r, n.n::bigint as n, c.score::bigint as score from o join n on n.lang = o.lang where rank <= {top}"""
+
+
+STATEMENTS = {"op12_phrase_collocations": _collocations(), "op10_repetition": _repetition(), "op2_secret_scan": _secret_scan(), "op5_url_filter": _url_filter(), "op8_jaccard_join": _jaccard_join()}
