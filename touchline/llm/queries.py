@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import ann, byte_bpe, jaccard_join, mixing, phrases, quality, repetition, secret_scan, sharding, sql, token_counts, toxicity, url_filter
+from touchline.llm import ann, byte_bpe, jaccard_join, mixing, phrases, quality, repetition, secret_scan, sharding, spelling, sql, token_counts, toxicity, url_filter
 from touchline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op11_histogram_shards(spark, sf_dir):
 @query
 def op12_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
