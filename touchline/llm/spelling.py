@@ -32,7 +32,7 @@ from touchline.session import cut_lineage
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First-level partitions and the parts of each; letters are dealt in turn, frequent ones first, to even the parts.
-FIRST, SECOND = 2, 4
+FIRST, SECOND = 1, 5
 ORDER = "esanirtoludcmpgvbfhqyxjkzw" + "".join(map(chr, range(0xC0, 0x100)))
 #: The distance doubles each round: 2 ** 5 steps multiply n by 5 ** 32, more than a long holds.
 DOUBLINGS = 5
