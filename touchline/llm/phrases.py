@@ -8,6 +8,10 @@ spilled whole, each as a run sorted by its words, until half of the entries are
 end. The runs are exchanged by prefix (language, first two words, and one of ``slices`` of the third, so that a
 pair that begins a third of all phrases is dealt on) and merged by adding up the counts inside a prefix partition.
 
+Words and pairs are counted first. A phrase of three words can only be frequent if both of its pairs are, so
+tasks leave out those whose pairs are not in a table of bits, which is of fixed size and broadcast. Bits that several
+pairs share let more through and never lose any.
+
 Counts are exact and cover every occurrence; only after the merge are phrases below ``least`` left out, which no
 candidate needs: the parts of a phrase occur at least as often as the phrase.
 
@@ -29,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from touchline.session import cut_lineage
 
@@ -39,6 +44,8 @@ _ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
 BITS = 21
 #: Words counted together; with ``vocabulary`` words before them, fewer than 2 ** BITS.
 SEGMENT = 400_000
+#: The sieve of frequent pairs has 2 ** SIEVE bits, 8 MB.
+SIEVE = 26
 #: Entries of spilled runs handed over together.
 BATCH = 50_000
 _RUN = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("n", pa.int64())])
@@ -50,12 +57,25 @@ class Numbers(dict):
     def __init__(self):
         super().__init__(dict.fromkeys(_ENDS, 0))
         self.words: list[str | None] = [None]
+        self.hashes = np.zeros(1, np.uint64)
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.words)
         self.words.append(word)
         return number
 
+    def hashed(self) -> np.ndarray:
+        """A hash of every word so far, by number."""
+        new = self.words[len(self.hashes) :]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxh64_intdigest, new), np.uint64, len(new))])
+        return self.hashes
+
+
+def sieve_place(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of pairs of words, given by their hashes, in the sieve of frequent pairs."""
+    mixed = (first ^ np.uint64(xxh64_intdigest(lang))) * np.uint64(0x9E3779B97F4A7C15) + second
+    return ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SIEVE)
+
 
 class Trie:
     """Counts of phrases of ``length`` words, packed with the first word on top.
@@ -111,10 +131,14 @@ class Trie:
 
 
 class TaskCounts:
-    """What a task holds: word numbers, and for each language its words so far and a trie for each length."""
+    """What a task holds: word numbers, and for each language its words so far and a trie for each length.
 
-    def __init__(self, length: int, hold: int, vocabulary: int, burst: int):
-        self.length, self.hold, self.vocabulary, self.burst = length, hold, vocabulary, burst
+    With a ``sieve``, phrases of three words count only if both of their pairs are in it.
+    """
+
+    def __init__(self, lengths: tuple[int, ...], sieve: np.ndarray | None, hold: int, vocabulary: int, burst: int):
+        self.lengths, self.length, self.sieve = lengths, max(lengths), sieve
+        self.hold, self.vocabulary, self.burst = hold, vocabulary, burst
         self.numbers = Numbers()
         self.tries: dict[tuple[str, int], Trie] = {}
         self.words: dict[str, int] = {}
@@ -128,22 +152,28 @@ class TaskCounts:
             own = min(SEGMENT, len(words) - start)
             ids = np.zeros(own + self.length, np.int64)
             ids[: len(part)] = list(map(self.numbers.__getitem__, part))
-            phrase = whole = None
+            phrase, whole = np.zeros(own, np.int64), np.ones(own, bool)
             for k in range(self.length):
                 word = ids[k : k + own]
-                whole = word > 0 if k == 0 else whole & (word > 0)
-                phrase = word if k == 0 else (phrase << BITS) | word
-                phrases = phrase[whole]
+                whole, phrase = whole & (word > 0), (phrase << BITS) | word
                 if k == 0:
-                    self.words[lang] = self.words.get(lang, 0) + len(phrases)
-                trie = self.tries.setdefault((lang, k + 1), Trie(k + 1, self.burst))
-                self.held += trie.add(np.sort(phrases))
+                    self.words[lang] = self.words.get(lang, 0) + int(whole.sum())
+                if k + 1 in self.lengths:
+                    counted = whole if self.sieve is None or k < 2 else whole & self._sifted(lang, ids, own)
+                    trie = self.tries.setdefault((lang, k + 1), Trie(k + 1, self.burst))
+                    self.held += trie.add(np.sort(phrase[counted]))
             if len(self.numbers) > self.vocabulary:
                 yield from self.spill(self.held)
                 self.numbers = Numbers()
             elif self.held > self.hold:
                 yield from self.spill(self.held // 2)
 
+    def _sifted(self, lang: str, ids: np.ndarray, own: int) -> np.ndarray:
+        word = self.numbers.hashed()[ids[: own + 2]]
+        place = sieve_place(lang, word[:-1], word[1:])
+        held = (self.sieve[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return held[:-1] & held[1:]
+
     def spill(self, entries: int):
         """Runs of ``entries`` entries, or of all that is held, several to a batch."""
         words = pa.array(self.numbers.words, pa.string())
@@ -172,11 +202,14 @@ class TaskCounts:
         yield pa.RecordBatch.from_arrays([pa.array(list(self.words), pa.string()), none, none, none, pa.array(list(self.words.values()), pa.int64())], schema=_RUN)
 
 
-def runs(docs: DataFrame, length: int = 3, hold: int = 1_000_000, vocabulary: int = 400_000, burst: int = 16_384, chunk: int = 400_000) -> DataFrame:
-    """(lang, w1, w2, w3, n): the sorted runs that tasks spill, a phrase being in several; without words, all of a language."""
+def runs(docs: DataFrame, lengths: tuple[int, ...], sieve=None, hold: int = 1_000_000, vocabulary: int = 400_000, burst: int = 16_384, chunk: int = 400_000) -> DataFrame:
+    """(lang, w1, w2, w3, n): the sorted runs that tasks spill, a phrase being in several; without words, all of a language.
+
+    ``sieve``: a broadcast table of bits, see ``pair_sieve``.
+    """
 
     def run(batches):
-        state, texts, chars = TaskCounts(length, hold, vocabulary, burst), {}, 0
+        state, texts, chars = TaskCounts(lengths, sieve and sieve.value, hold, vocabulary, burst), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 texts.setdefault(lang, []).append(text)
@@ -193,11 +226,35 @@ def runs(docs: DataFrame, length: int = 3, hold: int = 1_000_000, vocabulary: in
     return own.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, slices: int = 8, **bounds) -> DataFrame:
+def merged(spilled: DataFrame, least: int, slices: int = 8) -> DataFrame:
+    """The runs exchanged by prefix and added up there; phrases below ``least`` go, and the rest is stored."""
+    split = spilled.withColumn("slice", F.pmod(F.hash("w3"), F.lit(slices))).repartition("lang", "w1", "w2", "slice")
+    counted = split.groupBy("lang", "w1", "w2", "w3", "slice").agg(F.sum("n").alias("f"))
+    return cut_lineage(counted.where((F.col("f") >= least) | F.col("w1").isNull()).drop("slice"), "phrases")
+
+
+def pair_sieve(pairs: DataFrame):
+    """A broadcast table of 2 ** SIEVE bits, whatever the number of ``pairs`` (lang, w1, w2), in which each has its bit."""
+
+    def places(batches):
+        for batch in batches:
+            lang, w1, w2 = (batch.column(c).to_pylist() for c in ("lang", "w1", "w2"))
+            found = [int(sieve_place(k, np.uint64([xxh64_intdigest(v)]), np.uint64([xxh64_intdigest(w)]))[0]) for k, v, w in zip(lang, w1, w2)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["place"])
+
+    words = pairs.select("lang", "w1", "w2").mapInArrow(places, "place long").groupBy(F.shiftright("place", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()  # 2 ** (SIEVE - 6) rows at most
+    table = np.zeros(1 << (SIEVE - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return pairs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def phrase_counts(docs: DataFrame, least: int = 10, **bounds) -> DataFrame:
     """(lang, w1, w2, w3, f) of all phrases that occur ``least`` times; without words, f is all word occurrences of a language."""
-    split = runs(docs, **bounds).withColumn("slice", F.pmod(F.hash("w3"), F.lit(slices)))
-    merged = split.repartition("lang", "w1", "w2", "slice").groupBy("lang", "w1", "w2", "w3", "slice").agg(F.sum("n").alias("f"))
-    return cut_lineage(merged.where((F.col("f") >= least) | F.col("w1").isNull()).drop("slice"), "phrases")
+    short = merged(runs(docs, (1, 2), **bounds), least)
+    sieve = pair_sieve(short.where("w2 is not null"))
+    long = merged(runs(docs, (3,), sieve, **bounds).where("w1 is not null"), least)
+    return short.unionByName(long)
 
 
 def _cut(k: int, left: str, right: str) -> Column:
