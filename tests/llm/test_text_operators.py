@@ -221,3 +221,32 @@ def test_quality_matches_a_direct_density(spark, empty):
     only = labels.where("quality = 1")
     assert len({r["score"] for r in quality.quality_scores(docs, only).collect()}) == 1
     assert quality.quality_scores(empty, labels).count() == 0
+
+
+def test_long_text_for_every_secret_rule(spark):
+    """Texts that pass each rule's trigram query and are long where the rule repeats something."""
+    long = {
+        "assign": "token=" + "a" * 200_000, "access": "AKIA" + "B" * 200_000, "hex": "0a" * 100_000, "private_key": "-----BEGIN " + "A " * 100_000 + "PRIVATE KEY-----",
+        "hub_token": "ghp_" + "a" * 36 + " " * 200_000, "chat_token": "xoxb-" + "1-" * 100_000, "map_key": "AIza" + "x" * 35 + " " * 200_000, "web_token": ".".join(["eyJ" + "a" * 60_000] * 3),
+    }
+    assert set(long) == {r.kind for r in secret_scan.RULES}
+    rows = [(i, text, kind) for i, (kind, text) in enumerate(long.items())]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.report(frame).collect()}
+    for i, text, kind in rows:
+        assert f"{kind}:0:{len(text.rstrip())}" in spans[i].split(",")
+    assert all(len(r["text"]) < 200_050 for r in secret_scan.redact(frame).collect())
+    with pytest.raises(ValueError):
+        secret_scan.Rule("bad", "(?:[A-Z]+ )*END")
+
+
+def test_quality_of_rows_that_do_not_vary(spark):
+    """Alike labelled rows tell the share of the classes only; a class that does not vary leaves finite scores."""
+    labels = lambda ys: spark.createDataFrame([(i, y) for i, y in enumerate(ys)], "doc_id long, quality int")
+    docs_of = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for text, ys, want in (("", [0, 1] * 4, 0.5), ("One text, again and again.", [1] * 4 + [0] * 5, 5 / 11)):
+        got = quality.quality_scores(docs_of([text] * len(ys)), labels(ys)).collect()
+        assert len(got) == len(ys) and all(abs(r["score"] - want) < 1e-9 for r in got)
+    texts = ["same words here"] * 5 + [f"text {'word ' * i} end. {i}" for i in range(5)]
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs_of(texts), labels([1] * 5 + [0] * 5)).collect()}
+    assert all(0 <= s <= 1 for s in got.values()) and min(got[i] for i in range(5)) > max(got[i] for i in range(5, 10))

@@ -10,7 +10,8 @@ The statistics are stored once below the shared folder and read for training and
 the texts are read once. The model's size is fixed (two classes, some 16 statistics).
 
 Defined results: null or empty text has all-zero statistics and is scored; without labelled rows every
-score is 0.5, with one class only it is that class's smoothed share; null labels are ignored, repeated
+score is 0.5; with fewer than two rows of a class, or labelled rows that are all alike, it is the smoothed share
+of class 1; null labels are ignored, repeated
 label rows count once (the larger value); repeated documents are scored each; other columns are ignored.
 """
 
@@ -41,6 +42,8 @@ CLASSES = {
     "symbols": _bytes("#*$%&<>@=~^_{}[]\\"), "bars": _bytes("|"), "shouts": _bytes("!?"), "capitals": (np.arange(256) >= 65) & (np.arange(256) <= 90),
     "digits": _bytes("0123456789"), "stops": _bytes(".,;:"), "beyond_ascii": np.arange(256) >= 128,
 }
+#: Variance of a statistic below which labelled rows count as alike, and the least mean variance (scaled) that ``ridge`` shares in.
+LEAST_VARIANCE, LEAST_SPREAD = 1e-12, 0.01
 _MASKS = np.array(list(CLASSES.values()), np.float64)
 
 
@@ -88,19 +91,25 @@ class Model:
 
 
 def fit(stats: DataFrame, labels: DataFrame, pool: float = 0.3, ridge: float = 0.01) -> Model:
-    """The model from all labelled rows. ``labels``: doc_id, y."""
+    """The model from all labelled rows. ``labels``: doc_id, y.
+
+    Products are summed around the mean of all labelled rows, so that small variances keep their digits.
+    """
     p = len(NAMES)
+    labelled = stats.join(labels, "doc_id").select("stats", "y")
+    middle = labelled.select(*[F.avg(F.get("stats", F.lit(i))).alias(n) for i, n in enumerate(NAMES)]).first()
+    pilot = np.array([x or 0.0 for x in middle])
 
     def sums(frames):
         total = np.zeros((2, 1 + p + p * p))
         for frame in frames:
-            x = np.array(frame["stats"].tolist()).reshape(-1, p)
+            x = np.array(frame["stats"].tolist()).reshape(-1, p) - pilot
             for y in (0, 1):
                 own = x[(frame["y"] == y).to_numpy()]
                 total[y] += np.r_[len(own), own.sum(axis=0), (own.T @ own).ravel()]
         yield pd.DataFrame({"y": np.repeat([0, 1], total.shape[1]), "cell": np.tile(np.arange(total.shape[1]), 2), "value": total.ravel()})
 
-    cells = stats.join(labels, "doc_id").select("stats", "y").mapInPandas(sums, "y int, cell int, value double")
+    cells = labelled.mapInPandas(sums, "y int, cell int, value double")
     total = np.zeros((2, 1 + p + p * p))
     for row in cells.groupBy("y", "cell").agg(F.sum("value").alias("value")).collect():  # 2 * (1 + p + p * p) rows
         total[row["y"], row["cell"]] = row["value"]
@@ -110,14 +119,16 @@ def fit(stats: DataFrame, labels: DataFrame, pool: float = 0.3, ridge: float = 0
     means = total[:, 1 : 1 + p] / n[:, None]
     covariances = [total[y, 1 + p :].reshape(p, p) / n[y] - np.outer(means[y], means[y]) for y in (0, 1)]
     pooled = (n[0] * covariances[0] + n[1] * covariances[1]) / n.sum()
+    if np.trace(pooled) <= p * LEAST_VARIANCE:  # the rows do not vary: only the shares of the classes tell
+        return Model(float((n[1] + 1) / (n.sum() + 2)))
     scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
     pooled = pooled / np.outer(scale, scale)
     parts = []
     for y in (0, 1):
         own = (1 - pool) * covariances[y] / np.outer(scale, scale) + pool * pooled
-        own = (1 - ridge) * own + ridge * np.trace(own) / p * np.eye(p)
+        own = (1 - ridge) * own + ridge * max(np.trace(own) / p, LEAST_SPREAD) * np.eye(p)
         lower = np.linalg.cholesky(own)
-        parts.append((means[y] / scale, np.linalg.inv(lower), float(np.log(n[y] / n.sum()) - np.log(np.diag(lower)).sum())))
+        parts.append(((means[y] + pilot) / scale, np.linalg.inv(lower), float(np.log(n[y] / n.sum()) - np.log(np.diag(lower)).sum())))
     return Model(None, scale, tuple(parts))
 
 

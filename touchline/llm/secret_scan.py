@@ -23,12 +23,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.trigrams import trigram_query
+from touchline.llm.trigrams import repeats_group, trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: what to find; ``value``: the group that must have ``least`` characters (0: the match)."""
+    """``pattern``: what to find; ``value``: the group that must have ``least`` characters (0: the match).
+
+    Groups may not be repeated without a bound: the matcher recurses once for each round, so a long text would
+    overflow its stack. A character class is repeated in a loop.
+    """
 
     kind: str
     pattern: str
@@ -36,13 +40,17 @@ class Rule:
     least: int = 0
     base: bool = False
 
+    def __post_init__(self):
+        if repeats_group(self.pattern):
+            raise ValueError(f"{self.kind}: repeat a character class instead of a group")
+
 
 # The base rules of the contract, then the rules that this scan adds.
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),

@@ -89,3 +89,21 @@ def trigram_query(pattern: str) -> list[tuple[str, ...]] | None:
         return None
     least = {c for c in clauses if not any(d < c for d in clauses)}
     return sorted(tuple(sorted(c)) for c in least)
+
+
+def repeats_group(pattern: str) -> bool:
+    """Whether anything but a single character or character class is repeated without a bound."""
+    single = (codes.LITERAL, codes.NOT_LITERAL, codes.IN, codes.ANY)
+
+    def inside(tree) -> bool:
+        for op, arg in tree:
+            if op in (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT):
+                if arg[1] == codes.MAXREPEAT and not (len(arg[2]) == 1 and arg[2][0][0] in single) or inside(arg[2]):
+                    return True
+            elif op is codes.SUBPATTERN and inside(arg[3]):
+                return True
+            elif op is codes.BRANCH and any(inside(x) for x in arg[1]):
+                return True
+        return False
+
+    return inside(parser.parse(pattern))
