@@ -124,22 +124,28 @@ def season_style_tags(e: DataFrame) -> DataFrame:
     return df.select(*keys, F.array_join(tags, "; ").alias("tags"))
 
 
-def repeated_chains(valued: DataFrame, k: int | None = None) -> DataFrame:
-    """Dangerous season chains grouped by the lanes they connect and their route."""
+def chain_families(valued: DataFrame) -> DataFrame:
+    """Dangerous season chains with the lanes they connect and their route as ``family``."""
     from touchline.functions import geometry
-    from touchline.operators.topk import top_per_group
 
     keys = ["nation", "tier", "season", "team"]
-    df = sequences.season_chains(valued)
     order = F.struct("period", "expanded_minute", "event_index")
-    c = df.groupBy(*keys, "match_id", "chain_id").agg(
+    c = sequences.season_chains(valued).groupBy(*keys, "match_id", "chain_id").agg(
         F.count(F.lit(1)).alias("actions"), F.min_by("y", order).alias("y0"), F.max_by(F.expr("coalesce(end_y, y)"), order).alias("y1"),
         n("is_carry").alias("carries"), F.max("is_cross").alias("cross"), F.max("box_entry").alias("box"), F.max("final_third_entry").alias("ft"),
         F.max("is_shot").alias("shot"), F.max("is_goal").alias("goal"), F.sum("xg").alias("xg"), F.sum("positive_league_xt").alias("xt"),
     ).where("actions >= 2 and (shot or box or round(xt, 9) >= 0.12)")
     route = F.expr("case when cross then 'cross' when carries >= 2 then 'carry progression' when box then 'box entry' else 'final third progression' end")
     c = c.withColumns({"_a": geometry.lane3("y0"), "_b": geometry.lane3("y1")})
-    c = c.withColumn("family", F.concat_ws(" ", "_a", F.lit("to"), "_b", route))
+    return c.withColumn("family", F.concat_ws(" ", "_a", F.lit("to"), "_b", route)).drop("_a", "_b")
+
+
+def repeated_chains(valued: DataFrame, k: int | None = None) -> DataFrame:
+    """Dangerous season chains grouped by the lanes they connect and their route."""
+    from touchline.operators.topk import top_per_group
+
+    keys = ["nation", "tier", "season", "team"]
+    c = chain_families(valued)
     g = c.groupBy(*keys, "family").agg(
         F.count(F.lit(1)).alias("chains"), n("shot").alias("shots"), n("goal").alias("goals"), F.sum("xg").alias("xg"), F.sum("xt").alias("xt"), F.avg("actions").alias("mean_actions")
     )

@@ -144,13 +144,7 @@ cte("schf", f"""select *, concat_ws(' ',{_L3.format('y0')},'to',{_L3.format('y1'
 
 @query("p49_chain_family", "select match_id,chain_id,family from schf")
 def p49(t: Tables):
-    df = sequences.season_chains(t.valued)
-    order = F.struct("period", "expanded_minute", "event_index")
-    c = df.groupBy("match_id", "chain_id").agg(
-        F.count(F.lit(1)).alias("actions"), F.min_by("y", order).alias("y0"), F.max_by(F.expr("coalesce(end_y, y)"), order).alias("y1"), F.count_if("is_carry").alias("carries"),
-        F.max("is_cross").alias("cr"), F.max("box_entry").alias("box"), F.max("is_shot").alias("shot"), F.sum("positive_xt").alias("xt"),
-    ).where("actions >= 2 and (shot or box or round(xt, 9) >= 0.12)").withColumns({"a": geometry.lane3("y0"), "b": geometry.lane3("y1")})
-    return c.select("match_id", "chain_id", F.concat_ws(" ", "a", F.lit("to"), "b", F.expr("case when cr then 'cross' when carries >= 2 then 'carry progression' when box then 'box entry' else 'final third progression' end")).alias("family"))
+    return style.chain_families(t.valued).select("match_id", "chain_id", "family")
 
 
 @query("w20_repeated_chains", f"""with g as (select {_K},family,count(*) as chains,count(*) filter (shot) as shots,count(*) filter (goal) as goals,sum(xg) as xg,sum(xt) as xt,avg(actions) as mean_actions from schf group by all)
