@@ -13,8 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "a01_team_summary", "a02_team_match_summary", "a03_team_style_profile", "a06_ppda_and_tilt", "a10_player_involvement", "a11_pass_edges",
     "a20_chain_funnel", "a34_set_piece_summary", "a38_league_rows", "a42_correlation_kendall", "f01_game_state", "j03_attach_values",
-    "j09_coverage", "j12_receivers", "j13_pressing_effect", "j17_shot_assists", "j23_transition_outcomes", "m03_zone_values", "p13_store_flags",
-    "p32_goal_mouth", "s01_resilient_csv", "s15_match_document_events", "t02_stream_momentum", "t05_stream_score", "w02_possessions",
+    "j09_coverage", "j12_receivers", "j13_pressing_effect", "j17_shot_assists", "j23_transition_outcomes", "m03_zone_values", "m07_model_quality", "p13_store_flags",
+    "p32_goal_mouth", "p49_chain_family", "s01_resilient_csv", "s15_match_document_events", "t02_stream_momentum", "t05_stream_score", "w02_possessions",
     "w06_rolling_momentum", "w09_shot_sequences", "w11_rolling_possession", "w15_inferred_carries", "x04_array_map",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("TEST_ALL") else SOME
@@ -63,5 +63,6 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check_or_says_why():
-    unchecked = {q for q in set(entry.queries()) - set(entry.oracle_sql()) if q != "pipeline" and not q.startswith("op")}
+    # Trained shot values are held against a plain fit in test_shot_models.
+    unchecked = {q for q in set(entry.queries()) - set(entry.oracle_sql()) if q != "pipeline" and not q.startswith("op") and not q.endswith("_trained")}
     assert unchecked == {"m01_shot_models", "m02_shot_scores", "m05_pca_map", "m06_team_clusters", "s19_file_snapshot"}

@@ -1,24 +1,15 @@
-"""Trained models on Spark ML: shot probability, style map, team clusters."""
+"""Shot families over all leagues, style map, team clusters."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.facts import SEASON
 from touchline.operators.league import DIMENSIONS, METRICS, TEAM
-from touchline.operators.value import FEATURES
-from touchline.session import cut_lineage
-
-# Sample gates, penalty default, and the blend of the two models.
-MIN_SHOTS, MIN_GOALS, MIN_PENALTIES, PENALTY_RATE = 120, 12, 10, 0.76
-DEPTH, ROUNDS, RATE, MIN_LEAF = 5, 260, 0.05, 24
+from touchline.operators.shot_models import MIN_GOALS, MIN_PENALTIES, MIN_SHOTS
 
 
 def model_status(features: DataFrame) -> DataFrame:
@@ -35,75 +26,6 @@ def model_status(features: DataFrame) -> DataFrame:
     )
 
 
-def _fit(train: DataFrame, rounds: int):
-    stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="scaled", labelCol="goal", maxIter=100, regParam=1e-4, probabilityCol="p_log", rawPredictionCol="r_log", predictionCol="d_log"),
-        GBTClassifier(featuresCol="raw", labelCol="goal", maxDepth=DEPTH, maxIter=rounds, stepSize=RATE, minInstancesPerNode=MIN_LEAF, seed=7),
-    ]
-    # GBT names its probability column "probability"
-    return Pipeline(stages=stages).fit(train)
-
-
-def _scored(model, df: DataFrame, size: int, rate: float, name: str) -> DataFrame:
-    """Mean of both probabilities, shrunk to the base rate by sample size and clipped."""
-    w = max(0.15, min(size / 1500.0, 1.0))
-    out = model.transform(df)
-    p = (vector_to_array("p_log")[1] + vector_to_array("probability")[1]) / 2
-    out = out.withColumn(name, F.least(F.greatest(p * w + rate * (1 - w), F.lit(0.001)), F.lit(0.999)))
-    return out.drop("raw", "scaled", "r_log", "p_log", "d_log", "rawPrediction", "prediction", "probability")
-
-
-def score_shots(features: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Half the global model, half the family model; penalties take the penalty rate.
-
-    Only the per-family counts (five rows) reach the driver; training and scoring stay
-    distributed.  The feature table is written once because every fit reads it many times."""
-    data = cut_lineage(features.select("match_id", "event_index", "team", "player", "shot_family", "goal", *[F.col(c).cast("double").alias(c) for c in FEATURES]), "shot-features")
-    stats = {r.shot_family: r for r in model_status(data).collect()}
-    total = sum(r.shots for k, r in stats.items() if k != "penalty")
-    goals = sum(r.goals for k, r in stats.items() if k != "penalty")
-    rate = goals / total if total else 0.1
-    pen = stats.get("penalty")
-    penalty = pen.goal_rate if pen and pen.shots >= MIN_PENALTIES else PENALTY_RATE
-    open_ = data.where("shot_family <> 'penalty'")
-    if total >= MIN_SHOTS and goals >= MIN_GOALS:
-        scored = _scored(_fit(open_, rounds), data, total, rate, "global_p")
-    else:
-        scored = data.withColumn("global_p", F.lit(rate))
-    parts = []
-    for family, r in sorted(stats.items()):
-        part = scored.where(F.col("shot_family") == family)
-        if family == "penalty":
-            parts.append(part.withColumn("xg", F.lit(float(penalty))))
-        elif r.status == "trained":
-            model = _fit(open_.where(F.col("shot_family") == family), rounds)
-            part = _scored(model, part, r.shots, r.goal_rate, "family_p")
-            parts.append(part.withColumn("xg", F.expr("0.5D * global_p + 0.5D * family_p")).drop("family_p"))
-        else:
-            parts.append(part.withColumn("xg", F.expr(f"0.5D * global_p + 0.5D * {float(r.goal_rate)!r}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("match_id", "event_index", "team", "player", "shot_family", "goal", "global_p", "xg")
-
-
-def fit_models(features: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Train every model the sample gates allow; one row per model and feature."""
-    data = cut_lineage(features.select("shot_family", "goal", *[F.col(c).cast("double").alias(c) for c in FEATURES]), "shot-features")
-    spark = data.sparkSession
-    rows = []
-    for r in model_status(data).collect():
-        if r.status != "trained":
-            rows.append((r.shot_family, "base rate", float(r.goal_rate), 0, r.shots))
-            continue
-        model = _fit(data.where(F.col("shot_family") == r.shot_family), rounds)
-        weights = model.stages[2].coefficients.toArray()
-        rows += [(r.shot_family, f, float(w), rounds, r.shots) for f, w in zip(FEATURES, weights)]
-    return spark.createDataFrame(rows, "shot_family string, feature string, weight double, trees int, shots long")
-
-
 def _pca(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     values = frame[METRICS].astype(float).replace([np.inf, -np.inf], np.nan)
     use = [c for c in METRICS if values[c].count() >= 3 and values[c].std(ddof=0) > 0]

@@ -25,8 +25,14 @@ def player_xt(actions: DataFrame) -> DataFrame:
     )
 
 
-def player_xg(features: DataFrame) -> DataFrame:
-    df = features.withColumn("xg", shots.rule_xg_match())
+def rule_values(features: DataFrame) -> DataFrame:
+    """Shots with the rule's value as ``xg``."""
+    return features.withColumn("xg", shots.rule_xg_match())
+
+
+def player_xg(valued_shots: DataFrame) -> DataFrame:
+    """``valued_shots``: shot features with ``xg``, by rule or by model."""
+    df = valued_shots
     families = ("open_play", "set_piece", "header", "direct_free_kick", "penalty")
     df = df.groupBy(*WHO, "player_id").agg(
         F.count(F.lit(1)).alias("shots"),
@@ -52,10 +58,10 @@ def player_xa(credits: DataFrame) -> DataFrame:
     return df.withColumn("xa_per_shot_assist", F.expr("if(shot_assists > 0, xa / shot_assists, 0D)"))
 
 
-def player_values(features: DataFrame, credits: DataFrame, actions: DataFrame) -> DataFrame:
+def player_values(valued_shots: DataFrame, credits: DataFrame, actions: DataFrame) -> DataFrame:
     """Sums of shot value, assist value and ball-movement value per player of a team season."""
     parts = [
-        features.select(*WHO, shots.rule_xg_match().alias("xg"), F.lit(0.0).alias("xa"), F.lit(0.0).alias("xt")),
+        valued_shots.select(*WHO, "xg", F.lit(0.0).alias("xa"), F.lit(0.0).alias("xt")),
         credits.where("role = 'assist'").select(*WHO, F.lit(0.0).alias("xg"), F.col("xg").alias("xa"), F.lit(0.0).alias("xt")),
         actions.select(*WHO, F.lit(0.0).alias("xg"), F.lit(0.0).alias("xa"), F.col("xt_added").alias("xt")),
     ]

@@ -119,6 +119,6 @@ cte("pinv", """with g as (select nation,tier,season,team,player,count(*) as even
  select *, row_number() over (partition by nation,tier,season,team order by round(score,6) desc, player)::int as rank from s""")
 
 
-@query("a10_player_involvement", "select * from pinv")
+@query("a10_player_involvement", "select * from pinv", trained=True)
 def a10(t: Tables):
     return t.involvement

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from touchline.operators import facts, league, links, models, players, sequences, value
+from touchline.functions import flags
+from touchline.operators import facts, league, links, models, players, sequences, shot_models, value
 from touchline.plans.oracle_base import cte
 from touchline.plans.registry import Tables, query
 
@@ -29,7 +30,7 @@ cte("lrow", """with m as (select nation,tier,season,team,match_id,count(*) as ro
  from t left join v using(nation,tier,season,team)""")
 
 
-@query("a38_league_rows", "select * from lrow")
+@query("a38_league_rows", "select * from lrow", trained=True)
 def a38(t: Tables):
     return _rows(t)
 
@@ -116,11 +117,10 @@ cte("rad", f"""with l as (select nation,tier,season,team,metric,value,metric in
 
 
 def _radar(t: Tables, valued=None):
-    credits = value.shot_assists(sequences.possessions(t.f))
-    return league.radar(league.radar_rows(t.e, t.valued if valued is None else valued, credits))
+    return league.radar(league.radar_rows(t.e, t.valued if valued is None else valued, t.credits))
 
 
-@query("a45_league_radar", "select * from rad")
+@query("a45_league_radar", "select * from rad", trained=True)
 def a45(t: Tables):
     return _radar(t)
 
@@ -221,11 +221,11 @@ def w14(t: Tables):
 
 
 @query("j25_team_metric_lookup", """select s.nation,s.tier,s.season,s.team,s.shots,coalesce(x.xg,0) as xg_sum,coalesce(x.xt,0) as xt_sum,coalesce(a.xa,0) as xa_sum from stf s left join (select nation,tier,season,team,sum(xg) as xg,sum(positive_league_xt) as xt from pv group by 1,2,3,4) x using(nation,tier,season,team)
- left join (select nation,tier,season,team,sum(xg) as xa from assist where role='assist' group by 1,2,3,4) a using(nation,tier,season,team)""")
+ left join (select nation,tier,season,team,sum(xg) as xa from assist where role='assist' group by 1,2,3,4) a using(nation,tier,season,team)""", trained=True)
 def j25(t: Tables):
     k = league.TEAM
     x = t.valued.groupBy(*k).agg(F.sum("xg").alias("xg_sum"), F.sum("positive_league_xt").alias("xt_sum"))
-    a = value.shot_assists(sequences.possessions(t.f)).where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("xa_sum"))
+    a = t.credits.where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("xa_sum"))
     return facts.season_team_facts(_matches(t)).select(*k, "shots").join(x, k, "left").join(a, k, "left").na.fill(0.0, ["xg_sum", "xt_sum", "xa_sum"])
 
 
@@ -254,14 +254,27 @@ def m06(t: Tables):
 
 @query("m01_shot_models")
 def m01(t: Tables):
-    return models.fit_models(value.shot_features(sequences.possessions(t.f)))
+    return shot_models.model_rows(value.shot_features(t.runs))
 
 
 @query("m02_shot_scores")
 def m02(t: Tables):
-    return models.score_shots(value.shot_features(sequences.possessions(t.f)))
+    return shot_models.trained_scores(value.shot_features(t.runs))
 
 
 @query("m07_model_context", "with g as (select shot_family,count(*) as shots,sum(goal)::bigint as goals from feat group by 1) select shot_family,shots,goals,goals/shots::double as goal_rate,case when shot_family='penalty' then case when shots>=10 then 'own rate' else 'default rate' end when shots>=120 and goals>=12 then 'trained' else 'base rate' end as status from g")
 def m07(t: Tables):
-    return models.model_status(value.shot_features(sequences.possessions(t.f)))
+    return models.model_status(value.shot_features(t.runs))
+
+
+cte("mq", """with l as (select nation,tier,season,count(*) as events from log group by 1,2,3),
+ s as (select g.nation,g.tier,g.season,count(*) as shots_used,sum(f.goal)::bigint as goals_seen,case when count(*) filter (shot_family='penalty')>=10 then avg(f.goal) filter (shot_family='penalty') else 0.76 end as penalty_rate from feat f join log g using(event_id) group by 1,2,3),
+ a as (select nation,tier,season,count(distinct (match_id,shot_index)) as linked from assist group by 1,2,3), m as (select nation,tier,season,count(*) as moves from pv where f_move group by 1,2,3)
+ select l.nation,l.tier,l.season,coalesce(shots_used,0) as shots_used,coalesce(goals_seen,0) as goals_seen,coalesce(penalty_rate,0.76)::double as penalty_rate,coalesce(linked,0) as linked,coalesce(moves,0) as moves from l left join s using(nation,tier,season) left join a using(nation,tier,season) left join m using(nation,tier,season)""")
+
+
+@query("m07_model_quality", """select nation,tier,season,'xG' as model,case when shots_used>0 then 'trained' else 'limited' end as status,shots_used as sample,goals_seen,penalty_rate from mq
+ union all select nation,tier,season,'xA',case when linked>0 then 'applied' else 'limited' end,linked,null,null from mq union all select nation,tier,season,'xT','trained',moves,null,null from mq""")
+def m07_quality(t: Tables):
+    quality = shot_models.model_quality(t.log, value.shot_features(t.runs), t.credits, value.value_actions(flags.flags_f(t.prep), t.grid))
+    return shot_models.with_fixtures(quality, t.schedule)

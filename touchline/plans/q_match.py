@@ -256,16 +256,15 @@ cte("pxg", "select ff.season,ff.nation,ff.tier,ff.team,ff.player,ff.player_id,su
  select p.team,p.player,p.player_id,coalesce(a,b,0) as xg from p left join i on i.team=p.team and i.player_id=p.player_id left join n on n.team=p.team and n.nm=lower(p.player)""")
 def j24(t: Tables):
     base = t.log.groupBy("team", "player").agg(F.expr("if(min(event_id) % 2 = 0, max(player_id), null)").alias("player_id"))
-    xg = players.player_xg(value.shot_features(sequences.possessions(t.f)))
+    xg = players.player_xg(t.shots)
     return squads.metric_merge(base, xg).select("team", "player", "player_id", "xg")
 
 
-@query("a64_contribution_table", """select 'xg' as family,season,nation,tier,team,player,xg as value from pxg union all select 'xa',season,nation,tier,team,player,sum(xg) from assist where role='assist' group by 1,2,3,4,5,6 union all select 'xt',season,nation,tier,team,player,sum(league_xt_added) from pv where f_move group by 1,2,3,4,5,6""")
+@query("a64_contribution_table", """select 'xg' as family,season,nation,tier,team,player,xg as value from pxg union all select 'xa',season,nation,tier,team,player,sum(xg) from assist where role='assist' group by 1,2,3,4,5,6 union all select 'xt',season,nation,tier,team,player,sum(league_xt_added) from pv where f_move group by 1,2,3,4,5,6""", trained=True)
 def a64(t: Tables):
-    pos = sequences.possessions(t.f)
     k = ["season", "nation", "tier", "team", "player"]
-    xg = players.player_xg(value.shot_features(pos)).select(F.lit("xg").alias("family"), *k, F.col("xg").alias("value"))
-    xa = value.shot_assists(pos).where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("value")).withColumn("family", F.lit("xa"))
+    xg = players.player_xg(t.shots).select(F.lit("xg").alias("family"), *k, F.col("xg").alias("value"))
+    xa = t.credits.where("role = 'assist'").groupBy(*k).agg(F.sum("xg").alias("value")).withColumn("family", F.lit("xa"))
     f = t.valued.where("(f_pass or f_carry) and f_success and zone_start >= 0 and zone_end >= 0")
     xt = f.groupBy(*k).agg(F.sum("league_xt_added").alias("value")).withColumn("family", F.lit("xt"))
     return xg.unionByName(xa, allowMissingColumns=True).unionByName(xt, allowMissingColumns=True)

@@ -34,7 +34,7 @@ cte("dash", f"""with o as (select {_K},count(distinct match_id) as matches,count
  from o left join a using({_K}) left join v using({_K}) left join w using({_K})""")
 
 
-@query("a59_season_dashboard", "select * from dash")
+@query("a59_season_dashboard", "select * from dash", trained=True)
 def a59(t: Tables):
     return season.dashboard(t.e, t.valued)
 
@@ -58,7 +58,7 @@ cte("phw", f"""with p as (select {_K},{_PV} from rad group by all), k as (select
  select p.*,d.event_share,tr.ca,tr.rs,tr.ls,f.fast_attacks as fa,sp.spc,sp.spf,sp.spt,sp.spx,sp.spa,pl.depth,pl.shooters,pl.prog,pl.dfs,pl.spec from p join dash d using({_K}) left join tr using({_K}) left join fast_ f using({_K}) left join sp using({_K}) left join pl using({_K})""")
 
 
-@query("a60_phase_percentiles", "select *, case when score>=72 then 'Strong' when score>=48 then 'Competitive' else 'Needs work' end as strength from (" + " union all ".join(f"select {_K},'{k}' as phase,(({e})/5)::double as score from phw" for k, e in _PH.items()) + ")")
+@query("a60_phase_percentiles", "select *, case when score>=72 then 'Strong' when score>=48 then 'Competitive' else 'Needs work' end as strength from (" + " union all ".join(f"select {_K},'{k}' as phase,(({e})/5)::double as score from phw" for k, e in _PH.items()) + ")", trained=True)
 def a60(t: Tables):
     keys = t.log.select(*league.TEAM, "match_id").distinct()
     tr = links.transition_outcomes(t.stored).join(keys, ["match_id", "team"]).withColumn("fast_attacks", F.lit(0).cast("bigint"))

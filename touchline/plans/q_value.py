@@ -92,26 +92,26 @@ cte("assist", """with s as (select p.*, l.xg as sxg from poss p join logx l usin
 
 @query("j17_shot_assists", "select * from assist")
 def j17(t: Tables):
-    return value.shot_assists(seq.possessions(t.f))
+    return t.credits
 
 
 @query("a07_player_xg", """with s as (select ff.*, l.xg, f.shot_family as fam from ff join logx l using(event_id) join feat f using(event_id) where ff.f_shot)
  select season,nation,tier,team,player,player_id,count(*) as shots,count(*) filter (f_goal) as goals,sum(xg) as xg,count(*) filter (f_goal)-sum(xg) as goals_minus_xg,sum(xg)/count(*) as xg_per_shot,
  sum(case when fam='open_play' then xg else 0 end) as open_play_xg,sum(case when fam='set_piece' then xg else 0 end) as set_piece_xg,sum(case when fam='header' then xg else 0 end) as header_xg,
  sum(case when fam='direct_free_kick' then xg else 0 end) as direct_free_kick_xg,sum(case when fam='penalty' then xg else 0 end) as penalty_xg,sum(case when fam<>'penalty' then xg else 0 end) as non_penalty_xg,
- count(*) filter (f_big_chance) as big_chances from s group by 1,2,3,4,5,6""")
+ count(*) filter (f_big_chance) as big_chances from s group by 1,2,3,4,5,6""", trained=True)
 def a07(t: Tables):
     from touchline.operators.players import player_xg
 
-    return player_xg(value.shot_features(seq.possessions(t.f)))
+    return player_xg(t.shots)
 
 
 @query("a08_player_xa", """select season,nation,tier,team,player,player_id,sum(case when role='assist' then xg else 0 end) as xa,
  sum(case when role='assist' and not f_set_piece then xg else 0 end) as open_play_xa,sum(case when role='assist' and f_set_piece then xg else 0 end) as set_piece_xa,
  sum(case when role='secondary' then xg else 0 end) as secondary_xa,sum(case when role='carry' then xg else 0 end) as carry_to_shot_xg,count(*) filter (role='assist') as shot_assists,
  count(*) filter (role='assist' and f_goal) as goal_assists,case when count(*) filter (role='assist')>0 then sum(case when role='assist' then xg else 0 end)/count(*) filter (role='assist') else 0 end as xa_per_shot_assist
- from assist group by 1,2,3,4,5,6""")
+ from assist group by 1,2,3,4,5,6""", trained=True)
 def a08(t: Tables):
     from touchline.operators.players import player_xa
 
-    return player_xa(value.shot_assists(seq.possessions(t.f)))
+    return player_xa(t.credits)

@@ -87,13 +87,31 @@ class Tables:
 
         return value.solve_zones(value.zone_cells(self.f, value.LEAGUE), value.LEAGUE)
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        from touchline.operators import sequences
+
+        return sequences.possessions(self.f)
+
+    @cached_property
+    def shots(self) -> DataFrame:
+        """Features of every shot with its value ``xg``."""
+        from touchline.operators import players, value
+
+        return players.rule_values(value.shot_features(self.runs))
+
+    @cached_property
+    def credits(self) -> DataFrame:
+        """Assists of every shot with the shot's value."""
+        from touchline.operators import value
+
+        return value.shot_assists(self.runs)
+
     @cached_property
     def involvement(self) -> DataFrame:
-        from touchline.operators import facts, players, sequences, value
+        from touchline.operators import facts, players, value
 
-        runs = sequences.possessions(self.f)
-        values = players.player_values(
-            value.shot_features(runs), value.shot_assists(runs), value.value_actions(flags.flags_f(self.prep), self.grid))
+        values = players.player_values(self.shots, self.credits, value.value_actions(flags.flags_f(self.prep), self.grid))
         return facts.player_involvement(self.e, values)
 
     @cached_property
@@ -104,11 +122,44 @@ class Tables:
         return prepared_table(self.valued)
 
 
-def query(name: str, check: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name`` with its DuckDB check."""
+class TrainedTables(Tables):
+    """The same frames with shot values from the models of each league season instead of the rule."""
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        from touchline.operators import shot_models, value
+
+        return shot_models.trained_scores(value.shot_features(self.runs))
+
+    @cached_property
+    def valued(self) -> DataFrame:
+        from touchline.operators import shot_models, value
+
+        return shot_models.with_scores(value.attach_values(self.prep, self.grid), self.scores)
+
+    @cached_property
+    def shots(self) -> DataFrame:
+        from touchline.operators import players, shot_models, value
+
+        return shot_models.with_scores(players.rule_values(value.shot_features(self.runs)), self.scores)
+
+    @cached_property
+    def credits(self) -> DataFrame:
+        from touchline.operators import shot_models, value
+
+        return shot_models.with_scores(value.shot_assists(self.runs), self.scores, "shot_index")
+
+
+def query(name: str, check: str | None = None, trained: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under ``name`` with its DuckDB check.
+
+    ``trained``: also as ``name``_trained over trained shot values, which SQL cannot give; tests check those.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if trained:
+            QUERIES[f"{name}_trained"] = lambda spark, sf_dir: fn(TrainedTables(spark, sf_dir))
         if check is not None:
             ORACLES[name] = check
         return fn
