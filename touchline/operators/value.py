@@ -129,7 +129,7 @@ def attach_values(prepared: DataFrame, grid: DataFrame, scope: list[str] | None
             "positive_xt": F.expr("if(f_set_piece, 0D, greatest(league_xt_added, 0D))"),
             "xg": F.when(F.col("is_shot"), shots.rule_xg_match()).otherwise(F.lit(0.0)),
         }
-    ).drop("_move", "xt_start", "xt_end")
+    )
 
 
 def shot_features(possessions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from touchline.operators import facts
 from touchline.plans.oracle_base import cte
 from touchline.plans.registry import Tables, query
 
-cte("tms", """select nation,tier,season,match_id,team,team_key,team_side,opponent,home_team,away_team,kickoff,
+TMS = """select nation,tier,season,match_id,team,team_key,team_side,opponent,home_team,away_team,kickoff,
  count(*) filter (is_pass or is_cross) as passes, count(*) filter ((is_pass or is_cross) and is_success) as good_passes,
  count(*) filter (is_shot) as shots, count(*) filter (is_goal) as goals, count(*) filter (box_entry) as box_entries,
  count(*) filter (final_third_entry) as final_third_entries, count(*) filter (attacking_third_touch) as attacking_third_touches,
@@ -16,7 +16,8 @@ cte("tms", """select nation,tier,season,match_id,team,team_key,team_side,opponen
  count(*) filter ((is_pass or is_cross) and qual_c like '%longball%') as long_balls, count(*) as total_events,
  case when count(*) filter (is_pass or is_cross)>0 then 100.0*count(*) filter ((is_pass or is_cross) and is_success)/count(*) filter (is_pass or is_cross) else 0 end as pass_completion_pct,
  sum(case when is_defensive_action then coalesce(x,0) else 0 end)/greatest(count(*) filter (is_defensive_action),1) as defensive_height
- from fb group by all""")
+ from fb group by all"""
+cte("tms", TMS)
 
 
 @query("a02_team_match_summary", "select * from tms")

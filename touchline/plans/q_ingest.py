@@ -7,9 +7,10 @@ from touchline.functions.flags import flags_b
 from touchline.operators import facts, normalise
 from touchline.operators.topk import top_per_group
 from touchline.plans.oracle_base import cte
+from touchline.plans.q_facts import TMS
 from touchline.plans.registry import Tables, query
 from touchline.session import scratch_dir
-from touchline.sources import documents, tables
+from touchline.sources import documents, match_store, tables, versions
 
 # ------------------------------------------------------------------ text and files
 _HEADER = "event_id,kind,user,value"
@@ -365,3 +366,42 @@ def x08(t: Tables):
     for c, k in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
 def a61(t: Tables):
     return tables.column_audit(t.table("documents"))
+
+
+# ------------------------------------------------------------------ versioned store
+
+#: Half of the matches of one season come again with their first 100 rows only.
+_COMES = "(season = '2016-2017' and match_id % 2 = 0)"
+cte("fb2", f"select * from fb where not {_COMES} or event_index < 100")
+cte("tms2", TMS.replace("from fb ", "from fb2 "))
+
+
+def _match_store(t: Tables, upserted: bool) -> str:
+    root = scratch_dir(t.spark, "match-store")
+    match_store.build(t.b, root, versions.source_files(t.spark, [f"{t.sf_dir}/events.parquet"]))
+    if upserted:
+        match_store.upsert(t.b.where(f"{_COMES} and event_index < 100"), root)
+    return root
+
+
+_MP = "(select distinct season,match_id,team,floor(expanded_minute/10) from {})"
+
+
+def _store_counts(fb: str, tms: str, version: int) -> str:
+    parts = {"events": fb, "team_match_summary": tms, "match_index": f"(select distinct season,match_id from {fb})", "momentum_profiles": _MP.format(fb)}
+    return " union all ".join(f"select '{k}' as table_name,{version}::int as version,season as partition,count(*) as rows from {v} group by season" for k, v in parts.items())
+
+
+@query("s09_versioned_store", _store_counts("fb", "tms", 1))
+def s09_versions(t: Tables):
+    return versions.counts(t.spark, _match_store(t, False)).withColumnRenamed("table", "table_name").where("table_name <> 'sources'")
+
+
+@query("s09_store_upsert", _store_counts("fb2", "tms2", 2))
+def s09_upsert(t: Tables):
+    return versions.counts(t.spark, _match_store(t, True)).withColumnRenamed("table", "table_name").where("table_name <> 'sources'")
+
+
+@query("s09_upserted_summary", "select * from tms2")
+def s09_summary(t: Tables):
+    return versions.read(t.spark, _match_store(t, True), "team_match_summary")

@@ -276,5 +276,5 @@ cte("mq", """with l as (select nation,tier,season,count(*) as events from log gr
 @query("m07_model_quality", """select nation,tier,season,'xG' as model,case when shots_used>0 then 'trained' else 'limited' end as status,shots_used as sample,goals_seen,penalty_rate from mq
  union all select nation,tier,season,'xA',case when linked>0 then 'applied' else 'limited' end,linked,null,null from mq union all select nation,tier,season,'xT','trained',moves,null,null from mq""")
 def m07_quality(t: Tables):
-    quality = shot_models.model_quality(t.log, value.shot_features(t.runs), t.credits, value.value_actions(flags.flags_f(t.prep), t.grid))
+    quality = shot_models.model_quality(t.log, value.shot_features(t.runs), t.credits, t.moves)
     return shot_models.with_fixtures(quality, t.schedule)

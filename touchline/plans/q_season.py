@@ -61,10 +61,10 @@ cte("phw", f"""with p as (select {_K},{_PV} from rad group by all), k as (select
 @query("a60_phase_percentiles", "select *, case when score>=72 then 'Strong' when score>=48 then 'Competitive' else 'Needs work' end as strength from (" + " union all ".join(f"select {_K},'{k}' as phase,(({e})/5)::double as score from phw" for k, e in _PH.items()) + ")", trained=True)
 def a60(t: Tables):
     keys = t.log.select(*league.TEAM, "match_id").distinct()
-    tr = links.transition_outcomes(t.stored).join(keys, ["match_id", "team"]).withColumn("fast_attacks", F.lit(0).cast("bigint"))
+    tr = links.transition_outcomes(t.valued).join(keys, ["match_id", "team"]).withColumn("fast_attacks", F.lit(0).cast("bigint"))
     fast = links.fast_attacks(t.e).select(*league.TEAM, F.lit(0).cast("bigint").alias("counter_attacks"), F.lit(0).cast("bigint").alias("regains_to_shot"), "fast_attacks", F.lit(0).cast("bigint").alias("losses_to_shot"))
     cols = [*league.TEAM, "counter_attacks", "regains_to_shot", "fast_attacks", "losses_to_shot"]
-    return season.phase_percentiles(_radar(t, t.stored), season.dashboard(t.e, t.stored), tr.select(*cols).unionByName(fast.select(*cols)), season.set_piece_profile(t.stored), t.involvement)
+    return season.phase_percentiles(_radar(t, t.valued), season.dashboard(t.e, t.valued), tr.select(*cols).unionByName(fast.select(*cols)), season.set_piece_profile(t.valued), t.involvement)
 
 
 for _n, _q in (("b20", "a20_chain_funnel"), ("b23", "a23_disruption"), ("b24", "a24_height_profile"), ("b22", "a22_duel_control")):
@@ -74,7 +74,7 @@ for _n, _q in (("b20", "a20_chain_funnel"), ("b23", "a23_disruption"), ("b24", "
 @query("a66_defensive_bundle", """select a.match_id,a.team,o.attacks as opp_attacks,o.reached_final as opp_reached_final,o.entered_box as opp_entered_box,o.chains_with_shots as opp_chains_with_shots,p.presses,p.forced_total,p.escapes,h.mean_x,h.block_label,d.duels,d.won as duels_won,s.high,s.middle,s.low,s.forced_back,s.regains_after_loss,l.player as leader,l.score as leader_score
  from b20 a join b20 o on o.match_id=a.match_id and o.team<>a.team left join press p on p.match_id=a.match_id and p.team=a.team left join b24 h on h.match_id=a.match_id and h.team=a.team left join b22 d on d.match_id=a.match_id and d.team=a.team left join b23 s on s.match_id=a.match_id and s.team=a.team left join dlead l on l.match_id=a.match_id and l.team=a.team and l.pos=1""")
 def a66(t: Tables):
-    return season.defensive_bundle(t.stored)
+    return season.defensive_bundle(t.valued)
 
 
 @query("j04_chain_metric_lookup", """with a as (select *, lag(team_key) over (partition by match_id order by period,expanded_minute,event_index) as pt from log), c as (select *, sum(case when pt is null or pt<>team_key then 1 else 0 end) over (partition by match_id order by period,expanded_minute,event_index)::bigint as chain_id from a)

@@ -6,14 +6,17 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from touchline import matchlog
 from touchline.functions import flags
 from touchline.plans import oracle_base
-from touchline.session import tune
+from touchline.session import scratch_dir, tune
+from touchline.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_STORES: dict[tuple[str, str], str] = {}
 
 
 def checks() -> dict[str, str]:
@@ -73,12 +76,28 @@ class Tables:
     def d(self) -> DataFrame:
         return flags.flags_d(self.prep)
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the session's store for these inputs; made anew when a source file has changed since."""
+        root = _STORES.setdefault((self.spark.sparkContext.applicationId, self.sf_dir), "") or scratch_dir(self.spark, "store")
+        _STORES[self.spark.sparkContext.applicationId, self.sf_dir] = root
+        files = versions.source_files(self.spark, [f"{self.sf_dir}/events.parquet"])
+        reason = versions.freshness(self.spark, root, files, [versions.SOURCES, name])["reason"]
+        if reason != "current":
+            current = reason == "missing_outputs"
+            versions.build({name: make()} if current else {versions.SOURCES: files, name: make()}, root, ["season"], ["match_id", "event_index"], extend=current)
+        return versions.read(self.spark, root, name)
+
     @cached_property
     def valued(self) -> DataFrame:
-        """Prepared events with shot and ball-movement values."""
+        """Prepared events with shot and ball-movement values, stored for the session."""
         from touchline.operators import value
 
-        return value.attach_values(self.prep, self.grid)
+        return self.kept("valued", lambda: value.attach_values(self.prep, self.grid))
+
+    @cached_property
+    def moves(self) -> DataFrame:
+        """The valued ball movements, as ``value.value_actions`` gives them."""
+        return self.valued.where("_move").withColumn("xt_added", F.col("league_xt_added"))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -109,18 +128,11 @@ class Tables:
 
     @cached_property
     def involvement(self) -> DataFrame:
-        from touchline.operators import facts, players, value
+        from touchline.operators import facts, players
 
-        values = players.player_values(self.shots, self.credits, value.value_actions(flags.flags_f(self.prep), self.grid))
+        values = players.player_values(self.shots, self.credits, self.moves)
         return facts.player_involvement(self.e, values)
 
-    @cached_property
-    def stored(self) -> DataFrame:
-        """The valued events written once and read back, for queries with several branches."""
-        from touchline.sources.store import prepared_table
-
-        return prepared_table(self.valued)
-
 
 class TrainedTables(Tables):
     """The same frames with shot values from the models of each league season instead of the rule."""
@@ -129,13 +141,13 @@ class TrainedTables(Tables):
     def scores(self) -> DataFrame:
         from touchline.operators import shot_models, value
 
-        return shot_models.trained_scores(value.shot_features(self.runs))
+        return self.kept("shot_scores", lambda: shot_models.trained_scores(value.shot_features(self.runs)))
 
     @cached_property
     def valued(self) -> DataFrame:
         from touchline.operators import shot_models, value
 
-        return shot_models.with_scores(value.attach_values(self.prep, self.grid), self.scores)
+        return shot_models.with_scores(self.kept("valued", lambda: value.attach_values(self.prep, self.grid)), self.scores)
 
     @cached_property
     def shots(self) -> DataFrame:
