@@ -39,28 +39,25 @@ def _jaccard_join(length: int = 3, percent: int = 90) -> str:
  select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id from s join (select a, min(b) as component_id from r group by a) c on c.a = s.doc_id"""
 
 
-def _url_filter(depth: int = 3, least_share: float = 0.02, least_count: int = 5, z: float = 1.96, weight: float = 4.0, prior: float = 0.25, reject: float = 0.5) -> str:
-    """The template tree level by level, each level a pair of common table expressions."""
+def _url_filter(least_share: float = 0.02, least_count: int = 5, z: float = 1.96, weight: float = 4.0, prior: float = 0.25, reject: float = 0.5, least_labelled: float = 0.1) -> str:
+    """The template tree level by level, as a recursion over the paths that still go on."""
     part = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
     rule = "case " + " ".join(
         f"when (host = '{h}' or host like '%.{h}') and path like '{p}%' then '{h}{p}|{v}'" for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))) + " end"
-    levels = []
-    for i in range(depth):
-        seg = f"coalesce(parts[{i + 1}], '')"
-        levels.append(f"""n{i} as (select host, branch, {seg} as seg, sum(n) as n, sum(k) as k, sum(r) as r from t{i} group by 1,2,3),
- l{i} as (select host, branch, seg, k < {least_count} or abs(r - k * q) > {z} * greatest(sqrt(k * q * (1 - q)), 0.5) as odd from (
-  select *, sum(r) over w / greatest(sum(k) over w, 1) as q from (select *, sum(n) over (partition by host, branch) as every from n{i}) where n >= {least_share} * every and n >= {least_count} window w as (partition by host, branch))),
- t{i + 1} as (select t.host, t.path, t.parts, t.n, t.k, t.r, t.template || case when len(parts) <= {i} then '' when l.odd is not null then '/' || {seg} else '/*' end as template,
-  t.branch || case when len(parts) <= {i} then '' when l.odd then '/' || {seg} when l.odd is not null then '/+' else '/*' end as branch
-  from t{i} t left join l{i} l on l.host = t.host and l.branch = t.branch and l.seg = {seg})""")
-    tail = f"case when len(parts) > {depth} then '/**' else '' end"
-    return f"""with u as (select page_id, translate(coalesce(regexp_extract(url, {part}, 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host, coalesce(regexp_extract(url, {part}, 2), '') as path from pages),
+    both = "({a} + {b}) / ({n} + {m})::double"
+    differs = lambda a, n, b, m: f"({n} > 0 and {m} > 0 and abs({a} / {n}::double - {b} / {m}::double) > {z} * sqrt({both.format(a=a, b=b, n=n, m=m)} * (1 - {both.format(a=a, b=b, n=n, m=m)}) * (1 / {n}::double + 1 / {m}::double)))"
+    odd = f"({differs('sk', 'sn', '(ak-sk)', '(an-sn)')} or {differs('sr', 'sk', '(ar-sr)', '(ak-sk)')})"
+    step = lambda chosen: f"case when seg is null then '' when not open then '/**' {chosen} else '/*' end"
+    return f"""with recursive u as (select page_id, translate(coalesce(regexp_extract(url, {part}, 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host, coalesce(regexp_extract(url, {part}, 2), '') as path from pages),
  f as (select *, {rule} as found from u),
- t0 as (select host, path, string_split(regexp_replace(path, '^/', ''), '/') as parts, count(*) as n, count(found) as k, count(*) filter (found like '%|block') as r, '' as template, '' as branch from f group by 1,2),
- {', '.join(levels)},
- g as (select host, path, template || {tail} as template, branch || {tail} as branch, k, r from t{depth}),
- b as (select host, branch, (sum(r) + {weight * prior}) / (sum(k) + {weight}) as purity from g group by 1,2)
- select f.page_id, f.host, f.path, split_part(f.found, '|', 1) as rule, case when f.found is not null then split_part(f.found, '|', 2) when b.purity >= {reject} then 'block' else 'allow' end as verdict, g.template, b.purity
+ t as (select host, path, string_split(regexp_replace(path, '^/', ''), '/') as parts, count(*)::bigint as n, count(found)::bigint as k, count(*) filter (found like '%|block')::bigint as r, 0 as level, '' as template, '' as branch, false as ended from f group by 1,2,3
+  union all select host, path, parts, n, k, r, level + 1, template || {step("when frequent or odd then '/' || seg")}, branch || {step(f"when odd or (frequent and sk < {least_count}) then '/' || seg when frequent then '/+'")}, seg is null or not open
+  from (select *, {odd} as odd, sn >= {least_share} * an and sn >= {least_count} as frequent, an >= {least_count} and ap > 1 as open from (
+   select *, sum(n) over s as sn, sum(k) over s as sk, sum(r) over s as sr, sum(n) over b as an, sum(k) over b as ak, sum(r) over b as ar, count(*) over b as ap
+   from (select *, parts[level + 1] as seg from t where not ended) window s as (partition by host, branch, seg), b as (partition by host, branch, seg is null)))),
+ g as (select * from t where ended),
+ b as (select host, branch, (sum(r) + {weight * prior}) / (sum(k) + {weight}) as purity, sum(k) >= {least_count} and sum(k) >= {least_labelled} * sum(n) as told from g group by 1,2)
+ select f.page_id, f.host, f.path, split_part(f.found, '|', 1) as rule, case when f.found is not null then split_part(f.found, '|', 2) when b.told and b.purity >= {reject} then 'block' else 'allow' end as verdict, g.template, b.purity
  from f join g on g.host = f.host and g.path = f.path join b on b.host = g.host and b.branch = g.branch"""
 
 
