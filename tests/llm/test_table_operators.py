@@ -254,3 +254,23 @@ def test_url_tree_learns_a_bad_branch(spark):
     got = {r["page_id"]: r for r in url_filter.judged(pages, labels, rules=()).collect()}
     assert all((r["verdict"] == "block") == (i % 3 == 0) for i, r in got.items())
     assert {r["template"] for r in got.values()} == {"/ads/*", "/news/*"}
+
+
+def test_url_tree_needs_evidence_and_has_no_depth_limit(spark):
+    """A bad branch below many levels is found; a few labels among many pages reject nothing; long and hot urls are judged."""
+    deep = [(i, f"http://site.org/a/b/c/d/e/{'ads' if i % 3 == 0 else 'news'}/{i}") for i in range(300)]
+    few = [(1000 + i, f"http://many.org/p{i}/x") for i in range(200)]
+    rest = [(2000, "http://long.org/" + "s/" * 3000), (2001, "http://long.org/t"), *[(3000 + i, "http://hot.org/one/page/again") for i in range(400)]]
+    pages = spark.createDataFrame(deep + few + rest, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] + [(1000 + i, 1) for i in range(6)], "page_id long, reject int")
+    got = {r["page_id"]: r for r in url_filter.judged(pages, labels, rules=()).collect()}
+    assert len(got) == pages.count()
+    assert all((got[i]["verdict"] == "block") == (i % 3 == 0) for i, _ in deep) and {got[i]["template"] for i, _ in deep} == {"/a/b/c/d/e/ads/*", "/a/b/c/d/e/news/*"}
+    assert all(got[i]["verdict"] == "allow" for i, _ in few[6:]) and all(got[i]["verdict"] == "allow" for i, _ in rest)
+
+
+def test_url_rules_reject_no_neighbours(spark):
+    """Rare es and fr pages of a host, which rules block, say nothing about the pages beside them."""
+    rows = [(i, f"http://a.net/{'es' if i < 3 else 'fr' if i < 6 else f'w{i}'}/{i}") for i in range(400)]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(6))

@@ -12,6 +12,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from touchline.llm import byte_bpe, quality, repetition, secret_scan, token_counts, toxicity
 from touchline.llm.trigrams import trigram_query
 
@@ -250,3 +252,16 @@ def test_quality_of_rows_that_do_not_vary(spark):
     texts = ["same words here"] * 5 + [f"text {'word ' * i} end. {i}" for i in range(5)]
     got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs_of(texts), labels([1] * 5 + [0] * 5)).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and min(got[i] for i in range(5)) > max(got[i] for i in range(5, 10))
+
+
+def test_toxicity_settings_come_from_training_rows(spark):
+    """Labels of held-out rows change neither the settings nor the weights; the choice has the least loss of the grid."""
+    docs, labels, _ = toxic_corpus(spark)
+    held_out = F.pmod(F.col("doc_id"), F.lit(5)) == 0
+    flipped = labels.withColumn("toxic", F.when(held_out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.trained(docs, labels, held_out) == toxicity.trained(docs, flipped, held_out)
+    rows = toxicity.label_rows(labels, "toxic")
+    useless, useful = (0.001, 50.0, 10.0), (1.0, 1.0, 0.1)
+    chosen = toxicity.choose(docs, rows, toxicity.Settings(), (useless, useful))
+    assert (chosen.alpha, chosen.l1, chosen.l2) == useful
+    assert toxicity.choose(docs, rows.limit(0)) == toxicity.Settings()

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts may be long, so Arrow hands them over in batches of few rows."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long, so Arrow hands them over in batches of few rows and few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, handed to Python in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -75,9 +75,8 @@ class Gap:
 
 def _histogram(keys: DataFrame, gaps: list[Gap], probes: int) -> dict[int, list]:
     """Exact bytes, rows and key ranges between the candidate boundaries of every gap, in key order."""
-    gap, place = F.lit(None).cast("int"), F.lit(None).cast("long")
-    for i, g in enumerate(gaps):
-        gap, place = F.when(g.holds(), i).otherwise(gap), F.when(g.holds(), g.bin(probes)).otherwise(place)
+    gap = F.coalesce(*[F.when(g.holds(), F.lit(i)) for i, g in enumerate(gaps)], F.lit(None).cast("int"))
+    place = F.coalesce(*[F.when(g.holds(), g.bin(probes)) for g in gaps], F.lit(None).cast("long"))
     ends = [f(k).alias(f"{f.__name__}_{k}") for k in KEYS for f in (F.min, F.max)]
     counted = keys.select("size", *KEYS, gap.alias("gap"), place.alias("bin")).where("gap is not null")
     found: dict[int, list] = {i: [] for i in range(len(gaps))}
@@ -122,13 +121,15 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.005, probes: in
 
 def shard_of(bounds: list[tuple[int, ...]]) -> Column:
     """The number of boundaries that are not above the key."""
-    total = F.lit(0)
+    if not bounds:
+        return F.lit(0)
+    passed = []
     for bound in bounds:
         above = F.lit(True)
         for name, value in reversed(list(zip(KEYS, bound))):
             above = (F.col(name) > value) | ((F.col(name) == value) & above)
-        total = total + above.cast("int")
-    return total
+        passed.append(above)
+    return F.size(F.filter(F.array(*passed), lambda above: above))
 
 
 def placed(keys: DataFrame, bounds: list[tuple[int, ...]], rows: int, cell: int = 20_000) -> DataFrame:

@@ -11,7 +11,7 @@ from touchline.llm import jaccard_join as join
 from touchline.llm import mixing as mix
 from touchline.llm import secret_scan
 from touchline.llm import toxicity as toxic
-from touchline.llm.common import table
+from touchline.llm.common import bounded_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bounded_batches(spark)
     return join.representatives(docs.select(*COLUMNS), length=5, percent=80)
 
 
@@ -41,5 +41,5 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text with the digests of ids and decoded bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bounded_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("source",))

@@ -7,7 +7,11 @@ part keeps the weight of a feature at exactly zero until its summed gradient exc
 non-zero weights leave the training task; their number is bounded by the ``2**bits`` coordinates, so
 that they can be broadcast whatever the size of the corpus. Scoring is a projection without shuffle.
 
-Bound of the sample: ``max_rows`` labelled documents (all, if fewer), chosen by a hash of the id.
+Learning rate and regularisation are chosen among ``GRID`` by the log loss on a part of the training rows that the
+tries do not learn from; rows that are held out take no part in it.
+
+Bounds of the samples: ``max_rows`` labelled documents (all, if fewer) for training and ``TRY_ROWS`` for the choice of
+settings, taken by a hash of the id.
 
 Defined results: null or empty text has no features and gets the score of the bias; with no labelled
 rows every score is 0.5; label rows that are null are ignored, repeated ones count once (the larger
@@ -17,7 +21,7 @@ value); repeated documents are scored each; other columns are ignored.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,6 +47,11 @@ class Settings:
     max_rows: int = 16_384
 
 
+#: Settings tried (alpha, l1, l2), rows that each try learns from and is judged on, and the share of those that judge.
+GRID = tuple((alpha, l1, l2) for alpha in (0.5, 1.0, 2.0, 4.0) for l1 in (1.0, 4.0) for l2 in (0.1,))
+TRY_ROWS, JUDGES = 4_096, 4
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen so far (bounded)."""
 
@@ -91,29 +100,77 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def _learn(frame: pd.DataFrame, model: Ftrl, hashes: WordHashes) -> None:
+    """One pass over the rows (text, y) of a frame, in their order."""
+    for a, b in chunks(frame):
+        part = frame.iloc[a:b]
+        at, owner = features(part["text"], hashes, model.s.bits)
+        order = np.argsort(owner, kind="stable")
+        at, cuts = at[order], np.searchsorted(owner[order], np.arange(1, len(part)))
+        for own, y in zip(np.split(at, cuts), part["y"]):
+            model.learn(np.unique(own), y)
+
+
+def _margins(texts: pd.Series, dense: np.ndarray, bias: float, hashes: WordHashes, bits: int) -> np.ndarray:
+    """The weighted sum of each text's distinct features."""
+    frame, out = pd.DataFrame({"text": texts}), np.zeros(len(texts))
+    for a, b in chunks(frame):
+        found, owner = features(texts.iloc[a:b], hashes, bits)
+        hit = np.flatnonzero(dense[found])
+        both = np.unique(owner[hit] << bits | found[hit])
+        out[a:b] = np.bincount(both >> bits, weights=dense[both & ((1 << bits) - 1)], minlength=b - a)
+    return out + bias
+
+
+def _sampled(labels: DataFrame, rows: int, most: int, seed: int) -> DataFrame:
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    return labels.where(spread < int(min(1.0, most / rows) * (1 << 40)))
+
+
+def choose(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), grid=GRID) -> Settings:
+    """The settings of ``grid`` with the least log loss on a part of ``labels`` (doc_id, y) that they did not learn from.
+
+    Every try is a task of its own over the same ``TRY_ROWS`` rows at most, one in ``JUDGES`` of which judges.
+    """
+    rows = labels.count()
+    if rows == 0:
+        return s
+    sample = text_of(docs).join(_sampled(labels, rows, TRY_ROWS, 43), "doc_id")
+    tries = sample.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+
+    def judge(frame: pd.DataFrame) -> pd.DataFrame:
+        number = int(frame["number"].iloc[0])
+        turn = pd.util.hash_array(frame["doc_id"].to_numpy(np.int64))
+        frame = frame.assign(turn=turn).sort_values(["turn", "doc_id", "text"])
+        judges = (frame["turn"] % np.uint64(JUDGES) == 0).to_numpy()
+        model, hashes = Ftrl(replace(s, alpha=grid[number][0], l1=grid[number][1], l2=grid[number][2])), WordHashes()
+        for epoch in range(s.epochs):
+            _learn(frame[~judges], model, hashes)
+        w = model.weights(np.arange(len(model.z)))
+        held = frame[judges]
+        m = np.clip(_margins(held["text"], w[:-1], w[-1], hashes, s.bits), -35, 35)
+        loss = float(np.logaddexp(0, np.where(held["y"] == 1, -m, m)).sum())
+        return pd.DataFrame({"number": [number], "loss": [loss]})
+
+    found = tries.groupBy("number").applyInPandas(judge, "number int, loss double").collect()  # one row for each try
+    alpha, l1, l2 = grid[min(found, key=lambda r: (round(r["loss"], 6), r["number"]))["number"]] if found else (s.alpha, s.l1, s.l2)
+    return replace(s, alpha=alpha, l1=l1, l2=l2)
+
+
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[int, float]:
     """Non-zero weights by coordinate (``BIAS`` for the bias). ``labels``: doc_id, y."""
     rows = labels.count()
     if rows == 0:
         return {}
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 40))
-    chosen = labels.where(spread < int(min(1.0, s.max_rows / rows) * (1 << 40)))
-    sample = text_of(docs).join(chosen, "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(s.epochs))))
+    sample = text_of(docs).join(_sampled(labels, rows, s.max_rows, 41), "doc_id").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(s.epochs))))
     # One task, because each step depends on the one before; its input is bounded by max_rows.
     ordered = sample.repartition(1).sortWithinPartitions("turn", F.xxhash64("doc_id", "turn"), "doc_id", "text")
 
     def learn(frames):
         model, hashes = Ftrl(s), WordHashes()
         for frame in frames:
-            for a, b in chunks(frame):
-                part = frame.iloc[a:b]
-                at, owner = features(part["text"], hashes, s.bits)
-                order = np.argsort(owner, kind="stable")
-                at, cuts = at[order], np.searchsorted(owner[order], np.arange(1, len(part)))
-                for own, y in zip(np.split(at, cuts), part["y"]):
-                    model.learn(np.unique(own), y)
-        every = np.arange(len(model.z))
-        w = model.weights(every)
+            _learn(frame, model, hashes)
+        w = model.weights(np.arange(len(model.z)))
         at = np.flatnonzero(w)
         yield pd.DataFrame({"at": np.where(at == len(w) - 1, BIAS, at), "weight": w[at]})
 
@@ -130,19 +187,14 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = Settings.bits,
         at, value, bias = shared.value
         dense = np.zeros(1 << bits, np.float32)
         dense[at] = value
-        hashes, frame, out = WordHashes(), pd.DataFrame({"text": text}), np.zeros(len(text))
-        for a, b in chunks(frame):
-            found, owner = features(text.iloc[a:b], hashes, bits)
-            hit = np.flatnonzero(dense[found])
-            both = np.unique(owner[hit] << bits | found[hit])  # each feature counts once in a text
-            out[a:b] = np.bincount(both >> bits, weights=dense[both & ((1 << bits) - 1)], minlength=b - a)
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(out + bias, -35, 35))))
+        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(_margins(text, dense, bias, WordHashes(), bits), -35, 35))))
 
     scored = probability(F.coalesce(F.col("text"), F.lit("")))
     return docs.select(F.col("doc_id"), *keep, scored.alias("score"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, s: Settings = Settings()) -> dict[int, float]:
-    """Weights learnt from ``labels.toxic`` of the rows that are not held out."""
+    """Weights learnt from ``labels.toxic`` of the rows that are not held out, with settings chosen among those same rows."""
     rows = label_rows(labels, "toxic")
-    return train(docs, rows if held_out is None else rows.where(~held_out), s)
+    rows = rows if held_out is None else rows.where(~held_out)
+    return train(docs, rows, choose(docs, rows, s))
