@@ -9,7 +9,7 @@ from touchline.functions import geometry
 from touchline.functions.flags import with_flags
 from touchline.operators import sequences
 from touchline.operators.facts import SEASON
-from touchline.operators.ordering import ORDER, match_window
+from touchline.operators.ordering import ORDER, match_window, row_blocks
 
 
 def latest_locations(c: DataFrame, minute: float, also: list[str] | None = None) -> DataFrame:
@@ -37,22 +37,44 @@ def _reach(seconds: float, strict: bool = False) -> int:
     return int(seconds * SECOND) if strict else (int(seconds * 1000) + 1) * INDEXES
 
 
-def with_halo(df: DataFrame, seconds: float, block: float) -> DataFrame:
-    """Cut every period into blocks of the clock and lend each block the rows of the next one
-    that a look-ahead of ``seconds`` can reach (marked ``_halo``)."""
-    inside = f"clock_s - floor(clock_s / {block}) * {block} <= {seconds + 1}"
-    df = df.withColumn("_halo", F.explode(F.expr(f"if({inside}, array(false, true), array(false))")))
-    return df.withColumn("_block", F.expr(f"cast(floor(clock_s / {block}) as bigint) - cast(_halo as int)"))
-
-
 def following_in_blocks(
-    df: DataFrame, rules: dict[str, tuple[str, str, float]], payload: list[str], strict: bool = False, block: float = 60.0
+    df: DataFrame, rules: dict[str, tuple[str, str, float]], payload: list[str], strict: bool = False, rows: int = 50_000
 ) -> DataFrame:
-    """``following`` for logs whose matches have no size bound: no task sees more than one block
-    of the clock of one match, whatever share of the rows that match holds."""
-    reach = max(s for _, _, s in rules.values())
-    out = following(with_halo(df, reach, block), rules, payload, strict, ["match_id", "period", "_block"])
-    return out.where("not _halo").drop("_halo", "_block")
+    """``following`` for logs whose matches have no size bound: no task sees more than one range of about ``rows`` rows.
+
+    Inside a range the first later event that fits is a running minimum from its end. Beyond it, a range hands back two
+    events for each rule: its first one that fits, and its first one later than the range's first key, in case the row
+    that asks, and the range, begin at the same moment. A row before the last key of its range may take any of a
+    later range; a row at that key only what is later still.
+    """
+    df = row_blocks(df.withColumn("_key", F.expr(CLOCK_KEY if strict else ORDER_KEY)), ["period", "_key", "event_index"], rows)
+    item, by = F.struct("clock_s", "event_index", *payload), ["match_id", "period", "_block"]
+    fits = {}
+    for name, (mask, whose, _) in rules.items():
+        sides = {"any": "true"} if whose == "any" else {s: f"team_side = '{s}'" for s in ("home", "away")}
+        fits.update({f"{name}_{side}": F.when(F.expr(f"({mask}) and {test}"), item) for side, test in sides.items()})
+    late = Window.unboundedPreceding, -1
+    inside = Window.partitionBy(*by).orderBy(F.desc("_key")).rangeBetween(*late)
+    df = df.withColumns({f"_in_{n}": F.min(c).over(inside) for n, c in fits.items()}).withColumn("_low", F.min("_key").over(Window.partitionBy(*by)))
+    ends = df.groupBy(*by).agg(
+        F.max("_key").alias("_high"), *[F.struct(F.min_by("_key", c).alias("key"), F.min(c).alias("item")).alias(f"a_{n}") for n, c in fits.items()],
+        *[F.struct(F.min_by("_key", F.when(F.col("_key") > F.col("_low"), c)).alias("key"), F.min(F.when(F.col("_key") > F.col("_low"), c)).alias("item")).alias(f"b_{n}") for n, c in fits.items()])
+    asked = [F.struct(F.col("_high").alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(ends.schema[f"a_{next(iter(fits))}"].dataType["item"].dataType).alias("item"))]
+    told = [F.struct(F.col(f"{k}_{n}.key").alias("key"), F.lit(n).alias("name"), F.col(f"{k}_{n}.item").alias("item")) for n in fits for k in "ab"]
+    line = ends.select(*by, F.explode(F.array(*asked, *told)).alias("e")).where("e.key is not null").select(*by, "e.*")
+    after = Window.partitionBy("match_id", "period").orderBy(F.desc("key"))
+    here = lambda n, w: F.min(F.when(F.col("name") == n, F.col("item"))).over(w)
+    line = line.withColumns({f"_from_{n}": here(n, after.rangeBetween(Window.unboundedPreceding, 0)) for n in fits} | {f"_past_{n}": here(n, after.rangeBetween(*late)) for n in fits})
+    carried = line.where("name is null").select(*by, F.col("key").alias("_high"), *[f"_{k}_{n}" for n in fits for k in ("from", "past")])
+    df = df.join(carried, by)
+    found = {n: F.coalesce(f"_in_{n}", F.when(F.col("_key") < F.col("_high"), F.col(f"_from_{n}")).otherwise(F.col(f"_past_{n}"))) for n in fits}
+    home, out = F.col("team_side") == "home", {}
+    for name, (_, whose, seconds) in rules.items():
+        first, second = ("home", "away") if whose == "own" else ("away", "home")
+        event = found[f"{name}_any"] if whose == "any" else F.when(home, found[f"{name}_{first}"]).otherwise(found[f"{name}_{second}"])
+        out[name] = F.when(event["clock_s"] - F.col("clock_s") <= seconds, event)
+    helpers = ["_key", "_low", "_high", "_block", *[f"_{k}_{n}" for n in fits for k in ("in", "from", "past")]]
+    return df.withColumns(out).drop(*helpers)
 
 
 def following(

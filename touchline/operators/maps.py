@@ -181,6 +181,22 @@ def match_value_breakdown(valued: DataFrame) -> DataFrame:
     ).withColumn("share", share("positive_xt", MT))
 
 
+_OPEN_MOVE = "_move and not f_set_piece"
+
+
+def top_actions(valued: DataFrame, k: int = 35) -> DataFrame:
+    """The ``k`` most valuable open play movements of each team in a match, with where they start and end."""
+    df = valued.where(_OPEN_MOVE).where("positive_xt > 0")
+    df = df.select(*MT, "event_index", "expanded_minute", "player", "action_type", *[F.expr(f"least(greatest({c}, 0D), 100D)").alias(c) for c in ("x", "y", "end_x", "end_y")], "positive_xt")
+    return top_per_group(df, MT, [F.round("positive_xt", 9).desc(), F.col("event_index")], k)
+
+
+def top_players(valued: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` players of each team in a match whose open play movements add most value."""
+    df = valued.where(_OPEN_MOVE).groupBy(*MT, "player").agg(F.sum("positive_xt").alias("total_xt"), F.count("*").alias("actions")).where("round(total_xt, 9) > 0")
+    return top_per_group(df, MT, [F.round("total_xt", 9).desc(), F.col("player")], k)
+
+
 def touch_points(c: DataFrame, k: int | None = None) -> DataFrame:
     """Located touches of each team in match order, all or the first k."""
     df = c.where("is_touch and x is not null and y is not null")

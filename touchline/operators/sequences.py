@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.flags import with_flags
-from touchline.operators.ordering import clock_block, match_window, running_in_blocks
+from touchline.operators.ordering import ORDER, match_window, numbered_in_blocks, row_blocks, running_in_blocks
 
 # Event kinds that interrupt play, and kinds a carry starts from or ends in.
 INTERRUPT = "substitution|formation|card|start|end|offsidegiven|foul"
@@ -23,11 +23,9 @@ def event_index(log: DataFrame) -> DataFrame:
     return df.withColumn("event_uid", F.concat_ws("::", "match_id", "row_index", "team_key"))
 
 
-def event_index_in_blocks(log: DataFrame) -> DataFrame:
+def event_index_in_blocks(log: DataFrame, rows: int = 50_000) -> DataFrame:
     """The same index for logs whose matches have no size bound."""
-    df = running_in_blocks(
-        log, ["match_id"], ["period", "expanded_minute", "event_index"], clock_block(), {"_pos": F.lit(1)}
-    )
+    df = numbered_in_blocks(log, ["match_id"], {}, "true", "_pos", rows)
     df = df.withColumn("row_index", F.expr("cast(_pos - 1 as int)")).drop("_pos")
     return df.withColumn("event_uid", F.concat_ws("::", "match_id", "row_index", "team_key"))
 
@@ -141,16 +139,10 @@ def possessions(f: DataFrame) -> DataFrame:
     return df.drop("_before", "_new")
 
 
-def possessions_in_blocks(f: DataFrame) -> DataFrame:
-    """Possession numbers without a whole match in one task: previous row first, then the
-    running count of changes, both across clock blocks."""
-    order = ["period", "expanded_minute", "event_index"]
-    df = running_in_blocks(
-        f, ["match_id"], order, clock_block(), previous={"_prev_period": "period", "_prev_team": "team"}
-    )
-    new = F.expr("cast(_prev_period is null or _prev_period <> period or _prev_team <> team as int)")
-    df = running_in_blocks(df.withColumn("_new", new), ["match_id"], order, clock_block(), {"possession_id": F.col("_new")})
-    return df.drop("_prev_period", "_prev_team", "_new")
+def possessions_in_blocks(f: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Possession numbers without a whole match in one task."""
+    new = "_prev_period is null or _prev_period <> period or _prev_team <> team"
+    return numbered_in_blocks(f, ["match_id"], {"_prev_period": "period", "_prev_team": "team"}, new, "possession_id", rows)
 
 
 def season_chains(log: DataFrame) -> DataFrame:
@@ -161,6 +153,11 @@ def season_chains(log: DataFrame) -> DataFrame:
     return df.withColumn("chain_id", F.sum("_new").over(w)).drop("_before", "_new")
 
 
+def season_chains_in_blocks(log: DataFrame, rows: int = 50_000) -> DataFrame:
+    new = "_prev_team is null or _prev_team <> team_key"
+    return numbered_in_blocks(log, ["match_id"], {"_prev_team": "team_key"}, new, "chain_id", rows)
+
+
 def attack_chains(c: DataFrame, gap: float = 15.0, per_team: bool = False) -> DataFrame:
     """Break on period or team change, on a longer gap, and at a stoppage on either side.
 
@@ -176,6 +173,13 @@ def attack_chains(c: DataFrame, gap: float = 15.0, per_team: bool = False) -> Da
     return df.withColumn("attack_chain_id", F.sum(F.col("_new").cast("int")).over(w)).drop("_b", "_new", "_halt")
 
 
+def attack_chains_in_blocks(c: DataFrame, gap: float = 15.0, per_team: bool = False, rows: int = 50_000) -> DataFrame:
+    df = with_flags(c, _halt=f"concat(type_c, outcome_c) rlike '{STOPPAGE}'")
+    before = {"_prev_period": "period", "_prev_team": "team_key", "_prev_clock": "clock_s", "_prev_halt": "_halt"}
+    new = f"_prev_period is null or _prev_period <> period or _prev_team <> team_key or clock_s - _prev_clock > {gap} or _halt or _prev_halt"
+    return numbered_in_blocks(df, ["match_id", "team_key"] if per_team else ["match_id"], before, new, "attack_chain_id", rows).drop("_halt")
+
+
 def team_action_chains(prepared: DataFrame, gap: float = 10.0) -> DataFrame:
     """Ball actions of one team; a new chain after a longer gap or at a new period."""
     df = prepared.where("(is_chain_action or box_entry or final_third_entry) and x is not null")
@@ -185,6 +189,12 @@ def team_action_chains(prepared: DataFrame, gap: float = 10.0) -> DataFrame:
     return df.withColumn("chain_id", F.sum(F.col("_new").cast("int")).over(w)).drop("_b", "_new")
 
 
+def team_action_chains_in_blocks(prepared: DataFrame, gap: float = 10.0, rows: int = 50_000) -> DataFrame:
+    df = prepared.where("(is_chain_action or box_entry or final_third_entry) and x is not null")
+    new = f"_prev_period is null or _prev_period <> period or clock_s - _prev_clock not between 0 and {gap}"
+    return numbered_in_blocks(df, ["match_id", "team_key"], {"_prev_period": "period", "_prev_clock": "clock_s"}, new, "chain_id", rows)
+
+
 def score_state(c: DataFrame) -> DataFrame:
     """Home and away goals before and after each event."""
     w = match_window()
@@ -201,10 +211,7 @@ def score_state(c: DataFrame) -> DataFrame:
     return out
 
 
-def score_state_in_blocks(c: DataFrame) -> DataFrame:
+def score_state_in_blocks(c: DataFrame, rows: int = 50_000) -> DataFrame:
     goals = {s: F.expr(f"cast(is_goal and team_side = '{s}' as int)") for s in ("home", "away")}
-    out = running_in_blocks(
-        c, ["match_id"], ["period", "expanded_minute", "event_index"], clock_block(),
-        {f"{s}_after": g for s, g in goals.items()},
-    )
+    out = running_in_blocks(row_blocks(c, rows=rows), ["match_id"], ORDER, {f"{s}_after": g for s, g in goals.items()}).drop("_block")
     return out.withColumns({f"{s}_before": F.col(f"{s}_after") - g for s, g in goals.items()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from touchline.functions import flags, geometry, shots
 
 #: A grid is trained for each league season, so that one league's values do not move with another's.
 LEAGUE = ["nation", "tier", "season"]
-#: The fixed point is reached when no zone moves by more than this; rounds at most, for grids that never settle.
-TOLERANCE, MOST_ROUNDS = 1e-13, 20_000
+#: A grid of its own for each match, for the value of play within it.
+MATCH = ["match_id"]
 _MOVE = "(f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start >= 0 and zone_end >= 0"
 
 
@@ -58,50 +60,61 @@ def zone_model(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
     )
 
 
-def solve_zones(cells: DataFrame, scope: list[str] | None = None, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
-    """Fixed point of x = shot * goal + move * T x over the grid, one row per zone.
+def _solve(frame: pd.DataFrame) -> np.ndarray:
+    """The values of one grid: the least solution of x = payoff + moves x that is nowhere negative, by elimination.
 
-    Rounds go on until no zone changes by more than ``tolerance``.
-
-    The grid is a constant (192 zones, at most 36,864 transitions per scope), so each scope
-    is one row of arrays and the rounds run inside one expression - no lineage grows.
+    Zones from which play never reaches a payoff are worth 0; among the others every zone leads to one that play
+    leaves, so the system has one solution.
+    """
+    start, end = frame["zone_start"].to_numpy(), frame["zone_end"].to_numpy()
+    counts = {c: np.bincount(start, frame[c].to_numpy(float), geometry.ZONES) for c in ("actions", "shots", "goals")}
+    actions, shots_ = np.maximum(counts["actions"], 1), np.maximum(counts["shots"], 1)
+    payoff = counts["shots"] / actions * (counts["goals"] / shots_)
+    move = np.zeros((geometry.ZONES, geometry.ZONES))
+    at = end >= 0
+    np.add.at(move, (start[at], end[at]), frame["moves"].to_numpy(float)[at])
+    worth, leads = payoff > 0, move > 0
+    while (more := worth | (leads[:, worth].any(1))).sum() > worth.sum():
+        worth = more
+    x, own = np.zeros(geometry.ZONES), np.flatnonzero(worth)
+    x[own] = np.linalg.solve(np.eye(len(own)) - move[np.ix_(own, own)] / actions[own, None], payoff[own])
+    return np.clip(x, 0.0, 1.0)
+
+
+def solve_grids(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The 192 zone values of every scope as one array ``grid``: x = shot * goal + move * T x, solved exactly.
+
+    The grid is a constant (192 zones, at most 36,864 transitions per scope), so a group is bounded whatever the number
+    of events behind it; leagues, or single matches, are solved side by side.
     """
     scope = scope or []
-    zone = cells.groupBy(*scope, "zone_start").agg(
-        *[F.sum(c).alias(c) for c in ("actions", "shots", "goals")],
-        F.collect_list(F.when(F.col("zone_end") >= 0, F.struct("zone_end", "moves"))).alias("targets"),
-    )
-    zone = zone.withColumns(
-        {
-            "payoff": F.expr("if(shots > 0, shots / cast(actions as double) * (goals / cast(shots as double)), 0D)"),
-            "targets": F.expr("transform(targets, t -> named_struct('to', t.zone_end, 'p', t.moves / cast(actions as double)))"),
-        }
-    )
-    packed = zone.groupBy(*scope).agg(
-        F.map_from_entries(F.collect_list(F.struct("zone_start", F.struct("payoff", "targets")))).alias("zones")
-    )
-    dense = packed.withColumn("zones", F.expr(f"transform(sequence(0, {geometry.ZONES - 1}), i -> zones[i])"))
-    step = (
-        "transform(zones, z -> coalesce(z.payoff + aggregate(z.targets, 0D, (s, t) -> s + t.p * element_at(v, t.to + 1)), 0D))"
-    )
-    # State: the values and the largest change of the last round; a settled state passes on as it is.
-    begin = f"named_struct('v', cast(array_repeat(0D, {geometry.ZONES}) as array<double>), 'moved', 1D)"
-    turn = f"transform(array(cast({step} as array<double>)), w -> named_struct('v', w, 'moved', array_max(zip_with(w, v, (a, b) -> abs(a - b)))))[0]"
-    turn = f"transform(array(s.v), v -> {turn})[0]"
-    solved = dense.withColumn("xt", F.expr(f"aggregate(sequence(1, {most}), {begin}, (s, i) -> if(s.moved <= {tolerance}, s, {turn})).v"))
-    return solved.select(*scope, F.posexplode("xt").alias("zone", "xt")).withColumn(
-        "xt", F.expr("least(greatest(xt, 0D), 1D)")
-    )
+    kinds = "".join(f"{c} {cells.schema[c].dataType.simpleString()}, " for c in scope)
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key[: len(scope)], _solve(frame))], columns=[*scope, "grid"])
+
+    by = scope or [F.lit(0).alias("_all")]
+    return cells.groupBy(*by).applyInPandas(solve, f"{kinds}grid array<double>")
+
+
+def solve_zones(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The same, one row per zone."""
+    return solve_grids(cells, scope).select(*(scope or []), F.posexplode("grid").alias("zone", "xt"))
+
+
+def _with_grid(df: DataFrame, grid: DataFrame, scope: list[str]) -> DataFrame:
+    """``df`` with the array ``grid`` of its scope, by one join; rows per zone are packed first."""
+    if "grid" not in grid.columns:
+        packed = F.transform(F.array_sort(F.collect_list(F.struct("zone", "xt"))), lambda z: z["xt"])
+        grid = grid.groupBy(*scope).agg(packed.alias("grid"))
+    return df.join(grid, scope, "left") if scope else df.crossJoin(grid)  # without scope there is one grid
 
 
 def value_actions(f: DataFrame, grid: DataFrame, scope: list[str] | None = LEAGUE) -> DataFrame:
     """xt_added = value at the end minus value at the start, for successful moves (set pieces included)."""
-    scope = scope or []
-    df = with_zones(f).where(_MOVE)
-    start = grid.select(*scope, F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start"))
-    end = grid.select(*scope, F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end"))
-    df = df.join(start, [*scope, "zone_start"]).join(end, [*scope, "zone_end"])
-    return df.withColumn("xt_added", F.expr("xt_end - xt_start"))
+    df = _with_grid(with_zones(f).where(_MOVE), grid, scope or []).where("grid is not null")
+    df = df.withColumns({"xt_start": F.expr("element_at(grid, zone_start + 1)"), "xt_end": F.expr("element_at(grid, zone_end + 1)")})
+    return df.withColumn("xt_added", F.expr("xt_end - xt_start")).drop("grid")
 
 
 def attach_values(prepared: DataFrame, grid: DataFrame, scope: list[str] | None = LEAGUE) -> DataFrame:
@@ -111,17 +124,12 @@ def attach_values(prepared: DataFrame, grid: DataFrame, scope: list[str] | None
     ``league_xt_added`` and ``positive_league_xt`` are those of the league scope, with set pieces. All are 0
     where the row is not a successful move.
 
-    ``grid`` comes from ``solve_zones`` over the log: training reads plain event rows, so it is
-    a projection and one partial aggregation, without the windows behind ``prepared``. It has 192 rows
-    per league season; whether that is sent to every task is left to its measured size."""
-    scope = scope or []
-    f = with_zones(flags.flags_f(prepared))
-    df = (
-        f.withColumn("_move", F.expr(f"coalesce({_MOVE}, false)"))
-        .join(grid.select(*scope, F.col("zone").alias("zone_start"), F.col("xt").alias("xt_start")), [*scope, "zone_start"], "left")
-        .join(grid.select(*scope, F.col("zone").alias("zone_end"), F.col("xt").alias("xt_end")), [*scope, "zone_end"], "left")
-    )
-    df = df.withColumn("league_xt_added", F.expr("if(_move, xt_end - xt_start, 0D)"))
+    ``grid`` comes from ``solve_grids`` (or ``solve_zones``) over the log: training reads plain event rows, so it is
+    a projection and one partial aggregation, without the windows behind ``prepared``. It has one row
+    per league season (or match); whether that is sent to every task is left to its measured size."""
+    df = with_zones(flags.flags_f(prepared)).withColumn("_move", F.expr(f"coalesce({_MOVE}, false)"))
+    df = _with_grid(df, grid, scope or [])
+    df = df.withColumn("league_xt_added", F.expr("if(_move, element_at(grid, zone_end + 1) - element_at(grid, zone_start + 1), 0D)")).drop("grid")
     return df.withColumns(
         {
             "positive_league_xt": F.expr("greatest(league_xt_added, 0D)"),

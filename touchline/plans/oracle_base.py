@@ -35,13 +35,13 @@ def sql(body: str) -> str:
         visit(name)
     if not order:
         return body
-    lead = "WITH RECURSIVE " if "xtit" in order else "WITH "
+    lead = "WITH RECURSIVE " if {"xtit", "mit"} & set(order) else "WITH "
     parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALISED else ''}({CTES[n]})" for n in order]
     tail = ", " + body[5:] if body[:5].upper() == "WITH " else "\n" + body
     return lead + ",\n".join(parts) + tail
 
 
-MATERIALISED = {"log", "fc", "prep", "xtm", "pv", "pvp", "runs", "ochains"}
+MATERIALISED = {"log", "fc", "prep", "xtm", "mxt", "mpv", "pv", "pvp", "runs", "ochains"}
 
 _SHOTS = "('Goal','SavedShot','MissedShots','BlockedShot','ShotOnPost')"
 
@@ -318,9 +318,10 @@ cte("pf", f"""select *, case when f_carry then 'carry' when f_cross then 'cross'
   from (select *, {_FEXPR}, {_ZS} as zone_start, {_ZE} as zone_end from (select *, list_transform(qual_tags, lambda t: lower(t)) as tc from prep))""")
 cte("zf", f"""select *, coalesce((f_pass or f_carry) and f_success and end_x is not null and end_y is not null and zone_start>=0 and zone_end>=0,false) as f_move from (select *, {_ZS} as zone_start, {_ZE} as zone_end from ff)""")
 _L3 = "{a}.nation={b}.nation and {a}.tier={b}.tier and {a}.season={b}.season"
-cte("zcell", """select nation, tier, season, zone_start, case when f_move then zone_end else -1 end as zone_end, count(*) as actions,
+ZCELL = """select nation, tier, season, zone_start, case when f_move then zone_end else -1 end as zone_end, count(*) as actions,
   count(*) filter (f_move) as moves, count(*) filter (f_shot) as shots, count(*) filter (f_goal) as goals
-  from zf where zone_start>=0 and not f_set_piece group by all""")
+  from zf where zone_start>=0 and not f_set_piece group by all"""
+cte("zcell", ZCELL)
 cte("zrow", """select nation, tier, season, zone_start, sum(actions)::double as actions, sum(moves)::double as moves, sum(shots)::double as shots, sum(goals)::double as goals from zcell group by 1,2,3,4""")
 cte("zall", f"""select l.nation, l.tier, l.season, list({{p:case when r.shots>0 then r.shots/r.actions*(r.goals/r.shots) else 0 end, e:coalesce(g.e,[]), w:coalesce(g.w,[])}} order by i.i) as zs
   from (select distinct nation,tier,season from zrow) l cross join (select unnest(range(192))::int as i) i
@@ -334,3 +335,15 @@ cte("pv", f"""select *, case when f_set_piece then 0 else league_xt_added end as
   select p.*, case when f_move then e.xt-s.xt else 0 end as league_xt_added, case when f_move then greatest(e.xt-s.xt,0) else 0 end as positive_league_xt,
   case when p.is_shot then l.xg else 0 end as xg
   from pf p left join xtm s on s.zone=p.zone_start and {_L3.format(a='s', b='p')} left join xtm e on e.zone=p.zone_end and {_L3.format(a='e', b='p')} left join logx l on l.event_id=p.event_id)""")
+# The same grids with the match as their scope; matches are short, so play may go round for long: more rounds.
+_OWN = lambda text: text.replace("nation, tier, season, zone_start", "match_id, zone_start")
+cte("mcell", _OWN(ZCELL))
+cte("mrow", """select match_id, zone_start, sum(actions)::double as actions, sum(moves)::double as moves, sum(shots)::double as shots, sum(goals)::double as goals from mcell group by 1,2""")
+cte("mall", """select l.match_id, list({p:case when r.shots>0 then r.shots/r.actions*(r.goals/r.shots) else 0 end, e:coalesce(g.e,[]), w:coalesce(g.w,[])} order by i.i) as zs
+  from (select distinct match_id from mrow) l cross join (select unnest(range(192))::int as i) i left join mrow r on r.zone_start=i.i and r.match_id=l.match_id
+  left join (select c.match_id,c.zone_start,list(c.zone_end order by c.zone_end) as e,list(c.moves/r.actions order by c.zone_end) as w from mcell c join mrow r using(match_id,zone_start) where c.zone_end>=0 group by 1,2) g on g.zone_start=i.i and g.match_id=l.match_id group by 1""")
+cte("mit", """select match_id,0 as it, list_transform(range(192), lambda i: 0::double) as v from mall
+  union all select x.match_id,it+1, list_transform(a.zs, lambda z: z.p + coalesce(list_sum(list_transform(list_zip(z.e,z.w), lambda q: q[2]*x.v[q[1]+1])),0)) from mit x join mall a using(match_id) where it<120""")
+cte("mxt", "select match_id,(i-1)::int as zone, least(greatest(v[i],0),1) as xt from mit, (select unnest(range(1,193)) as i) where it=120")
+cte("mpv", """select *, case when f_set_piece then 0 else added end as xt_added, case when f_set_piece then 0 else greatest(added,0) end as positive_xt from (
+  select p.*, case when f_move then coalesce(e.xt,0)-coalesce(s.xt,0) else 0 end as added from pf p left join mxt s on s.zone=p.zone_start and s.match_id=p.match_id left join mxt e on e.zone=p.zone_end and e.match_id=p.match_id)""")

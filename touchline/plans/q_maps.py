@@ -293,6 +293,26 @@ def a50(t: Tables):
     return maps.match_value_breakdown(t.valued)
 
 
+_MM = "f_move and not f_set_piece"
+
+
+@query("a50_match_action_mix", f"select *, {_SH('positive_xt')} as share from (select match_id,team,action_type,count(*) as actions,sum(positive_xt) as positive_xt,sum(xt_added) as xt_added from mpv where {_MM} group by all)")
+def a50_mix(t: Tables):
+    return maps.match_value_breakdown(t.match_valued)
+
+
+@query("a50_match_top_actions", f"""select * from (select match_id,team,event_index,expanded_minute,player,action_type,least(greatest(x,0),100) as x,least(greatest(y,0),100) as y,least(greatest(end_x,0),100) as end_x,least(greatest(end_y,0),100) as end_y,positive_xt,
+ row_number() over (partition by match_id,team order by round(positive_xt,9) desc,event_index)::int as pos from mpv where {_MM} and positive_xt>0) where pos<=35""")
+def a50_actions(t: Tables):
+    return maps.top_actions(t.match_valued)
+
+
+@query("a50_match_top_players", f"""select * from (select *, row_number() over (partition by match_id,team order by round(total_xt,9) desc,player)::int as pos from (
+ select match_id,team,player,sum(positive_xt) as total_xt,count(*) as actions from mpv where {_MM} group by all) where round(total_xt,9)>0) where pos<=8""")
+def a50_players(t: Tables):
+    return maps.top_players(t.match_valued)
+
+
 @query("k02_capped_touch_points", "select * from (select match_id,team,event_index,x,y,row_number() over (partition by match_id,team order by period,expanded_minute,event_index)::int as pos from fc where is_touch and x is not null)")
 def k02(t: Tables):
     return maps.touch_points(t.c).select("match_id", "team", "event_index", "x", "y", "pos")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import sequences as seq
 from touchline.plans.oracle_base import cte
-from touchline.plans.registry import Tables, query
+from touchline.plans.registry import ORACLES, Tables, query
 
 _W = "partition by match_id order by period,expanded_minute,event_index"
 
@@ -63,6 +63,21 @@ cte("chains", chain_sql("fc", "match_id"))
 cte("ochains", chain_sql("pv", "match_id,team_key"))
 
 
+@query("w03_season_chains_in_blocks", ORACLES["w03_season_chains"])
+def w03_blocks(t: Tables):
+    return seq.season_chains_in_blocks(t.log).select("event_id", "chain_id")
+
+
+@query("w04_attack_chains_in_blocks", "select event_id, attack_chain_id from chains")
+def w04_blocks(t: Tables):
+    return seq.attack_chains_in_blocks(t.c).select("event_id", "attack_chain_id")
+
+
+@query("w05_team_action_chains_in_blocks", "select match_id,event_index,team,chain_id from tac")
+def w05_blocks(t: Tables):
+    return seq.team_action_chains_in_blocks(t.prep).select("match_id", "event_index", "team", "chain_id")
+
+
 @query("w04_attack_chains", "select event_id, attack_chain_id from chains")
 def w04(t: Tables):
     return seq.attack_chains(t.c).select("event_id", "attack_chain_id")

@@ -25,6 +25,16 @@ def m03(t: Tables):
     return t.grid
 
 
+@query("m03_match_grids", "select match_id,zone,xt from mxt")
+def m03_match(t: Tables):
+    return value.solve_zones(value.zone_cells(t.f, value.MATCH), value.MATCH)
+
+
+@query("j03_match_values", "select match_id,event_index,xt_added,positive_xt from mpv")
+def j03_match(t: Tables):
+    return t.match_valued.select("match_id", "event_index", "xt_added", "positive_xt")
+
+
 @query("m04_action_values", """select p.match_id,p.event_index,p.action_type,s.xt as xt_start,e.xt as xt_end,e.xt-s.xt as xt_added
  from pf p join xtm s on s.zone=p.zone_start and s.nation=p.nation and s.tier=p.tier and s.season=p.season join xtm e on e.zone=p.zone_end and e.nation=p.nation and e.tier=p.tier and e.season=p.season where f_move""")
 def m04(t: Tables):

@@ -92,19 +92,32 @@ class Tables:
         """Prepared events with shot and ball-movement values, stored for the session."""
         from touchline.operators import value
 
-        return self.kept("valued", lambda: value.attach_values(self.prep, self.grid))
+        return self.kept("valued", lambda: value.attach_values(self.prep, self.grids))
 
     @cached_property
     def moves(self) -> DataFrame:
         """The valued ball movements, as ``value.value_actions`` gives them."""
         return self.valued.where("_move").withColumn("xt_added", F.col("league_xt_added"))
 
+    @cached_property
+    def grids(self) -> DataFrame:
+        """Values of the 192 zones of each league season, an array a league."""
+        from touchline.operators import value
+
+        return self.kept("grids", lambda: value.solve_grids(value.zone_cells(self.f, value.LEAGUE), value.LEAGUE))
+
     @cached_property
     def grid(self) -> DataFrame:
-        """Value of the 192 zones of each league season."""
+        """The same, a row for each zone."""
+        return self.grids.select("nation", "tier", "season", F.posexplode("grid").alias("zone", "xt"))
+
+    @cached_property
+    def match_valued(self) -> DataFrame:
+        """Prepared events with ball movements valued by a grid of their own match; set pieces count nothing."""
         from touchline.operators import value
 
-        return value.solve_zones(value.zone_cells(self.f, value.LEAGUE), value.LEAGUE)
+        grids = value.solve_grids(value.zone_cells(self.f, value.MATCH), value.MATCH)
+        return self.kept("match_valued", lambda: value.attach_values(self.prep, grids, value.MATCH))
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -147,7 +160,7 @@ class TrainedTables(Tables):
     def valued(self) -> DataFrame:
         from touchline.operators import shot_models, value
 
-        return shot_models.with_scores(self.kept("valued", lambda: value.attach_values(self.prep, self.grid)), self.scores)
+        return shot_models.with_scores(self.kept("valued", lambda: value.attach_values(self.prep, self.grids)), self.scores)
 
     @cached_property
     def shots(self) -> DataFrame:
