@@ -318,11 +318,11 @@ def k02(t: Tables):
     return maps.touch_points(t.c).select("match_id", "team", "event_index", "x", "y", "pos")
 
 
-# shot sequences by walking back with a join: keep rows with no cut between them and the shot
+# shot sequences by walking back with a join: rows with as many cuts before them as the shot
 cte("sseq", """with r as (select *, ((regexp_matches(type_c,'start|end|substitution|formation|card|foul|offside|clearance') or regexp_matches(outcome_c,'unsuccessful|inaccurate|lost|offside')) and not is_set_piece) as brk from runs),
- k as (select *, lag(clock_s) over w as pc, lag(brk) over w as pb from r window w as (partition by match_id,run_id order by pos)),
- c as (select s.match_id,s.event_index as sidx,s.team,s.pos as sp,s.is_set_piece as sset,s.xg as sxg,s.is_goal as sgoal,s.clock_s as sclk,b.* exclude (match_id,team) from k s join k b on b.match_id=s.match_id and b.run_id=s.run_id and b.pos<s.pos and b.pos>=s.pos-9
-   where s.is_shot and not exists(select 1 from k z where z.match_id=s.match_id and z.run_id=s.run_id and z.pos>b.pos and z.pos<=s.pos and (z.clock_s-z.pc>15 or z.pb))),
+ l as (select *, lag(clock_s) over w as pc, lag(brk) over w as pb from r window w as (partition by match_id,run_id order by pos)),
+ k as (select *, sum(coalesce(clock_s-pc>15 or pb,false)::int) over (partition by match_id,run_id order by pos) as cuts from l),
+ c as (select s.match_id,s.event_index as sidx,s.team,s.pos as sp,s.is_set_piece as sset,s.xg as sxg,s.is_goal as sgoal,s.clock_s as sclk,b.* exclude (match_id,team) from k s join k b on b.match_id=s.match_id and b.run_id=s.run_id and b.cuts=s.cuts and b.pos<s.pos and b.pos>=s.pos-9 where s.is_shot),
  m as (select *, max(case when is_set_piece then pos end) over (partition by match_id,sidx) as lastset from c),
  f as (select * from m where not (sset and lastset is not null and pos<lastset)),
  g as (select match_id,sidx,count(*) as n,coalesce(sum(positive_xt) filter (not is_shot),0) as pre,min(clock_s) as c0,bool_or(is_set_piece) as anyset,bool_or(regexp_matches(type_c,'rebound|block|clearance|aerial')) as sb,arg_max(type_c,pos) as lt,arg_max(coalesce(x,0),pos) as lx,arg_max(coalesce(end_x,x,0),pos) as lex,arg_max(coalesce(y,50),pos) as ly,arg_max(coalesce(end_y,y,50),pos) as ley,
