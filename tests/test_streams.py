@@ -6,6 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from touchline import matchlog
+from touchline.functions.flags import flags_c
+from touchline.operators import sequences
 from touchline.streaming import pipelines
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -46,3 +49,21 @@ def test_score_over_several_batches(spark, events, tmp_path, order):
     folder = tmp_path / order
     folder.mkdir()
     assert score(put(spark, folder, parts), 1) == want
+
+
+@pytest.mark.parametrize("order", ["backward", "interleaved"])
+def test_chains_and_scores_at_every_event_over_several_batches(spark, events, tmp_path, order):
+    """Equal to the batch forms over the whole log, with a row that comes again."""
+    c = flags_c(matchlog.match_log(events))
+    get = lambda df, *cols: sorted(tuple(r) for r in df.select("match_id", F.col("event_index").cast("double"), *cols).collect())
+    cut = "event_id % 3" if order == "interleaved" else "event_id div 70"
+    numbers = sorted((r[0] for r in events.selectExpr(cut).distinct().collect()), reverse=order == "backward")
+    folder = put(spark, tmp_path, [*[events.where(f"{cut} = {i}") for i in numbers], events.where("event_id < 20")])
+    run = lambda stream, name: pipelines.latest_values(pipelines.run_to_table(stream, name))
+    chains = run(pipelines.attack_chains(pipelines.event_stream(spark, folder, 4)), "c")
+    assert get(chains, "attack_chain_id") == get(sequences.attack_chains(c), "attack_chain_id")
+    if order == "interleaved":
+        short = run(pipelines.attack_chains(pipelines.event_stream(spark, folder, 4), gap=10.0), "s")
+        assert get(short, "attack_chain_id") == get(sequences.attack_chains(c, 10.0), "attack_chain_id")
+    scores = run(pipelines.score_at_every_event(pipelines.event_stream(spark, folder, 4)), "e")
+    assert get(scores, "home_after", "away_after") == get(sequences.score_state(c), "home_after", "away_after")

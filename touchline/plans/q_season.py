@@ -118,6 +118,16 @@ def t05(t: Tables):
     return pipelines.latest_scores(pipelines.run_to_table(pipelines.score_state(pipelines.event_stream(t.spark, t.sf_dir)), "score"))
 
 
+@query("t03_stream_attack_chains", "select match_id,event_index::double as event_index,attack_chain_id from chains")
+def t03_chains(t: Tables):
+    return pipelines.latest_values(pipelines.run_to_table(pipelines.attack_chains(pipelines.event_stream(t.spark, t.sf_dir)), "stream-chains"))
+
+
+@query("t05_stream_score_at_events", "select match_id,event_index::double as event_index,home_after,away_after from score")
+def t05_events(t: Tables):
+    return pipelines.latest_values(pipelines.run_to_table(pipelines.score_at_every_event(pipelines.event_stream(t.spark, t.sf_dir)), "stream-event-scores"))
+
+
 @query("t06_refresh_trigger", "select 1::int as run,count(*) as rows from events union all select 2,0")
 def t06(t: Tables):
     return pipelines.refresh_runs(t.spark, t.sf_dir)

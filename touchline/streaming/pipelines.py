@@ -5,7 +5,7 @@ a table in the shared folder; a run with ``availableNow`` drains what has arrive
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline import matchlog
 from touchline.functions.flags import flags_b, flags_c
+from touchline.operators.sequences import STOPPAGE
 from touchline.session import scratch_dir
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -139,6 +140,84 @@ def latest_scores(stored: DataFrame) -> DataFrame:
     return newest.select("match_id", "event_index", "_r.home_after", "_r.away_after")
 
 
+# ------------------------------------------------------------------ values at every event
+
+#: What a match keeps of each event, and how its values are given: rows that are new or whose value has changed.
+KEPT = {"event_index": "double", "period": "bigint", "expanded_minute": "double", "clock_s": "double", "team_key": "string", "is_home": "boolean", "is_goal": "boolean", "halt": "boolean"}
+KEPT_STATE = ", ".join([*[f"{c} array<{kind}>" for c, kind in KEPT.items()], "latest bigint", "version bigint"])
+
+
+def _scores(rows: pd.DataFrame) -> pd.DataFrame:
+    """Home and away goals after each event; ``rows`` in match order."""
+    goal, home = rows["is_goal"].astype(bool), rows["is_home"].astype(bool)
+    return pd.DataFrame({"home_after": (goal & home).astype("int64").cumsum(), "away_after": (goal & ~home).astype("int64").cumsum()})
+
+
+def _attack_chains(gap: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Chain numbers: a new one at another period or team, after more than ``gap`` seconds, and at a stoppage on either side."""
+
+    def numbers(rows: pd.DataFrame) -> pd.DataFrame:
+        before, halt = rows.shift(1), rows["halt"].astype(bool)
+        new = (rows["period"] != before["period"]) | (rows["team_key"] != before["team_key"]) | (rows["clock_s"] - before["clock_s"] > gap) | halt | halt.shift(1, fill_value=False)
+        return pd.DataFrame({"attack_chain_id": new.astype("int64").cumsum()})
+
+    return numbers
+
+
+def _at_every_event(values: Callable[[pd.DataFrame], pd.DataFrame]):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the match is over
+            state.remove()
+            return
+        arrived = pd.concat(list(batches))
+        rows, latest, version, old = arrived[list(KEPT)], int(arrived["ms"].max()), 1, None
+        if state.exists:
+            *columns, before, version = state.get
+            known = pd.DataFrame(dict(zip(KEPT, columns)))
+            old = pd.concat([known[["event_index"]], values(known)], axis=1).set_index("event_index")
+            rows, latest, version = pd.concat([known, rows]), max(latest, before), version + 1
+        # The newest row of an event counts.
+        rows = rows.drop_duplicates("event_index", keep="last").sort_values(["period", "expanded_minute", "event_index"]).reset_index(drop=True)
+        state.update((*[rows[c].tolist() for c in KEPT], latest, version))
+        state.setTimeoutTimestamp(latest + LATE_MS)
+        now = values(rows)
+        changed = pd.Series(True, index=rows.index)
+        if old is not None:
+            changed = (old.reindex(rows["event_index"]).reset_index(drop=True) != now).any(axis=1)
+        yield pd.concat([rows[["event_index"]], now], axis=1)[changed].assign(match_id=key[0], version=version)
+
+    return update
+
+
+def at_every_event(events: DataFrame, values: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str]) -> DataFrame:
+    """``values`` of every event of a match, whatever the order in which files arrive.
+
+    A match keeps its events (a bounded number, a few columns of each) until ``LATE_DAYS`` have gone by; an event whose
+    value changes is given again with a higher ``version``, and ``latest_values`` shows the newest.
+    """
+    log = flags_c(log_with_time(events)).withWatermark("ts", f"{LATE_DAYS} days")
+    df = log.selectExpr("ts", "unix_millis(ts) as ms", "match_id", "cast(event_index as double) as event_index", "cast(period as bigint) as period",
+                        "cast(expanded_minute as double) as expanded_minute", "cast(clock_s as double) as clock_s", "team_key", "team_side = 'home' as is_home", "is_goal",
+                        f"concat(type_c, outcome_c) rlike '{STOPPAGE}' as halt")
+    out = ", ".join(["event_index double", *[f"{c} bigint" for c in columns], "match_id bigint", "version bigint"])
+    return df.groupBy("match_id").applyInPandasWithState(_at_every_event(values), out, KEPT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def score_at_every_event(events: DataFrame) -> DataFrame:
+    return at_every_event(events, _scores, ["home_after", "away_after"])
+
+
+def attack_chains(events: DataFrame, gap: float = 15.0) -> DataFrame:
+    return at_every_event(events, _attack_chains(gap), ["attack_chain_id"])
+
+
+def latest_values(stored: DataFrame) -> DataFrame:
+    """Newest values of each event (max combines map-side)."""
+    columns = [c for c in stored.columns if c not in ("match_id", "event_index", "version")]
+    newest = stored.groupBy("match_id", "event_index").agg(F.max(F.struct("version", *columns)).alias("_r"))
+    return newest.select("match_id", "event_index", *[F.col("_r")[c].alias(c) for c in columns])
+
+
 def refresh_runs(spark: SparkSession, sf_dir: str, runs: int = 2) -> DataFrame:
     """Rebuild only when sources changed: the file source's checkpoint remembers what it has
     read, so a second run over unchanged files writes nothing."""
