@@ -26,18 +26,34 @@ def model_status(features: DataFrame) -> DataFrame:
     )
 
 
-def _pca(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _components(frame: pd.DataFrame):
+    """Metrics in use, the two axes, their shares of the variance and the places of the teams; None where there are none."""
     values = frame[METRICS].astype(float).replace([np.inf, -np.inf], np.nan)
     use = [c for c in METRICS if values[c].count() >= 3 and values[c].std(ddof=0) > 0]
-    out = frame[TEAM].assign(pc1=np.nan, pc2=np.nan, pc1_variance=np.nan, pc2_variance=np.nan)
     if len(frame) < 3 or len(use) < 3:
-        return out
+        return None
     x = values[use].fillna(values[use].median()).fillna(0.0).to_numpy()
-    _, size, axes = np.linalg.svd((x - x.mean(0)) / x.std(0), full_matrices=False)
+    z = (x - x.mean(0)) / x.std(0)
+    _, size, axes = np.linalg.svd(z, full_matrices=False)
     # A component is free in its sign: its largest loading is positive.
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
-    pc, share = ((x - x.mean(0)) / x.std(0)) @ axes[:2].T, 100 * size**2 / (size**2).sum()
-    return out.assign(pc1=pc[:, 0], pc2=pc[:, 1], pc1_variance=share[0], pc2_variance=share[1])
+    return use, axes[:2], (100 * size**2 / (size**2).sum())[:2], z @ axes[:2].T
+
+
+def _pca(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    found = _components(frame)
+    if found is None:
+        return frame[TEAM].assign(pc1=np.nan, pc2=np.nan, pc1_variance=np.nan, pc2_variance=np.nan)
+    _, _, share, place = found
+    return frame[TEAM].assign(pc1=place[:, 0], pc2=place[:, 1], pc1_variance=share[0], pc2_variance=share[1])
+
+
+def _loadings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    found = _components(frame)
+    if found is None:
+        return pd.DataFrame({**{c: pd.Series(dtype=object) for c in (*SEASON, "metric")}, "pc1": pd.Series(dtype=float), "pc2": pd.Series(dtype=float)})
+    use, axes, _, _ = found
+    return pd.DataFrame({**{c: [v] * len(use) for c, v in zip(SEASON, key)}, "metric": use, "pc1": axes[0], "pc2": axes[1]})
 
 
 def pca_map(rows: DataFrame) -> DataFrame:
@@ -52,23 +68,33 @@ def pca_map(rows: DataFrame) -> DataFrame:
     return out.select(*TEAM, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("pc1", "pc2", "pc1_variance", "pc2_variance")])
 
 
-def _k_means(x: np.ndarray, k: int, starts: int = 12, seed: int = 7) -> np.ndarray:
-    """Lloyd's rounds until nothing moves, from ``starts`` k-means++ choices; the tightest one."""
-    rng, best = np.random.default_rng(seed), (np.inf, None)
-    for _ in range(starts):
-        centre = x[[rng.integers(len(x))]]
+def pca_loadings(rows: DataFrame) -> DataFrame:
+    """The weight of each metric in the two components of a league season; a league without components has no rows."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in SEASON)
+    df = rows.select(*TEAM, *[F.col(m).cast("double").alias(m) for m in METRICS])
+    return df.groupBy(*SEASON).applyInPandas(_loadings, f"{kinds}, metric string, pc1 double, pc2 double")
+
+
+def _k_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Lloyd's rounds until nothing moves, the tightest of one start from every row.
+
+    A start is a row and then, again and again, the row furthest from those chosen: no generator, so every run agrees.
+    Clusters are numbered in the order of their first rows.
+    """
+    best = (np.inf, None)
+    for start in range(len(x)):
+        centre = x[[start]]
         while len(centre) < k:
-            far = ((x[:, None] - centre) ** 2).sum(2).min(1)
-            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum() if far.sum() else None)]])
-        label = None
+            centre = np.vstack([centre, x[((x[:, None] - centre) ** 2).sum(2).min(1).argmax()]])
+        label, moved = None, ((x[:, None] - centre) ** 2).sum(2).argmin(1)
         while label is None or (label != moved).any():
-            label = ((x[:, None] - centre) ** 2).sum(2).argmin(1) if label is None else moved
+            label = moved
             centre = np.array([x[label == c].mean(0) if (label == c).any() else centre[c] for c in range(k)])
             moved = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
         spread = ((x - centre[label]) ** 2).sum()
-        if spread < best[0] - 1e-12:
+        if spread < best[0] - 1e-9:
             best = (spread, label)
-    return best[1]
+    return pd.factorize(best[1])[0]
 
 
 def _clusters(k: int | None):
@@ -96,3 +122,9 @@ def team_clusters(scores: DataFrame, k: int | None = None) -> DataFrame:
     kinds = [f"{c} {wide.schema[c].dataType.simpleString()}" for c in TEAM]
     schema = ", ".join(["cluster int", *kinds, *[f"{d} double" for d in dims], "label string"])
     return wide.groupBy(*SEASON).applyInPandas(_clusters(k), schema)
+
+
+def cluster_centroids(clusters: DataFrame) -> DataFrame:
+    """Per league season and cluster: label, its teams in order, and the mean of each score; ``clusters`` as ``team_clusters`` gives them."""
+    means = [F.avg(d).alias(d) for d in DIMENSIONS]
+    return clusters.where("cluster is not null").groupBy(*SEASON, "cluster", "label").agg(F.sort_array(F.collect_list("team")).alias("teams"), *means)

@@ -252,6 +252,16 @@ def m06(t: Tables):
     return models.team_clusters(league.dimension_scores(_rows(t)))
 
 
+@query("m05_pca_loadings")
+def m05_loadings(t: Tables):
+    return models.pca_loadings(_rows(t))
+
+
+@query("m06_cluster_centroids")
+def m06_centroids(t: Tables):
+    return models.cluster_centroids(models.team_clusters(league.dimension_scores(_rows(t))))
+
+
 @query("m01_shot_models")
 def m01(t: Tables):
     return shot_models.model_rows(value.shot_features(t.runs))
