@@ -33,6 +33,17 @@ def s01b(t: Tables):
     return tables.read_csv(t.spark, path, _HEADER)
 
 
+@query("s01_csv_files", """select event_id::varchar as event_id,'line'||chr(10)||'"'||event_type||'", end' as note,case when event_id%2=1 then user_id::varchar end as "user" from events""")
+def s01_files(t: Tables):
+    folder = scratch_dir(t.spark, "csv-files")
+    e = t.events.selectExpr("event_id", "concat('line\\n\"', event_type, '\", end') as note", "user_id as user")
+    options = {"header": True, "escape": '"', "quoteAll": True}
+    e.where("event_id % 2 = 0").select("event_id", "note").write.options(**options).csv(f"{folder}/two columns")
+    e.where("event_id % 2 = 1").select("note", "user", "event_id").write.options(**options).csv(f"{folder}/three")
+    rows, _ = tables.read_csv_files(t.spark, [folder])
+    return rows.select("event_id", "note", "user")
+
+
 _PATHS = """select case match_id%4 when 0 then 'root0/'||nation||'/'||tier||'/'||home_key||'/'||season||'.csv' when 1 then 'root1/'||nation||'/'||tier||'/'||home_key||'/'||season||'.csv' when 2 then 'root0/'||nation||'/'||tier||'/'||season||'.csv' else 'root0/'||nation||'/_old/'||home_key||'/'||season||'.csv' end as path,(match_id%4=1)::int as root_no from sched"""
 
 

@@ -49,6 +49,46 @@ def read_csv(spark: SparkSession, path: str, header: str) -> DataFrame:
     return parse_lines(lines, header)
 
 
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """uri, path, length, header (the first line, null for an empty file) and whether the text is valid UTF-8, of every file."""
+    uri = F.col("_metadata.file_path").alias("uri")
+    lines = spark.read.text(paths, recursiveFileLookup=True).select(uri, "value", F.monotonically_increasing_id().alias("_n"))
+    first = lines.groupBy("uri").agg(F.min_by("value", F.struct("_n")).alias("header"), F.min(F.is_valid_utf8("value")).alias("valid"))
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(uri, "path", "length")
+    return every.join(first, "uri", "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
+
+
+def read_csv_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of all files below ``paths`` and the mode each file was read in.
+
+    Files may have headers of their own: those that share one are read together, quote-aware, so that a quoted field may
+    hold line breaks, and the groups are united by column name. Short rows are padded with '', long rows cut to the
+    header, blank lines skipped. Modes: ``normal``; ``repaired_field_count`` where a row was too long;
+    ``python_skip_bad_lines`` where, besides, the text is not valid UTF-8, so that long rows are left out instead;
+    ``empty`` without a header (files of no bytes at all are not listed). Rows carry ``source_path``; the driver sees the distinct headers only.
+    """
+    files = cut_lineage(file_headers(spark, paths), "headers").withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+    named = files.where("trim(header) <> ''")
+    rows = None
+    for (header,) in named.select("header").distinct().orderBy("header").collect():
+        own = [r[0] for r in named.where(F.col("header") == header).select("path").collect()]
+        names = header_names(header)
+        schema = ", ".join(f"`{c}` string" for c in [*[f"c{i}" for i in range(len(names))], "_bad"])
+        df = spark.read.csv(own, schema=schema, header=True, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_bad")
+        bare = F.regexp_replace("_bad", '"[^"]*"', "")
+        long = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1 > len(names), F.lit(False))
+        df = df.select(F.col("_metadata.file_path").alias("uri"), *[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], long.alias("_long"))
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    if rows is None:
+        rows = spark.createDataFrame([], "uri string, _long boolean")
+    rows = cut_lineage(rows, "csv")  # parsed once, for the modes and for the rows
+    held = rows.groupBy("uri").agg(F.max("_long").alias("_long"))
+    mode = F.when(F.coalesce(F.trim("header"), F.lit("")) == "", "empty").when(~F.coalesce("_long", F.lit(False)), "normal").when(F.col("valid"), "repaired_field_count").otherwise("python_skip_bad_lines")
+    modes = files.join(held, "uri", "left").select("path", mode.alias("read_mode"))
+    kept = rows.join(files.select("uri", F.col("path").alias("source_path"), "valid"), "uri").where(F.col("valid") | ~F.col("_long"))
+    return kept.drop("uri", "valid", "_long"), modes
+
+
 # ------------------------------------------------------------------ discovery
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
