@@ -10,6 +10,7 @@ WITHOUT_SQL = {
     "op1_multiprobe_search": {"query_id", "rank", "vec_id", "score"}, "op3_quality": {"doc_id", "held_out", "score", "predicted"},
     "op4_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op6_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op7_source_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op9_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op11_histogram_shards": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op13_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
 }
 
 
