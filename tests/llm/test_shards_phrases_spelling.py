@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from touchline.llm import phrases, sharding, spelling, sql
+from touchline.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -197,6 +198,18 @@ def test_spelling_variants(spark):
     assert spelling.variants(table(spark, rows).limit(0)).count() == 0
 
 
+def test_spelling_broadcasts_nothing(spark):
+    """Files of few bytes stand for many signatures: no join may gather its side on the driver."""
+    words = cut_lineage(spark.range(400).selectExpr("concat('abcdefg', char(97 + id div 20), char(97 + id % 20)) as word", "id + 5 as n"), "words")
+    pairs = spelling.near_pairs(words)
+    variants = spelling.variants(words.selectExpr("n as doc_id", "repeat(concat(word, ' '), cast(n as int)) as text"))
+    ways = spelling.roots(words.selectExpr("word", "word as form"))
+    for df, rows in ((pairs, 400 * 38 // 2), (variants, 400), (ways, 400)):
+        assert len(df.collect()) == rows
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_words_share_a_signature(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyzàéÿÀ"

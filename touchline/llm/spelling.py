@@ -15,6 +15,8 @@ Scale: words are counted with partial aggregation, all in built-in functions; wh
 words that are frequent enough, dealt by signature. A signature never stands for pairs written out without a
 join, and the words of a text are never gathered beyond the text. The way from a word to its root at least
 multiplies n by five at each step, so ``DOUBLINGS`` rounds that double the known distance reach the end of any.
+All joins are sort-merge joins, said by hints: Spark takes the size of the words' files for that of their signatures,
+of which each word has 40, and would gather these on the driver for a broadcast.
 
 Defined results: null text has no words; a null doc_id counts as the empty text in the checksum; texts of any
 length are read whole; repeated rows count each; an empty table gives no rows; other columns are ignored.
@@ -74,7 +76,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     signed = words.select("word", "n", F.explode(signatures(F.col("word"))).alias("signature"))
     left = signed.select("signature", F.col("word").alias("a"), F.col("n").alias("n_a"))
     right = signed.select("signature", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    close = left.join(right, "signature").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    close = left.join(right.hint("merge"), "signature").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     return close.select("a", "b", "n_a", "n_b").distinct()
 
 
@@ -83,7 +85,7 @@ def roots(forms: DataFrame) -> DataFrame:
     way = forms.select("word", F.col("form").alias("root"))
     for _ in range(DOUBLINGS):
         further = way.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        way = way.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
+        way = way.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     return way
 
 
@@ -98,5 +100,5 @@ def variants(docs: DataFrame, letters: int = 6, least: int = 5, ratio: int = 5,
     best = sides.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("form"))).alias("best"))
     large = -F.col("best.m") >= ratio * F.col("n")
     chosen = cut_lineage(best.select("word", "n_near", F.when(large, F.col("best.form")).alias("form"), F.when(large, -F.col("best.m")).alias("form_n")), "near")
-    out = words.join(chosen, "word", "left").join(roots(chosen.where("form is not null")), "word", "left")
+    out = words.join(chosen.hint("merge"), "word", "left").join(roots(chosen.where("form is not null")).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))
