@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from touchline.operators import links, shot_models, value
 from touchline.operators.value import FEATURES, LEAGUE
 from touchline.plans.registry import Tables
+from touchline.session import cut_lineage
 from touchline.sources import versions
 
 
@@ -41,6 +42,59 @@ def test_models_over_several_batches(spark, monkeypatch):
     assert np.array_equal(one["feature"], feature.ravel()) and np.array_equal(one["threshold"], threshold.ravel()) and np.allclose(one["leaf"], leaf.ravel(), atol=1e-12)
 
 
+def test_trees_by_blocks_are_the_same(monkeypatch):
+    monkeypatch.setattr(shot_models, "_BLOCK", 70)
+    for x, y in (sample(1, 300), sample(2, 60), sample(4, 1500), (np.ones((50, 10)), np.arange(50) % 2.0)):
+        got, want = shot_models.boosted_by_blocks(x, y, 12), shot_models.boosted(x, y, 12)
+        assert got[0] == want[0] and all(np.array_equal(a, b) for a, b in zip(got[1:3], want[1:3])) and np.allclose(got[3], want[3], atol=1e-12)
+        line = shot_models.logistic(x, y)
+        monkeypatch.setattr(shot_models, "_BLOCK", 10_000)
+        whole = shot_models.logistic(x, y)
+        monkeypatch.setattr(shot_models, "_BLOCK", 70)
+        assert np.allclose(line[0], whole[0], atol=1e-9) and np.allclose(line[1], whole[1], atol=1e-9)
+
+
+def made_shots(spark, **rows):
+    """So many headers in each season, and a penalty, which no model reads."""
+    features = [f"cast(crc32(concat(season, id, '{c}')) % {2 if i > 5 else 900} as double) as {c}" for i, c in enumerate(FEATURES)]
+    shots = [spark.range(n + 1).selectExpr(f"'{season}' as season", "id") for season, n in rows.items()]
+    df = shots[0]
+    for other in shots[1:]:
+        df = df.union(other)
+    return df.selectExpr(
+        "'N0' as nation", "'T1' as tier", "season", "id div 20 as match_id", "cast(id % 20 as double) as event_index", "'A' as team", "'P' as player",
+        "if(id = 0, 'penalty', 'header') as shot_family", f"cast(crc32(concat(season, id, '{FEATURES[0]}')) % 900 + crc32(concat(id, 'g')) % 900 > 1300 as int) as goal", *features)
+
+
+def assert_fitted_over_all(shots, fits, rounds):
+    own = shots.where("shot_family <> 'penalty'").toPandas().sort_values(["match_id", "event_index"])
+    assert {(r["season"], r["model"]) for r in fits} == {(s, m) for s in own["season"] for m in (shot_models.GLOBAL, "header")} and len(fits) == 2 * own["season"].nunique()
+    for season, part in own.groupby("season"):
+        x, y = part[FEATURES].to_numpy(float), part["goal"].to_numpy(float)
+        (line, weights), (base, feature, threshold, leaf) = shot_models.logistic(x, y), shot_models.boosted(x, y, rounds)
+        for r in (r for r in fits if r["season"] == season):
+            assert r["base"] == base and np.isclose(r["intercept"], line, atol=1e-9) and np.allclose(r["weights"], weights, atol=1e-9)
+            assert np.array_equal(r["feature"], feature.ravel()) and np.array_equal(r["threshold"], threshold.ravel()) and np.allclose(r["leaf"], leaf.ravel(), atol=1e-12)
+
+
+def test_models_are_fitted_over_all_shots(spark):
+    shots = cut_lineage(made_shots(spark, a=60_000, b=400), "made")
+    assert_fitted_over_all(shots, shot_models.fit_models(shots, shot_models.model_status(shots), 2).collect(), 2)
+
+
+def test_large_and_small_models_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(shot_models, "_TOGETHER", 50)
+    shots = cut_lineage(made_shots(spark, a=700, b=200, c=900, d=1000, e=250), "made")
+    whole = type(shots).repartition
+    monkeypatch.setattr(type(shots), "repartition", lambda self, n, *by: whole(self, 1, *by))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        for large in (300, 900):
+            assert_fitted_over_all(shots, shot_models.fit_models(shots, shot_models.model_status(shots), 2, large).collect(), 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
