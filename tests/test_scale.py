@@ -1,5 +1,7 @@
 """What keeps the larger jobs small: fits side by side, narrow exchanges, cells that are never sent."""
 
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -82,6 +84,15 @@ def test_models_are_fitted_over_all_shots(spark):
     assert_fitted_over_all(shots, shot_models.fit_models(shots, shot_models.model_status(shots), 2).collect(), 2)
 
 
+def test_scores_of_a_large_league_season(spark):
+    shots = cut_lineage(made_shots(spark, a=51_000), "made")
+    got = shot_models.trained_scores(shots, 2).where("shot_family <> 'penalty'").toPandas().sort_values(["match_id", "event_index"])
+    own = shots.where("shot_family <> 'penalty'").toPandas().sort_values(["match_id", "event_index"])
+    x, y = own[FEATURES].to_numpy(float), own["goal"].to_numpy(float)
+    fit = SimpleNamespace(**dict(zip(("intercept", "weights", "base", "feature", "threshold", "leaf"), (*shot_models.logistic(x, y), *shot_models.boosted(x, y, 2)))))
+    assert len(got) == 51_000 and np.allclose(got["xg"], np.clip(shot_models.probability(x, fit), 0.001, 0.999), atol=1e-9)
+
+
 def test_large_and_small_models_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(shot_models, "_TOGETHER", 50)
     shots = cut_lineage(made_shots(spark, a=700, b=200, c=900, d=1000, e=250), "made")
